@@ -2,18 +2,23 @@
 
 from __future__ import annotations
 
-from . import exact_dedup, language_id, mixing, packing, simhash
+from . import exact_dedup, exact_topk, language_id, mixing, packing, pii, quality, secret_scan, simhash, url_filter
 
 
 def queries() -> dict:
     return {
+        "op1_pii": pii.op1_pii,
         "op2_mixing": mixing.op2_mixing,
+        "op3_exact_topk": exact_topk.op3_exact_topk,
         "op4_packing": packing.op4_packing,
         "op5_simhash": simhash.op5_simhash,
+        "op6_secrets": secret_scan.op6_secrets,
+        "op7_quality": quality.op7_quality,
         "op8_exact_dedup": exact_dedup.op8_exact_dedup,
         "op9_language_id": language_id.op9_language_id,
+        "op10_url_filter": url_filter.op10_url_filter,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return dict(exact_dedup.SQL)
+    return exact_dedup.SQL | exact_topk.SQL | url_filter.SQL
