@@ -128,8 +128,10 @@ def prototypes(docs: DataFrame, learn: Column, text_col: str = "text", lang_col:
     draw = F.xxhash64(F.col(key_col).cast("string"), F.lit(9))
     first = labelled.select(F.col(lang_col).cast("string").alias("lang"), draw.alias("draw"))
     rank = F.row_number().over(Window.partitionBy("lang").orderBy("draw"))
-    limit = first.withColumn("rank", rank).filter(F.col("rank") <= per_language).groupBy("lang").agg(F.max("draw").alias("limit"))
-    chosen = labelled.select(F.col(lang_col).cast("string").alias("lang"), F.col(text_col).alias("text"), draw.alias("draw")).join(limit, "lang").filter("draw <= limit").select("lang", "text")
+    # One number for each language comes to the driver; the texts are filtered where they are read and not dealt out.
+    limits = first.withColumn("rank", rank).filter(F.col("rank") <= per_language).groupBy("lang").agg(F.max("draw").alias("limit")).collect()
+    bound = F.create_map(*(F.lit(x) for r in limits for x in (r.lang, r.limit))) if limits else F.create_map().cast("map<string,bigint>")
+    chosen = labelled.filter(draw <= F.try_element_at(bound, F.col(lang_col).cast("string"))).select(F.col(lang_col).cast("string").alias("lang"), F.col(text_col).alias("text"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bundler, sums = Bundler(dimensions, order), {}
