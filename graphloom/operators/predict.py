@@ -64,7 +64,7 @@ def win_rate(outcomes: DataFrame, *by: str) -> DataFrame:
     return outcomes.groupBy(*by).agg(wins.alias("wins"), losses.alias("losses"), F.count_if(F.col("outcome") == "settlement").alias("settlements"), F.when(wins + losses > 0, wins / (wins + losses)).alias("win_rate"))
 
 
-def remedy_score(evidence: Column, authority: Column, known: Column, position: Column) -> Column:
-    """0.4 evidence + 0.3 authority / 6 + 0.2 (or 0.06) + 0.1 by place among the top ten chunks, within [0.1, 0.95]."""
-    retrieval = F.when(position.between(1, 10), 1.0 - (position - 1) / 10.0).otherwise(0.0)
-    return F.least(F.lit(0.95), F.greatest(F.lit(0.1), 0.4 * evidence + 0.3 * authority / 6.0 + 0.2 * F.when(known, 1.0).otherwise(0.3) + 0.1 * retrieval))
+def remedy_score(evidence: Column, authority: Column, same_place: Column, position: Column) -> Column:
+    """0.4 evidence + 0.3 authority / 6 + 0.2 (0.06 elsewhere) + 0.1 by place among the top ten chunks (half without one), within [0.1, 0.95]."""
+    retrieval = F.when(position.between(1, 10), 1.0 - (position - 1) / 10.0).otherwise(0.5)
+    return F.least(F.lit(0.95), F.greatest(F.lit(0.1), 0.4 * evidence + 0.3 * authority / 6.0 + 0.2 * F.when(same_place, 1.0).otherwise(0.3) + 0.1 * retrieval))

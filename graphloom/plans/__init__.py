@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import importlib
 
-MODULES = ("graph_queries", "audit_queries", "text_queries", "entity_queries")
+MODULES = ("graph_queries", "audit_queries", "text_queries", "entity_queries", "claim_queries")
 
 
 def load() -> None:
