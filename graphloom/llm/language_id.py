@@ -127,6 +127,10 @@ def prototypes(docs: DataFrame, learn: Column, text_col: str = "text", lang_col:
     labelled = docs.filter(learn & F.col(lang_col).isNotNull() & F.col(text_col).isNotNull())
     draw = F.xxhash64(F.col(key_col).cast("string"), F.lit(9))
     first = labelled.select(F.col(lang_col).cast("string").alias("lang"), draw.alias("draw"))
+    # The smallest hashes are ranked among twice as many as are wanted, not among all rows of a language.
+    sizes = {r.lang: r.n for r in first.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).collect()}
+    share = F.create_map(*(F.lit(x) for lang, n in sizes.items() for x in (lang, min(1.0, 2.0 * per_language / n)))) if sizes else F.create_map().cast("map<string,double>")
+    first = first.filter((F.col("draw").cast("double") / float(1 << 64) + 0.5) <= F.try_element_at(share, F.col("lang")))
     rank = F.row_number().over(Window.partitionBy("lang").orderBy("draw"))
     # One number for each language comes to the driver; the texts are filtered where they are read and not dealt out.
     limits = first.withColumn("rank", rank).filter(F.col("rank") <= per_language).groupBy("lang").agg(F.max("draw").alias("limit")).collect()
