@@ -28,7 +28,7 @@ from .base import WORD, documents, settle, text_of
 #: A quality weight below this counts as this.
 LEAST_QUALITY = 1e-3
 #: Rows of a key range, about.
-RANGE_ROWS = 50_000
+RANGE_ROWS = 4_000
 
 
 def prose_quality(text_col: str = "text", size_col: str = "size") -> Column:
