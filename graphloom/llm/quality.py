@@ -179,6 +179,8 @@ class Scorer:
 def score(docs: DataFrame, entries: DataFrame, floor: float, carry: tuple[str, ...], text_col: str, shard_entries: int = SHARD_ENTRIES) -> DataFrame:
     """The columns ``carry`` with n (scored characters) and logp, one row per document and shard."""
     shards = max(1, -(-entries.count() // shard_entries))
+    if shards > 1:  # the parts of a document are added up by row, so rows are fixed first
+        docs = settle(docs.select(*carry, text_col), "kn-documents")
     fields = ", ".join(f"`{c}` {docs.schema[c].dataType.simpleString()}" for c in carry)
     out = None
     for shard in range(shards):
