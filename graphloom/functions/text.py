@@ -327,3 +327,50 @@ def headings(x: Column | str) -> Column:
 
     sections = F.aggregate(lines, start, step, close)
     return F.when(F.size(sections) > 0, sections).otherwise(F.array(F.struct(F.lit(None).cast("string").alias("title"), _c(x).alias("body"))))
+
+
+def first_key(x: Column | str, dictionary: Sequence[tuple[str, Sequence[str]]], other: str | None = None) -> Column:
+    """The first key one of whose words the text contains, else ``other``."""
+    out = F.lit(other).cast("string")
+    for key, needles in reversed(dictionary):
+        out = F.when(any_of(x, needles), key).otherwise(out)
+    return out
+
+
+def advice(x: Column | str, table: Sequence[tuple[Sequence[str], str]]) -> Column:
+    """The advice of the first entry all of whose words the text contains."""
+    low, out = F.lower(_c(x)), F.lit(None).cast("string")
+    for needles, said in reversed(table):
+        hit = F.lit(True)
+        for n in needles:
+            hit = hit & low.contains(n)
+        out = F.when(hit, said).otherwise(out)
+    return out
+
+
+def extension(url: Column | str) -> Column:
+    """The extension of a URL's path, lower case, or null."""
+    path = F.regexp_extract(_c(url), r"^(?:[a-zA-Z][a-zA-Z0-9+.-]*://[^/?#]*)?([^?#]*)", 1)
+    return F.nullif(F.lower(F.regexp_extract(path, r"\.([A-Za-z0-9]{2,5})$", 1)), F.lit(""))
+
+
+def looks_like_resource(title: Column | str, url: Column | str, category: Column | str, own_domain: str) -> Column:
+    """Whether a link is a document, leads outside, or is an inner page with a category or a document's name."""
+    own = F.contains(F.regexp_extract(_c(url), "://([^/?#]*)", 1), F.lit(own_domain))
+    return (F.length(_c(title)) >= 2) & (F.coalesce(extension(url).isin("pdf", "doc", "docx", "ppt", "pptx"), F.lit(False)) | ~own | (F.coalesce(_c(category), F.lit("")) != ""))
+
+
+def section_of(line: Column, headers: Sequence[tuple[str, Sequence[str]]]) -> Column:
+    """The section that a line is the header of, or null."""
+    plain, out = F.regexp_replace(F.upper(line), "[^A-Z ]", ""), F.lit(None).cast("string")
+    for name, words_ in reversed(headers):
+        hit = F.lit(False)
+        for w in words_:
+            hit = hit | plain.contains(w)
+        out = F.when(hit, name).otherwise(out)
+    return out
+
+
+def source_marks(x: Column | str) -> Column:
+    """The numbers of sources cited inline as [S1], in order, once each."""
+    return F.array_distinct(F.regexp_extract_all(_c(x), F.lit(r"\[(S[0-9]+)\]"), F.lit(1)))

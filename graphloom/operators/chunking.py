@@ -85,11 +85,15 @@ def chunk_documents(docs: DataFrame, target: int = 3000, overlap: int = 200) ->
     return out.select("chunk_id", "source_id", "chunk_index", F.col("section").cast("string").alias("section"), "title", "text", tx.token_estimate("text").alias("token_count"), tx.sha("text").alias("content_hash"), F.lag("chunk_id").over(line).alias("prev_chunk_id"), F.lead("chunk_id").over(line).alias("next_chunk_id"))
 
 
-def sentences(text: Column | str) -> Column:
-    """array<struct<start, text>>: sentences and where they start."""
-    text = F.col(text) if isinstance(text, str) else text
-    pattern = r"[^.!?\n]+[.!?]"
-    found, gaps = F.regexp_extract_all(text, F.lit(pattern), F.lit(0)), F.split(text, pattern, -1)
-    start = F.from_json(F.lit('{"at":0,"done":[]}'), "struct<at:int,done:array<struct<start:int,text:string>>>")
-    both = F.arrays_zip(F.slice(gaps, 1, F.size(found)).alias("g"), found.alias("m"))
-    return F.aggregate(both, start, lambda s, z: F.struct((s["at"] + F.length(z["g"]) + F.length(z["m"])).alias("at"), F.concat(s["done"], F.array(F.struct((s["at"] + F.length(z["g"])).alias("start"), z["m"].alias("text")))).alias("done")), lambda s: s["done"])
+SENTENCE = r"[^.!?\n]+[.!?]"
+
+
+def sentences(df: DataFrame, *keys: str, text: str = "text") -> DataFrame:
+    """keys, i, start, sentence: the sentences of each row's text and where they start; keys tell rows apart.
+
+    Gaps and matches alternate, so a running sum of their lengths gives positions; the sum is a window, linear in the text.
+    """
+    found, gaps = F.regexp_extract_all(text, F.lit(SENTENCE), F.lit(0)), F.transform(F.split(text, SENTENCE, -1), lambda g: F.length(g))
+    each = df.select(*keys, F.posexplode(F.arrays_zip(gaps.alias("g"), found.alias("m"))).alias("i", "z")).filter("z.m is not null")
+    line = Window.partitionBy(*keys).orderBy("i")
+    return each.select(*keys, "i", (F.sum(F.col("z.g") + F.length("z.m")).over(line) - F.length("z.m")).alias("start"), F.col("z.m").alias("sentence"))

@@ -69,3 +69,12 @@ def provenance_rows(rows: DataFrame) -> DataFrame:
     """Adds prov_id, the hash of what it links; one row for each."""
     key = F.concat_ws(":", "subject_type", "subject_id", "source_id", F.coalesce("quote_id", F.lit("")), F.coalesce("chunk_id", F.lit("")))
     return rows.withColumn("prov_id", F.concat(F.lit("prov:"), F.sha2(key.cast("binary"), 256))).dropDuplicates(["prov_id"])
+
+
+def evidence_to_claims(evidence: DataFrame, claims: DataFrame, dictionary, per_evidence: int = 3) -> DataFrame:
+    """src, dst, type (REQUIRES): evidence (id, text) tied to the first claims (claim, claim_type) of the first type whose words its text contains."""
+    from .graph import first_per
+
+    typed = evidence.select(F.col("id").alias("dst"), tx.first_key("text", dictionary).alias("claim_type")).filter("claim_type is not null")
+    firsts = first_per(claims, ["claim_type"], ["claim"], per_evidence).select("claim_type", F.col("claim").alias("src"))
+    return typed.join(firsts, "claim_type").select("src", "dst", F.lit("REQUIRES").alias("type"))

@@ -64,7 +64,7 @@ def best_quotes(pairs: DataFrame, banned: Sequence[str] = d.BANNED_PHRASES, leas
 
     Score: 1 if the name occurs, 0.5 times the share of its words; 0 with a banned phrase. Rows without a sentence above 0 have none.
     """
-    each = pairs.select("key", "name", F.posexplode(sentences("text")).alias("i", "s")).select("key", "name", "i", F.col("s.start").alias("start"), tx.strip("s.text").alias("quote"))
+    each = sentences(pairs, "key", "name").select("key", "name", "i", "start", tx.strip("sentence").alias("quote"))
     low, name = F.lower("quote"), F.lower(tx.strip("name"))
     words = F.array_distinct(tx.tokens("name"))
     overlap = F.size(F.array_intersect(words, F.array_distinct(tx.tokens("quote")))) / F.greatest(F.size(words), F.lit(1))

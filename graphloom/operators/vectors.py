@@ -127,3 +127,18 @@ def hashing_encoder(dimensions: int = 64):
         return texts.map(one)
 
     return run
+
+
+def approximate_pairs(vectors: DataFrame, least: float, width: float = 0.5, tables: int = 8, seed: int = 8) -> DataFrame:
+    """a, b, score of pairs that random projections bring together: an index for when exact pairs cost too much; it may miss some.
+
+    Unit vectors of cosine c are sqrt(2 - 2 c) apart, so the index is searched within that distance and the scores are exact.
+    """
+    from pyspark.ml.feature import BucketedRandomProjectionLSH
+    from pyspark.ml.functions import array_to_vector
+
+    norm = F.sqrt(dot(F.col("embedding"), F.col("embedding")))
+    unit = vectors.select("id", F.transform("embedding", lambda x: x.cast("double") / F.greatest(norm, F.lit(1e-12))).alias("u")).withColumn("v", array_to_vector("u"))
+    model = BucketedRandomProjectionLSH(inputCol="v", outputCol="h", bucketLength=width, numHashTables=tables, seed=seed).fit(unit)
+    met = model.approxSimilarityJoin(unit, unit, float(np.sqrt(max(0.0, 2 - 2 * least))) + 1e-9, "apart").filter("datasetA.id < datasetB.id")
+    return met.select(F.col("datasetA.id").alias("a"), F.col("datasetB.id").alias("b"), (1 - F.col("apart") * F.col("apart") / 2).alias("score")).filter(F.col("score") >= least)

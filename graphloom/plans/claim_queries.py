@@ -79,11 +79,18 @@ def _(t):
     return met.select("a", "b", F.round(rules.name_similarity(F.col("a"), F.col("b"), F.lit(""), F.lit("")), 6).alias("score"))
 
 
-@query("j10_best_quotes")
+QUOTES = f"""WITH s AS (SELECT doc_id, regexp_extract_all(text, '[^.!?\\n]+[.!?]') AS l, lower(split_part(trim(regexp_replace(text, '[^A-Za-z]+', ' ', 'g')), ' ', 3)) AS name FROM documents WHERE lang = 'en'),
+  e AS (SELECT doc_id, name, generate_subscripts(l, 1) AS i, trim(unnest(l), ' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)) AS q FROM s WHERE name <> ''),
+  k AS (SELECT *, lead(q) OVER (PARTITION BY doc_id ORDER BY i) AS nx, CASE WHEN {' OR '.join(f"contains(lower(q), '{p}')" for p in d.BANNED_PHRASES)} THEN 0.0 WHEN list_contains(regexp_split_to_array(lower(q), '[^a-z0-9]+'), name) THEN 1.5 ELSE 0.0 END AS score FROM e),
+  b AS (SELECT * FROM k WHERE score > 0 QUALIFY row_number() OVER (PARTITION BY doc_id ORDER BY score DESC, i) = 1)
+  SELECT doc_id AS key, sha256(CASE WHEN length(q) < 80 AND nx IS NOT NULL THEN q || ' ' || nx ELSE q END) AS digest, score FROM b"""
+
+
+@query("j10_best_quotes", QUOTES)
 def _(t):
     name = F.split_part(F.trim(F.regexp_replace("text", "[^A-Za-z]+", " ")), F.lit(" "), F.lit(3))
     held = t.documents.filter("lang = 'en'").select(F.col("doc_id").alias("key"), name.alias("name"), "text").filter("name <> ''")
-    return rules.best_quotes(held).select("key", F.col("start").cast("long").alias("start"), tx.sha("quote").alias("digest"), "score")
+    return rules.best_quotes(held).select("key", tx.sha("quote").alias("digest"), "score")
 
 
 @query("j11_definitions", "SELECT p_partkey, contains(lower(x), ' is ') OR contains(lower(x), ' means ') AS definition FROM (SELECT p_partkey, p_name || CASE p_partkey % 3 WHEN 0 THEN ' means a part' WHEN 1 THEN ' Is here' ELSE ' alone' END AS x FROM part)")
@@ -179,6 +186,11 @@ def _(t):
     return _matched(t).groupBy("evidence_id", "is_critical").agg(F.bool_or("satisfied").alias("satisfied"), F.count_if("satisfied").alias("n"))
 
 
+@query("e18_element_rates", f"{MATCHED} SELECT claim_type, count(*) AS n, count(*) FILTER (WHERE satisfied) AS satisfied, round(avg(CASE WHEN satisfied THEN 1.0 ELSE 0.0 END), 6) AS rate FROM m GROUP BY 1")
+def _(t):
+    return _matched(t).groupBy("claim_type").agg(F.count(F.lit(1)).alias("n"), F.count_if("satisfied").alias("satisfied"), F.round(F.avg(F.col("satisfied").cast("int")), 6).alias("rate"))
+
+
 @query("k11_verified_chains", f"{EE}, l AS (SELECT o_orderkey AS key, 'law:' || l_partkey AS law FROM orders JOIN lineitem ON l_orderkey = o_orderkey WHERE o_orderkey < 2000), r AS (SELECT DISTINCT l_orderkey AS key, 'legal_outcome:' || l_suppkey AS remedy FROM lineitem WHERE l_orderkey < 2000) SELECT key, true AS laws_known, bool_and(EXISTS (SELECT 1 FROM edges e JOIN l ON l.law = e.src AND l.key = r.key WHERE e.type = 'AUTHORIZES' AND e.dst = r.remedy)) AS remedies_enabled FROM r GROUP BY 1")
 def _(t):
     line = t.lineitem.filter("l_orderkey < 2000")
@@ -214,7 +226,7 @@ def _(t):
     return held.withColumn("summary", F.concat(F.lit("claims: "), "n", F.lit("; first: "), "first"))
 
 
-@query("k18_llm_context")
+@query("k18_llm_context", f"{GRAPH_SQL} SELECT claim_type, string_agg('- ' || name || ' (' || citations || ')', chr(10) ORDER BY citations DESC, law) AS context FROM (SELECT c.claim_type, b.other AS law, l.name, count(*) AS citations, row_number() OVER (PARTITION BY c.claim_type ORDER BY count(*) DESC, b.other) AS r FROM both_ways b JOIN entities c ON c.id = b.node AND c.type = 'legal_claim' JOIN entities l ON l.id = b.other AND l.type = 'law' GROUP BY 1, 2, 3) WHERE r <= 5 GROUP BY 1")
 def _(t):
     laws = graph.laws_for_claims(entities(t), edges(t), 5)
     line = F.concat(F.lit("- "), "name", F.lit(" ("), "citations", F.lit(")"))

@@ -72,9 +72,9 @@ def _(t):
     return pages.links(t.pages, "https://site.test").select("page_id", "link")
 
 
-@query("a10_resource_links")
+@query("a10_resource_links", "SELECT page_id, href, trim(regexp_replace(label, '[ \\t\\n]+', ' ', 'g')) AS label, '' AS category FROM (SELECT page_id, regexp_extract(a, 'href=\"([^\"]*)\"', 1) AS href, regexp_extract(a, '>([^<]*)</a>', 1) AS label, i FROM (SELECT page_id, unnest(l) AS a, generate_subscripts(l, 1) AS i FROM (SELECT page_id, regexp_extract_all(html, '<a href=\"[^\"]*\">[^<]*</a>') AS l FROM pages))) QUALIFY row_number() OVER (PARTITION BY page_id, href ORDER BY i) = 1")
 def _(t):
-    return pages.resource_links(t.pages)
+    return pages.resource_links(t.pages, skip=())  # these pages have links in navigation alone
 
 
 @query("a11_a12_scans", "SELECT (SELECT count(*) FROM documents) AS documents, (SELECT count(*) FROM embeddings WHERE vec_id < 10000) AS vectors")
@@ -292,6 +292,18 @@ def _(t):
     return vectors.nearest(t.embeddings.select(F.col("vec_id").alias("id"), "embedding"), first.select(F.concat(F.lit("type "), "label").alias("name"), "embedding"), 0.2).select("id", "name", F.round("score", 6).alias("score"))
 
 
+@query("g3_g8_merged_entities", "WITH m AS (SELECT p_partkey % 500 AS id, p_partkey, p_name, p_type FROM part) SELECT id, min_by(p_name, p_partkey) AS name, max_by(p_type, lpad(CAST(length(p_type) AS VARCHAR), 3, '0') || lpad(CAST(100000000 - p_partkey AS VARCHAR), 10, '0')) AS description, count(*) AS members FROM m GROUP BY 1")
+def _(t):
+    held = t.part.select(F.col("p_partkey").alias("id"), F.col("p_name").alias("name"), F.col("p_type").alias("description"), F.array(F.col("p_brand")).alias("chunk_ids"))
+    moved = held.filter("id >= 500").select(F.col("id").alias("old"), (F.col("id") % 500).alias("new"))
+    return dedup.merged(held, moved).select("id", "name", "description", "members")
+
+
+@query("i8_approximate_pairs")
+def _(t):
+    return vectors.approximate_pairs(t.embeddings.select(F.col("vec_id").alias("id"), "embedding"), 0.3).select("a", "b", F.round("score", 6).alias("score"))
+
+
 @query("i6_resolution_cascade", f"{PAIRS}, b AS (SELECT b AS id, a AS \"match\", round(score, 9) AS score FROM p QUALIFY row_number() OVER (PARTITION BY b ORDER BY round(score, 9) DESC, a) = 1) SELECT id, \"match\", CASE WHEN score >= 0.4 THEN 'merge' WHEN score >= 0.3 THEN 'judge' ELSE 'new' END AS decision FROM b")
 def _(t):
     held = t.embeddings.select(F.col("label").alias("grp"), F.col("vec_id").alias("id"), "embedding")
@@ -299,7 +311,17 @@ def _(t):
     return dedup.cascade(found, 0.4, 0.3).select("id", "match", "decision")
 
 
-@query("f6_g1_hybrid_retrieval")
+HYBRID = f"""{with_sql(ENTITIES_SQL, EDGES_SQL)}, q AS (SELECT p_name AS text, row_number() OVER (ORDER BY p_name) AS query_id FROM (SELECT DISTINCT p_name FROM part ORDER BY 1 LIMIT 10)),
+  k AS (SELECT id, string_split(lower(name), ' ') AS w FROM entities WHERE type = 'law'), tf AS (SELECT id, len(w) AS len, unnest(w) AS term FROM k), df AS (SELECT term, count(DISTINCT id) AS df FROM tf GROUP BY 1), st AS (SELECT count(*) AS n, avg(len(w)) AS al FROM k),
+  s AS (SELECT query_id, id, sum(ln(1 + (n - df + 0.5) / (df + 0.5)) * 2.2 / (1 + 1.2 * (0.25 + 0.75 * len / al))) AS score FROM (SELECT query_id, unnest(string_split(text, ' ')) AS term FROM q) JOIN tf USING (term) JOIN df USING (term), st GROUP BY 1, 2),
+  lex AS (SELECT query_id, id, row_number() OVER (PARTITION BY query_id ORDER BY round(score, 9) DESC, id) AS rank FROM s QUALIFY rank <= 10), linked AS (SELECT query_id, min(e.id) AS id FROM q JOIN entities e ON e.name = q.text AND e.type = 'law' GROUP BY 1),
+  roots AS (SELECT query_id, id FROM linked UNION SELECT query_id, id FROM lex), both_ways AS (SELECT src AS node, dst AS other FROM edges UNION SELECT dst, src FROM edges),
+  near AS (SELECT DISTINCT query_id, other AS id FROM (SELECT query_id, node, other, row_number() OVER (PARTITION BY query_id, node ORDER BY other) AS r FROM (SELECT DISTINCT query_id, node, other FROM roots JOIN both_ways ON node = id)) WHERE r <= 10),
+  u AS (SELECT query_id, id, 0 AS priority FROM linked UNION ALL SELECT query_id, id, 1 FROM lex UNION ALL SELECT query_id, id, 2 FROM near)
+  SELECT query_id, id, CAST(min(priority) AS INT) AS priority FROM u WHERE id IN (SELECT id FROM entities WHERE type IN ({", ".join(repr(x) for x in d.RETRIEVAL_TYPES)})) GROUP BY 1, 2"""
+
+
+@query("f6_g1_hybrid_retrieval", HYBRID)
 def _(t):
     from graphloom.operators.retrieval import hybrid
 

@@ -104,6 +104,17 @@ def _(t):
     return texts_naming(t.part.select(F.col("p_name").alias("name")).distinct(), texts, 5).select(F.col("name").alias("law"), "id")
 
 
+@query("d15_evidence_claims", f"{EE}, e AS (SELECT 'evidence:' || p_partkey AS dst, CASE WHEN p_size % 5 = 0 THEN 'HABITABILITY_VIOLATION' WHEN p_size % 5 = 1 THEN 'HARASSMENT' WHEN p_size % 5 = 2 THEN 'HP_ACTION_REPAIRS' END AS t FROM part), c AS (SELECT 'legal_claim:' || o_orderkey AS src, CASE o_orderkey % 3 WHEN 0 THEN 'HABITABILITY_VIOLATION' WHEN 1 THEN 'HARASSMENT' ELSE 'HP_ACTION_REPAIRS' END AS t FROM orders QUALIFY row_number() OVER (PARTITION BY o_orderkey % 3 ORDER BY 'legal_claim:' || o_orderkey) <= 3) SELECT src, dst, 'REQUIRES' AS type FROM e JOIN c USING (t)")
+def _(t):
+    from graphloom.dictionaries import EVIDENCE_CLAIMS
+    from graphloom.operators.ingest import evidence_to_claims
+
+    k, o = F.col("p_size") % 5, F.col("o_orderkey") % 3
+    proofs = t.part.select(F.concat(F.lit("evidence:"), "p_partkey").alias("id"), F.when(k == 0, "no Heat, a repair").when(k == 1, "threatening").when(k == 2, "an inspection").otherwise("a part").alias("text"))
+    claims = t.orders.select(F.concat(F.lit("legal_claim:"), "o_orderkey").alias("claim"), F.when(o == 0, "HABITABILITY_VIOLATION").when(o == 1, "HARASSMENT").otherwise("HP_ACTION_REPAIRS").alias("claim_type"))
+    return evidence_to_claims(proofs, claims, EVIDENCE_CLAIMS)
+
+
 @query("d16_case_edges_by_type", f"{EE} SELECT DISTINCT c.src AS src, e.dst AS dst, CASE WHEN e.dst LIKE 'evidence:%' THEN 'HAS_EVIDENCE' ELSE 'RESULTS_IN' END AS type FROM edges c JOIN edges e ON e.src = c.dst WHERE c.type = 'ADDRESSES' AND c.src LIKE 'case_document:%' AND (e.dst LIKE 'evidence:%' OR e.dst LIKE 'legal_outcome:%')")
 def _(t):
     from graphloom.operators.ingest import document_edges

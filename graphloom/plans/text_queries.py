@@ -43,7 +43,17 @@ def _(t):
     return t.documents.select("doc_id", F.size(chunking.super_chunks("text", 900)).cast("long").alias("supers"))
 
 
-@query("b6_sentence_chunks")
+def _cut_end(st: str) -> str:
+    seg = f"substr(text, {st} + 2401, 600)"
+    last = lambda back, n: f"CASE WHEN strpos(reverse({seg}), {back}) > 0 THEN 601 - strpos(reverse({seg}), {back}) - {n} ELSE -1 END"
+    best = f"greatest({last(chr(39) + ' .' + chr(39), 2)}, {last(chr(39) + ' !' + chr(39), 2)}, {last(chr(39) + ' ?' + chr(39), 2)}, {last('chr(10)', 1)})"
+    return f"CASE WHEN {st} + 3000 >= length(text) THEN {st} + 3000 WHEN {best} >= 0 THEN {st} + 2402 + {best} ELSE {st} + 3000 END"
+
+
+_BLANK = "' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)"
+
+
+@query("b6_sentence_chunks", f"WITH RECURSIVE c AS (SELECT doc_id, text, CAST(0 AS BIGINT) AS s, CAST({_cut_end('0')} AS BIGINT) AS e, CAST(0 AS BIGINT) AS i FROM documents WHERE length(text) > 3000 UNION ALL SELECT doc_id, text, e - 200, CAST({_cut_end('(e - 200)')} AS BIGINT), i + 1 FROM c WHERE e - 200 < length(text)) SELECT doc_id, i, sha256(trim(substr(text, s + 1, e - s), {_BLANK})) AS digest FROM c UNION ALL SELECT doc_id, 0, sha256(trim(text, {_BLANK})) FROM documents WHERE length(text) <= 3000 AND trim(text, {_BLANK}) <> ''")
 def _(t):
     return t.documents.select("doc_id", F.posexplode(chunking.cut("text", 3000, 200)).alias("i", "piece")).select("doc_id", F.col("i").cast("long").alias("i"), tx.sha("piece").alias("digest"))
 
@@ -254,10 +264,13 @@ def _(t):
     return t.documents.select("doc_id", (F.length("text") > 2000).alias("too_large"), tx.matches_any("text", ["that the"]).alias("suspicious"))
 
 
-@query("h27_h28_links", "SELECT page_id, '2020 NY SLIP OP ' || page_id AS citation, CASE WHEN contains(lower(url), '.html') THEN 'html' ELSE '' END AS extension FROM pages")
+@query("h27_h28_links", "SELECT page_id, '2020 NY SLIP OP ' || page_id AS citation, nullif(lower(regexp_extract(regexp_extract(url, '^[a-z]+://[^/?#]*([^?#]*)', 1), '\\.([A-Za-z0-9]{2,5})$', 1)), '') AS extension, CASE page_id % 4 WHEN 0 THEN 'guide' WHEN 1 THEN 'fact_sheet' WHEN 2 THEN 'form' ELSE 'other' END AS kind, page_id % 4 <> 3 OR page_id % 2 = 0 OR coalesce(contains(url, '.pdf'), false) AS resource FROM pages")
 def _(t):
     url = F.concat(F.lit("https://x.test/2020/2020-ny-slip-op-"), "page_id", F.lit(".html"))
-    return t.pages.select("page_id", tx.citation(url, F.lit("")).alias("citation"), F.lower(F.regexp_extract(F.regexp_replace("url", "[?#].*$", ""), r"\.(html)$", 1)).alias("extension"))
+    k = F.col("page_id") % 4
+    label = F.when(k == 0, "How to get heat").when(k == 1, "Rent FAQ").when(k == 2, "Complaint form").otherwise("A page")
+    kept = tx.looks_like_resource(label, "url", F.when((k != 3) | (F.col("page_id") % 2 == 0), "Heat"), "example")
+    return t.pages.select("page_id", tx.citation(url, F.lit("")).alias("citation"), tx.extension("url").alias("extension"), tx.first_key(label, d.LINK_TYPES, "other").alias("kind"), kept.alias("resource"))
 
 
 @query("h29_judges", "SELECT n_nationkey, 'Smith,Jones' AS judges FROM nation")
@@ -273,15 +286,38 @@ def _(t):
     return t.orders.select("o_orderkey", tx.anonymized(said, d.PII_PATTERNS).alias("said"), F.array_join(tx.detected(said, d.PII_PATTERNS[0][1]), ",").alias("dates"))
 
 
-@query("h32_h33_advice", "SELECT p_partkey, CASE WHEN contains(lower(p_name), 'red') THEN 'heat' WHEN contains(lower(p_name), 'blue') THEN 'repairs' ELSE 'general' END AS issue FROM part")
+@query("h30_h35_projection", "SELECT o_orderkey, o_orderstatus || '|' || coalesce(o_orderpriority, 'none') || '|none' AS shown FROM orders")
+def _(t):
+    held = t.orders.select("o_orderkey", F.create_map(F.lit("status"), "o_orderstatus", F.lit("priority"), "o_orderpriority").alias("m"))
+    value = lambda k: F.coalesce(F.try_element_at("m", F.lit(k)), F.lit("none"))
+    return held.select("o_orderkey", F.concat_ws("|", value("status"), value("priority"), value("missing")).alias("shown"))
+
+
+@query("h32_advice", "SELECT o_orderkey, CASE o_orderkey % 4 WHEN 0 THEN 'Request copy from landlord; check certified mail records; take photos of posted notices' WHEN 1 THEN 'Gather canceled checks, bank statements, receipts, money order stubs' WHEN 2 THEN 'File online at hpd.nyc.gov; call 311; request inspection' ELSE 'Consult with legal aid or tenant advocacy organization for guidance' END AS advice FROM orders")
 def _(t):
-    return t.part.select("p_partkey", F.when(tx.any_of("p_name", ["red"]), "heat").when(tx.any_of("p_name", ["blue"]), "repairs").otherwise("general").alias("issue"))
+    k = F.col("o_orderkey") % 4
+    item = F.when(k == 0, "Written notice from landlord").when(k == 1, "Rent payment records").when(k == 2, "HPD complaint").otherwise("a witness")
+    return t.orders.select("o_orderkey", tx.advice(item, d.OBTAINING).alias("advice"))
+
+
+@query("h33_issues", "SELECT conv_id, turn, CASE turn % 4 WHEN 0 THEN 'Rent Overcharge' WHEN 1 THEN 'Harassment' WHEN 2 THEN 'Failure to Repair' END AS issue FROM conversations")
+def _(t):
+    k = F.col("turn") % 4
+    said = F.concat(F.when(k == 0, "an Overcharge and harassment ").when(k == 1, "harassment, no repair ").when(k == 2, "needs maintenance ").otherwise(""), F.col("text"))
+    return t.conversations.select("conv_id", "turn", tx.first_key(said, d.ISSUES).alias("issue"))
+
+
+@query("h36_answer_sections", "SELECT o_orderkey AS key, section, items, text FROM (SELECT o_orderkey, 'legal_issues' AS section, 'status ' || o_orderstatus || ';' || o_orderpriority AS items, '' AS text FROM orders UNION ALL SELECT o_orderkey, 'next_steps', '', 'call ' || o_orderkey || ' then write' FROM orders)")
+def _(t):
+    from graphloom.operators.answers import sections
+
+    said = F.concat(F.lit("preamble\n**Legal Issues:**\n- status "), "o_orderstatus", F.lit("\n\n 2) "), "o_orderpriority", F.lit("\nNEXT STEPS\ncall "), "o_orderkey", F.lit("\n then write"))
+    return sections(t.orders.select(F.col("o_orderkey").alias("key"), said.alias("text"))).select("key", "section", F.array_join("items", ";").alias("items"), "text")
 
 
-@query("h36_h37_sections", "SELECT doc_id, count(*) FILTER (WHERE m) AS bullets, count(*) AS lines FROM (SELECT doc_id, regexp_matches(unnest(string_split(text, chr(10))), '^ *([-*]|[0-9]+[.)]) ') AS m FROM documents) GROUP BY 1")
+@query("h37_source_marks", "SELECT o_orderkey, 'S' || o_orderkey % 9 || ',S10' AS marks FROM orders")
 def _(t):
-    lines = t.documents.select("doc_id", F.explode(F.split("text", "\n")).alias("line"))
-    return lines.groupBy("doc_id").agg(F.count_if(F.col("line").rlike(r"^ *([-*]|[0-9]+[.)]) ")).alias("bullets"), F.count(F.lit(1)).alias("lines"))
+    return t.orders.select("o_orderkey", F.array_join(tx.source_marks(F.concat(F.lit("As held [S"), F.col("o_orderkey") % 9, F.lit("] and [S10], again [S"), F.col("o_orderkey") % 9, F.lit("]"))), ",").alias("marks"))
 
 
 @query("c19_url_years", "SELECT page_id, CAST(nullif(regexp_extract(url, '/((?:19|20)[0-9]{2})(?:/|$)', 1), '') AS INT) AS year FROM pages WHERE coalesce(CAST(nullif(regexp_extract(url, '/((?:19|20)[0-9]{2})(?:/|$)', 1), '') AS INT) BETWEEN 1990 AND 2030, true)")

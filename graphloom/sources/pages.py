@@ -25,14 +25,13 @@ def links(pages: DataFrame, base: str, key: str = "page_id", html: str = "html")
 class _Links(HTMLParser):
     """Links with the last heading before them; those in navigation do not count."""
 
-    SKIP = ("nav", "header", "footer", "aside")
-
-    def __init__(self) -> None:
+    def __init__(self, skip: tuple[str, ...]) -> None:
         super().__init__()
+        self.skip = skip
         self.inside, self.heading, self.open, self.href, self.said, self.found = 0, "", False, None, [], []
 
     def handle_starttag(self, tag, attrs) -> None:
-        if tag in self.SKIP:
+        if tag in self.skip:
             self.inside += 1
         elif tag in ("h1", "h2", "h3", "h4"):
             self.open, self.said = True, []
@@ -41,7 +40,7 @@ class _Links(HTMLParser):
 
     def handle_endtag(self, tag) -> None:
         text = " ".join("".join(self.said).split())
-        if tag in self.SKIP:
+        if tag in self.skip:
             self.inside = max(0, self.inside - 1)
         elif tag in ("h1", "h2", "h3", "h4") and self.open:
             self.open, self.heading = False, text
@@ -54,14 +53,14 @@ class _Links(HTMLParser):
         self.said.append(data)
 
 
-def resource_links(pages: DataFrame, key: str = "page_id", html: str = "html") -> DataFrame:
-    """key, href, label, category: links outside navigation, the heading above them as category, the first of each address."""
+def resource_links(pages: DataFrame, key: str = "page_id", html: str = "html", skip: tuple[str, ...] = ("nav", "header", "footer", "aside")) -> DataFrame:
+    """key, href, label, category: links outside the elements to skip, the heading above them as category, the first of each address."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             rows = []
             for page, text in zip(batch[key], batch[html], strict=True):
-                parser = _Links()
+                parser = _Links(skip)
                 parser.feed(text or "")
                 seen = set()
                 for href, label, category in parser.found:

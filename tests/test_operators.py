@@ -52,8 +52,8 @@ def test_headings_and_packing(spark):
     supers = one(spark, chunking.super_chunks(F.col("t"), 14), t=text)
     assert [(r.title, r.body) for r in supers] == [("FIRST PART", "intro\n\nbody one"), ("2.1 Numbered", "body two\n\nx")]
     assert [r.body for r in one(spark, tx.headings(F.col("t")), t="no heading")] == ["no heading"]
-    found = one(spark, chunking.sentences(F.col("t")), t="One. Two!\nno end\nThree?")
-    assert [(r.start, r.text) for r in found] == [(0, "One."), (4, " Two!"), (17, "Three?")]
+    found = chunking.sentences(spark.createDataFrame([(1, "One. Two!\nno end\nThree?"), (2, ""), (3, None)], "k int, text string"), "k").orderBy("i").collect()
+    assert [(r.start, r.sentence) for r in found] == [(0, "One."), (4, " Two!"), (17, "Three?")]
 
 
 def test_chunks_of_documents(spark):
