@@ -65,11 +65,10 @@ def token_estimate(x: Column | str) -> Column:
     return F.when(x == "", 0).otherwise(F.greatest(F.lit(1), F.floor(F.length(x) / 4))).cast("long")
 
 
-def tokens(x: Column | str, stop: Sequence[str] = (), shortest: int = 1) -> Column:
-    """Lower-case runs of letters and digits, without stop words."""
-    parts = F.split(F.lower(F.coalesce(_c(x), F.lit(""))), "[^a-z0-9]+")
-    held = F.array(*map(F.lit, stop)) if stop else F.array().cast("array<string>")
-    return F.filter(parts, lambda p: (F.length(p) >= shortest) & ~F.array_contains(held, p))
+def tokens(x: Column | str, stop: Sequence[str] = (), shortest: int = 1, distinct: bool = False) -> Column:
+    """Lower-case runs of letters and digits, without stop words; once each if ``distinct``."""
+    parts = F.regexp_extract_all(F.lower(F.coalesce(_c(x), F.lit(""))), F.lit(f"[a-z0-9]{{{shortest},}}"), F.lit(0))
+    return F.array_except(parts, F.array(*map(F.lit, stop))) if distinct and stop else F.array_distinct(parts) if distinct else F.filter(parts, lambda p: ~p.isin(*stop)) if stop else parts
 
 
 def words(x: Column | str) -> Column:

@@ -27,7 +27,7 @@ def token_pairs(entities: DataFrame, least: float = 0.95) -> DataFrame:
     Pairs meet by a word of the prefix that similar sets must share: of n words,
     rare ones first, n - ceil(least * n) + 1 of them.
     """
-    each = entities.select("id", "type", F.array_distinct(tx.tokens("name")).alias("w")).filter("size(w) > 0")
+    each = entities.select("id", "type", tx.tokens("name", distinct=True).alias("w")).filter("size(w) > 0")
     counts = each.select("type", F.explode("w").alias("t")).groupBy("type", "t").agg(F.count(F.lit(1)).alias("n"))
     line = F.row_number().over(Window.partitionBy("id").orderBy("n", "t"))
     ordered = each.select("id", "type", F.size("w").alias("size"), F.explode("w").alias("t")).join(counts, ["type", "t"]).withColumn("k", line)

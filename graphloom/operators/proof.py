@@ -100,12 +100,13 @@ def next_steps(chains_: DataFrame, gaps: DataFrame, top: int = 10) -> DataFrame:
 
 #: What tenants' cases usually need, and sentences that state a requirement.
 CRITICAL_ITEMS = ("Written notice from landlord", "Rent payment records", "Photographic evidence of conditions", "Correspondence with landlord")
-REQUIREMENT = r"[^.!?]*(?:require|must|evidence|prove|show)[^.!?]*[.!?]"
+REQUIREMENT_WORDS = ("require", "must", "evidence", "prove", "show")
 
 
 def requirement_sentences(text: Column | str, top: int = 5, size: int = 200, least: int = 20) -> Column:
-    """array<string>: the first sentences that state a requirement."""
-    found = F.transform(F.regexp_extract_all(F.lower(F.col(text) if isinstance(text, str) else text), F.lit(f"({REQUIREMENT})"), F.lit(1)), lambda s: tx.strip(s))
+    """array<string>: the first sentences that state a requirement, in lower case."""
+    ended = F.regexp_extract_all(F.lower(F.col(text) if isinstance(text, str) else text), F.lit(r"(?<![^.!?])[^.!?]++[.!?]"), F.lit(0))
+    found = F.transform(F.filter(ended, lambda s: s.rlike("|".join(REQUIREMENT_WORDS))), lambda s: tx.strip(s))
     return F.transform(F.slice(F.filter(found, lambda s: F.length(s) > least), 1, top), lambda s: F.substring(s, 1, size))
 
 

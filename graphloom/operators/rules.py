@@ -43,7 +43,7 @@ def keyword_score(x: Column | str, words: Sequence[str]) -> Column:
 
 def entity_similarity(a: str, b: str) -> Column:
     """0.4 name + 0.3 description (Jaccard of words) + 0.2 or 0.1 jurisdiction + 0.1 type, of two struct columns."""
-    words = lambda c: F.array_distinct(tx.tokens(c, tx.STOPWORDS))
+    words = lambda c: tx.tokens(c, tx.STOPWORDS, distinct=True)
     of = lambda f: (F.coalesce(F.col(f"{a}.{f}"), F.lit("")), F.coalesce(F.col(f"{b}.{f}"), F.lit("")))
     (n, m), (x, y), (j, k) = of("name"), of("description"), of("jurisdiction")
     j, k = F.lower(j), F.lower(k)
@@ -55,7 +55,7 @@ def entity_similarity(a: str, b: str) -> Column:
 def name_similarity(a: Column, b: Column, x: Column, y: Column) -> Column:
     """1 for equal names, 0.95 if one contains the other, else 0.8 name + 0.2 description by words."""
     low, other = F.lower(a), F.lower(b)
-    words = lambda c: F.array_distinct(tx.tokens(c, tx.STOPWORDS))
+    words = lambda c: tx.tokens(c, tx.STOPWORDS, distinct=True)
     return F.when(low == other, 1.0).when(F.contains(low, other) | F.contains(other, low), 0.95).otherwise(0.8 * tx.jaccard(words(a), words(b)) + 0.2 * tx.jaccard(words(x), words(y)))
 
 
@@ -66,8 +66,8 @@ def best_quotes(pairs: DataFrame, banned: Sequence[str] = d.BANNED_PHRASES, leas
     """
     each = sentences(pairs, "key", "name").select("key", "name", "i", "start", tx.strip("sentence").alias("quote"))
     low, name = F.lower("quote"), F.lower(tx.strip("name"))
-    words = F.array_distinct(tx.tokens("name"))
-    overlap = F.size(F.array_intersect(words, F.array_distinct(tx.tokens("quote")))) / F.greatest(F.size(words), F.lit(1))
+    words = tx.tokens("name", distinct=True)
+    overlap = F.size(F.array_intersect(words, tx.tokens("quote", distinct=True))) / F.greatest(F.size(words), F.lit(1))
     named = F.contains(F.concat(F.lit(" "), F.regexp_replace(low, "[^a-z0-9]+", " "), F.lit(" ")), F.concat(F.lit(" "), F.regexp_replace(name, "[^a-z0-9]+", " "), F.lit(" ")))
     score = F.when(tx.any_of("quote", banned), 0.0).otherwise(F.when(named, 1.0).otherwise(0.0) + 0.5 * overlap)
     line = Window.partitionBy("key").orderBy("i")

@@ -11,14 +11,20 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from graphloom.functions import text as tx
+from graphloom.storage import settled
 
 K1, B = 1.2, 0.75
+#: Distinct terms of a batch of queries up to which they are sent to all tasks; beyond it they are joined by shuffle.
+SENT_TERMS = 100_000
 
 
-def postings(docs: DataFrame, fields: list[str]) -> DataFrame:
-    """id, field, term, tf, length (tokens of the field)."""
+def postings(docs: DataFrame, fields: list[str], terms: DataFrame | None = None) -> DataFrame:
+    """id, field, term, tf, length (tokens of the field); of the given terms (term) only, if there are any."""
     each = docs.select("id", F.explode(F.array(*(F.struct(F.lit(f).alias("field"), tx.tokens(f).alias("tokens")) for f in fields))).alias("f")).select("id", "f.field", "f.tokens")
-    return each.select("id", "field", F.size("tokens").alias("length"), F.explode("tokens").alias("term")).groupBy("id", "field", "term", "length").agg(F.count(F.lit(1)).alias("tf"))
+    each = each.select("id", "field", F.size("tokens").alias("length"), F.explode("tokens").alias("term"))
+    if terms is not None:
+        each = each.join(terms, "term", "left_semi")
+    return each.groupBy("id", "field", "term", "length").agg(F.count(F.lit(1)).alias("tf"))
 
 
 def field_stats(docs: DataFrame, fields: list[str]) -> DataFrame:
@@ -37,11 +43,13 @@ def search(queries: DataFrame, docs: DataFrame, fields: list[str], top: int = 10
 
     With ``all_terms`` every term has to occur. Filters of documents belong before the call: statistics are those of the table given.
     """
-    terms = queries.select("query_id", F.array_distinct(tx.tokens("text")).alias("terms")).select("query_id", F.size("terms").alias("wanted"), F.explode("terms").alias("term"))
-    held = postings(docs, fields)
-    df = held.groupBy("field", "term").agg(F.count(F.lit(1)).alias("df"))
+    terms = queries.select("query_id", tx.tokens("text", distinct=True).alias("terms")).select("query_id", F.size("terms").alias("wanted"), F.explode("terms").alias("term"))
     asked = terms.select("term").distinct()
-    held = held.join(asked, "term", "left_semi").join(df.join(asked, "term", "left_semi"), ["field", "term"]).join(field_stats(docs, fields), "field")
+    if asked.count() <= SENT_TERMS:
+        asked = F.broadcast(asked)
+    held = settled(postings(docs, fields, asked), "postings")  # counted and scored, tokenised once
+    df = held.groupBy("field", "term").agg(F.count(F.lit(1)).alias("df"))
+    held = held.join(df, ["field", "term"]).join(field_stats(docs, fields), "field")
     scored = held.select("term", "id", bm25(F.col("tf"), F.col("length"), F.col("avg_length"), F.col("df"), F.col("n")).alias("s"))
     found = terms.join(scored, "term").groupBy("query_id", "id", "wanted").agg(F.sum("s").alias("score"), F.count_distinct("term").alias("hit"))
     if all_terms:

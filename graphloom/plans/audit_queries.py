@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from graphloom import dictionaries as d
 from graphloom.functions import text as tx
 from graphloom.operators import audit, graph, predict, retrieval
+from graphloom.operators.chunking import SENTENCE
 
 from .catalog import query
 from .projection import CHUNKS_SQL, EDGES_SQL, ENTITIES_SQL, GRAPH_SQL, chunks, edges, entities, with_sql
@@ -60,7 +61,7 @@ def _(t):
 
 @query("e8_quote_presence", "SELECT lang, count(*) FILTER (WHERE regexp_matches(text, '[^.!?\\n]+[.!?]')) AS quoted, count(*) AS total FROM documents GROUP BY 1")
 def _(t):
-    return t.documents.groupBy("lang").agg(F.count_if(F.col("text").rlike(r"[^.!?\n]+[.!?]")).alias("quoted"), F.count(F.lit(1)).alias("total"))
+    return t.documents.groupBy("lang").agg(F.count_if(F.col("text").rlike(SENTENCE)).alias("quoted"), F.count(F.lit(1)).alias("total"))
 
 
 @query("e9_claim_completeness", f"{GRAPH_SQL} SELECT e.src IS NOT NULL AS has_evidence, l.node IS NOT NULL AS has_law, count(*) AS n FROM entities c LEFT JOIN (SELECT DISTINCT src FROM edges WHERE type = 'HAS_EVIDENCE') e ON e.src = c.id LEFT JOIN (SELECT DISTINCT node FROM both_ways WHERE other LIKE 'law:%') l ON l.node = c.id WHERE c.type = 'legal_claim' GROUP BY 1, 2")

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from graphloom import dictionaries as d
 from graphloom.functions import text as tx
 from graphloom.operators import evaluate, graph, predict, proof, rules, search
+from graphloom.operators.chunking import SENTENCE
 from graphloom.streaming import state
 
 from .catalog import query
@@ -237,7 +238,7 @@ QUOTED = "(SELECT doc_id, source AS name, regexp_extract(text, '[^.!?\\n]+[.!?]'
 
 
 def _quoted(t):
-    quote = F.concat(F.regexp_extract("text", r"[^.!?\n]+[.!?]", 0), F.when(F.col("doc_id") % 2 == 0, F.col("source")).otherwise(""))
+    quote = F.concat(F.regexp_extract("text", SENTENCE, 0), F.when(F.col("doc_id") % 2 == 0, F.col("source")).otherwise(""))
     return t.documents.select("doc_id", F.col("source").alias("name"), quote.alias("quote"))
 
 

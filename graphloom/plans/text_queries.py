@@ -92,7 +92,7 @@ def _(t):
 
 @query("b14_sentences", "WITH s AS (SELECT doc_id, regexp_extract_all(text, '[^.!?\\n]+[.!?]') AS l FROM documents) SELECT doc_id, len(l) AS n, sha256(array_to_string(l, '|')) AS digest FROM s WHERE len(l) > 0")
 def _(t):
-    held = t.documents.select("doc_id", F.regexp_extract_all("text", F.lit(r"[^.!?\n]+[.!?]"), F.lit(0)).alias("l")).filter("size(l) > 0")
+    held = t.documents.select("doc_id", F.regexp_extract_all("text", F.lit(chunking.SENTENCE), F.lit(0)).alias("l")).filter("size(l) > 0")
     return held.select("doc_id", F.size("l").cast("long").alias("n"), F.sha2(F.array_join("l", "|").cast("binary"), 256).alias("digest"))
 
 
