@@ -38,9 +38,14 @@ def settle(df: DataFrame, label: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def named(col: str) -> Column:
+    """The column of exactly this name, dots and all."""
+    return F.col("`" + col.replace("`", "``") + "`")
+
+
 def text_of(col: str) -> Column:
     """The text, null as the empty one."""
-    return F.coalesce(F.col(col), F.lit(""))
+    return F.coalesce(named(col), F.lit(""))
 
 
 def word_count(col: str) -> Column:

@@ -24,7 +24,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_schema
 
-from .base import documents, fresh, text_of
+from .base import documents, fresh, named, text_of
 
 #: Bytes of text that a task holds before it passes on what it has folded.
 FOLD_BYTES = 32 << 20
@@ -141,7 +141,7 @@ def owners(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", keep
     fields = [T.StructField(f"c{i}", docs.schema[c].dataType) for i, c in enumerate(carry)]
     rows = docs.select(
         F.octet_length(text_of(text_col)).cast("long").alias("n_bytes"), F.xxhash64(text_of(text_col)).alias("code"), text_of(text_col).cast("binary").alias("text"),
-        F.lit(1).cast("long").alias("n"), F.col(id_col).alias("id"), *(F.col(c).alias(f"c{i}") for i, c in enumerate(carry)),
+        F.lit(1).cast("long").alias("n"), named(id_col).alias("id"), *(named(c).alias(f"c{i}") for i, c in enumerate(carry)),
     )
     id_type = rows.schema["id"].dataType
     part = T.StructType([T.StructField("n_bytes", T.LongType()), T.StructField("code", T.LongType()), T.StructField("text", T.BinaryType()), T.StructField("n", T.LongType()), T.StructField("id", id_type), *fields])
@@ -155,7 +155,7 @@ def owners(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", keep
 def classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", keep: str = "largest") -> DataFrame:
     """One row for each document: id, keep_id, group_size, kept, text_sha256."""
     held = owners(docs, id_col, text_col, keep).select("text_sha256", "keep_id", "group_size")
-    members = docs.select(F.col(id_col).alias("doc_id"), F.sha2(text_of(text_col).cast("binary"), 256).alias("text_sha256"))
+    members = docs.select(named(id_col).alias("doc_id"), F.sha2(text_of(text_col).cast("binary"), 256).alias("text_sha256"))
     # Equal rows are interchangeable; they are numbered so that one of them stays.
     turn = F.row_number().over(Window.partitionBy("doc_id", "text_sha256").orderBy(F.lit(0)))
     members = members.withColumn("turn", turn)
@@ -167,7 +167,7 @@ def drop_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     """The rows of ``docs`` that own their text, with all their columns; a null text stays null only if no empty one of a larger id has it."""
     carry = tuple(c for c in docs.columns if c not in (id_col, text_col))
     (was_null,) = fresh(docs, "was_null")
-    marked = docs.withColumn(was_null, F.col(text_col).isNull())
+    marked = docs.withColumn(was_null, named(text_col).isNull())
     held = owners(marked, id_col, text_col, keep, (*carry, was_null), True)
     back = {id_col: F.col("keep_id"), text_col: F.when(~F.col(f"c{len(carry)}"), F.col("text").cast("string"))} | {c: F.col(f"c{i}") for i, c in enumerate(carry)}
     return held.select(*(back[c].alias(c) for c in docs.columns))

@@ -26,8 +26,9 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from .base import documents, text_of
+from .base import documents, fresh, named
 
 UND = "und"
 DIMENSIONS, ORDER, PER_LANGUAGE = 1024, 3, 3000
@@ -124,9 +125,9 @@ class Bundler:
 
 def prototypes(docs: DataFrame, learn: Column, text_col: str = "text", lang_col: str = "lang", key_col: str = "doc_id", per_language: int = PER_LANGUAGE, dimensions: int = DIMENSIONS, order: int = ORDER) -> tuple[list[str], np.ndarray]:
     """Languages in code point order and their unit bundles."""
-    labelled = docs.filter(learn & F.col(lang_col).isNotNull() & F.col(text_col).isNotNull())
-    draw = F.xxhash64(F.col(key_col).cast("string"), F.lit(9))
-    first = labelled.select(F.col(lang_col).cast("string").alias("lang"), draw.alias("draw"))
+    labelled = docs.filter(learn & named(lang_col).isNotNull() & named(text_col).isNotNull())
+    draw = F.xxhash64(named(key_col).cast("string"), F.lit(9))
+    first = labelled.select(named(lang_col).cast("string").alias("lang"), draw.alias("draw"))
     # The smallest hashes are ranked among twice as many as are wanted, not among all rows of a language.
     sizes = {r.lang: r.n for r in first.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).collect()}
     share = F.create_map(*(F.lit(x) for lang, n in sizes.items() for x in (lang, min(1.0, 2.0 * per_language / n)))) if sizes else F.create_map().cast("map<string,double>")
@@ -135,7 +136,7 @@ def prototypes(docs: DataFrame, learn: Column, text_col: str = "text", lang_col:
     # One number for each language comes to the driver; the texts are filtered where they are read and not dealt out.
     limits = first.withColumn("rank", rank).filter(F.col("rank") <= per_language).groupBy("lang").agg(F.max("draw").alias("limit")).collect()
     bound = F.create_map(*(F.lit(x) for r in limits for x in (r.lang, r.limit))) if limits else F.create_map().cast("map<string,bigint>")
-    chosen = labelled.filter(draw <= F.try_element_at(bound, F.col(lang_col).cast("string"))).select(F.col(lang_col).cast("string").alias("lang"), F.col(text_col).alias("text"))
+    chosen = labelled.filter(draw <= F.try_element_at(bound, named(lang_col).cast("string"))).select(named(lang_col).cast("string").alias("lang"), named(text_col).alias("text"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bundler, sums = Bundler(dimensions, order), {}
@@ -171,24 +172,23 @@ def predict(docs: DataFrame, langs: list[str], profiles: np.ndarray, text_col: s
                 value[size == 0] = 0
             else:
                 names, value = [UND] * len(size), np.zeros(len(size))
-            yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(names, pa.string()), pa.array(value)], names=[*batch.schema.names[:-1], label, score])
+            yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(names, pa.string()), pa.array(value)], names=[*carry, label, score])
 
-    fields = ", ".join([*(f"`{c}` {docs.schema[c].dataType.simpleString()}" for c in carry), f"`{label}` string", f"`{score}` double"])
-    return docs.select(*(F.col(c) for c in carry), F.col(text_col).alias("the text")).mapInArrow(run, fields)
+    fields = T.StructType([*(docs.schema[c] for c in carry), T.StructField(label, T.StringType()), T.StructField(score, T.DoubleType())])
+    return docs.select(*(named(c).alias(f"c{i}") for i, c in enumerate(carry)), named(text_col).alias("text")).mapInArrow(run, fields)
 
 
 def held_out(id_col: str = "doc_id") -> Column:
-    return F.coalesce(F.crc32(F.col(id_col).cast("string")) % 5 == 0, F.lit(False))
+    return F.coalesce(F.crc32(named(id_col).cast("string")) % 5 == 0, F.lit(False))
 
 
 def keep_identified(docs: DataFrame, text_col: str = "text", lang_col: str = "lang", id_col: str = "doc_id") -> DataFrame:
     """The rows of ``docs`` in which a language was found, all columns as they were."""
     langs, profiles = prototypes(docs, F.lit(True), text_col, lang_col, id_col)
-    marked = docs.select(*docs.columns, F.col(text_col).alias("the text"))
     if not langs:
         return docs.filter(F.lit(False))
-    names = ("the language", "the score")
-    return predict(marked, langs, profiles, "the text", tuple(docs.columns), as_names=names).filter(F.col(names[0]) != UND).select(*docs.columns)
+    label, score = fresh(docs, "lang_pred", "score")
+    return predict(docs, langs, profiles, text_col, tuple(docs.columns), as_names=(label, score)).filter(named(label) != UND).select(*map(named, docs.columns))
 
 
 def op9_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:

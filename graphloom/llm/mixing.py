@@ -23,7 +23,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .base import WORD, documents, settle, text_of
+from .base import WORD, documents, named, settle, text_of
 
 #: A quality weight below this counts as this.
 LEAST_QUALITY = 1e-3
@@ -64,7 +64,7 @@ def targets(sizes: DataFrame, share: float = 1.0, most: float = 3.0, weights: tu
 
 def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", quality: Column | None = None, seed: int = 2, share: float = 1.0, most: float = 3.0, weights: tuple[float, ...] = (1.0, 2.0, 3.0), range_rows: int = RANGE_ROWS) -> DataFrame:
     """One row per document: doc_id, code (hash of the text), source, size, source_size, target, times, taken."""
-    sized = docs.select(F.col(id_col).alias("doc_id"), F.col(source_col).alias("source"), F.col(text_col).alias("text"), (F.lit(1.0) if quality is None else quality.cast("double")).alias("quality"))
+    sized = docs.select(named(id_col).alias("doc_id"), named(source_col).alias("source"), named(text_col).alias("text"), (F.lit(1.0) if quality is None else quality.cast("double")).alias("quality"))
     sized = sized.withColumn("size", F.regexp_count(text_of("text"), F.lit(WORD)).cast("long"))
     if quality is None:
         sized = sized.withColumn("quality", prose_quality())
@@ -96,7 +96,7 @@ def mixed_rows(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     taken = mix(docs, id_col, text_col, source_col, **options).filter("times > 0").groupBy("doc_id", "code", "source").agg(F.sum("times").alias("times"), F.count(F.lit(1)).alias("copies"))
     # Equal rows share what was taken of them: each gets the ceiling, which is exact for distinct rows.
     taken = taken.select(F.col("doc_id").alias("taken_id"), F.col("code").alias("taken_code"), F.col("source").alias("taken_source"), F.ceil(F.col("times") / F.col("copies")).cast("int").alias("taken_times"))
-    left = docs.select(F.struct(*docs.columns).alias("row"), F.col(id_col).alias("own_id"), F.col(source_col).alias("own_source"), F.xxhash64(text_of(text_col)).alias("own_code"))
+    left = docs.select(F.struct(*map(named, docs.columns)).alias("row"), named(id_col).alias("own_id"), named(source_col).alias("own_source"), F.xxhash64(text_of(text_col)).alias("own_code"))
     met = left.join(taken.hint("shuffle_hash"), F.col("own_id").eqNullSafe(F.col("taken_id")) & (F.col("own_code") == F.col("taken_code")) & F.col("own_source").eqNullSafe(F.col("taken_source")))
     return met.select("row", F.explode(F.sequence(F.lit(1), F.col("taken_times"))).alias("turn")).select("row.*")
 

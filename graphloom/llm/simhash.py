@@ -31,7 +31,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .base import documents, settle, text_of
+from .base import documents, fresh, named, settle, text_of
 
 #: Longest posting list that one task takes as a whole.
 LONG_LIST = 20_000
@@ -65,7 +65,7 @@ def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
             prints = np.array([fingerprint(x, words, seed) for x in batch.column(1).to_pylist()], np.uint64).view(np.int64)
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(prints, pa.int64()), batch.column(2)], names=["id", "fp", "code"])
 
-    return docs.select(F.col(id_col).alias("id"), text_of(text_col).cast("binary").alias("text"), F.xxhash64(text_of(text_col)).alias("code")).mapInArrow(run, f"id {kind}, fp long, code long")
+    return docs.select(named(id_col).alias("id"), text_of(text_col).cast("binary").alias("text"), F.xxhash64(text_of(text_col)).alias("code")).mapInArrow(run, f"id {kind}, fp long, code long")
 
 
 def _mask(places: tuple[int, ...]) -> int:
@@ -213,8 +213,11 @@ def near_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 def drop_near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 3, bits: int = 3) -> DataFrame:
     """The rows of ``docs`` that own their group: the least id stays. Equal rows (id and text) count as one and both stay; run exact dedup first."""
     _, groups = near_groups(docs, id_col, text_col, words, bits)
-    kept = groups.select(F.col("owner.id").alias("kept_id"), F.col("owner.code").alias("kept_code")).distinct()
-    return docs.join(kept.hint("shuffle_hash"), docs[id_col].eqNullSafe(kept.kept_id) & (F.xxhash64(F.coalesce(docs[text_col], F.lit(""))) == kept.kept_code), "left_semi")
+    own_id, own_code, row = fresh(docs, "kept_id", "kept_code", "row")
+    kept = groups.select(F.col("owner.id").alias(own_id), F.col("owner.code").alias(own_code)).distinct()
+    keyed = docs.select(F.struct(*map(named, docs.columns)).alias(row), named(id_col).alias("id"), F.xxhash64(text_of(text_col)).alias("code"))
+    met = keyed.join(kept.hint("shuffle_hash"), F.col("id").eqNullSafe(F.col(own_id)) & (F.col("code") == F.col(own_code)), "left_semi")
+    return met.select(f"{row}.*")
 
 
 def op5_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -5,6 +5,7 @@ from pyspark.sql import types as T
 DOC = T.StructType([
     T.StructField("doc_id", T.LongType()), T.StructField("text", T.StringType()), T.StructField("lang", T.StringType()), T.StructField("source", T.StringType()), T.StructField("n_chars", T.LongType()),
     T.StructField("id", T.StringType()), T.StructField("fp", T.StringType()), T.StructField("size", T.StringType()), T.StructField("code", T.StringType()), T.StructField("row", T.StringType()),
+    T.StructField("kept_id", T.StringType()), T.StructField("lang_pred", T.StringType()), T.StructField("a.b", T.StringType()), T.StructField("was_null", T.StringType()),
 ])
 
 LONG = "one two three four five six seven eight nine ten " * 20_000
@@ -26,7 +27,7 @@ ROWS = [
 
 
 def awkward(spark):
-    return spark.createDataFrame([(*r, "x", "y", "z", "w", "v") for r in ROWS], DOC)
+    return spark.createDataFrame([(*r, *"xyzwvabcd") for r in ROWS], DOC)
 
 
 def empty(spark):
