@@ -33,11 +33,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .base import documents, settle
+from .base import documents, named, settle
 
 CAPACITY, END, FILL = 2048, 1, 0.98
-#: Pieces of a worker, about, and workers whose remainders meet.
-WORKER_PIECES, MEET = 100_000, 64
+#: Pieces of a class that a worker takes, about, and workers whose remainders meet.
+WORKER_PIECES, MEET = 4_000, 64
 VOCABULARY = "byte_bpe_50k.json"
 
 
@@ -107,7 +107,7 @@ def pieces(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", capa
             yield pa.RecordBatch.from_arrays([*columns, *[pa.array(held, pa.list_(pa.int32()))] * with_ids], names=names)
 
     schema = f"doc_id {kind}, start long, length long, ids_crc32 long, doc_tokens long" + ", ids array<int>" * with_ids
-    return docs.select(id_col, text_col).mapInArrow(run, schema)
+    return docs.select(named(id_col), named(text_col)).mapInArrow(run, schema)
 
 
 def _first_fit(capacity: int):
@@ -132,8 +132,13 @@ def pack(cut: DataFrame, capacity: int = CAPACITY, worker_pieces: int = WORKER_P
     """Adds sequence_id and offset to pieces; (doc_id, start, ids_crc32) tells them apart, equal ones are interchangeable."""
     keys = ["doc_id", "start", "length", "ids_crc32", "doc_tokens"]
     cut = settle(cut.select(*keys), "pieces")
-    workers = max(1, -(-cut.count() // worker_pieces))
-    rest = cut.withColumn("class", F.floor(F.lit(capacity) / F.col("length")).cast("int")).withColumn("worker", F.pmod(F.xxhash64("doc_id", "start"), F.lit(workers)))
+    rest = cut.withColumn("class", F.floor(F.lit(capacity) / F.col("length")).cast("int"))
+    # As many workers as the pieces of a class ask for; there are at most twice as many classes as the root of the capacity.
+    sizes = {r["class"]: r["n"] for r in rest.groupBy("class").agg(F.count(F.lit(1)).alias("n")).collect()}
+    share = {k: -(-n // worker_pieces) for k, n in sizes.items()}
+    workers = max(share.values(), default=1)
+    spread = F.element_at(F.create_map(*(F.lit(v) for pair in share.items() for v in pair)), F.col("class")) if share else F.lit(1)
+    rest = rest.withColumn("worker", F.pmod(F.xxhash64("doc_id", "start"), spread))
     done, level = None, 0
     while True:
         own = Window.partitionBy("worker", "class")
