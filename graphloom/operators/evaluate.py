@@ -95,7 +95,7 @@ def macro(rows: DataFrame, *metrics: str) -> DataFrame:
     return rows.agg(*(F.avg(m).alias(m) for m in metrics), F.count_if(~given).alias("abstained"), F.avg(F.when(given, F.col("correct").cast("int"))).alias("accuracy_when_predicted"), F.avg(F.col("correct").cast("int")).alias("accuracy"))
 
 
-def overall(rows: DataFrame, *metrics: str) -> Column:
+def overall(*metrics: str) -> Column:
     """The mean of the metrics that are there."""
     held = F.filter(F.array(*metrics), lambda x: x.isNotNull())
     return F.when(F.size(held) > 0, F.aggregate(held, F.lit(0.0), lambda s, x: s + x) / F.size(held))

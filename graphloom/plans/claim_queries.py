@@ -14,7 +14,7 @@ from .catalog import query
 from .projection import EDGES_SQL, ENTITIES_SQL, GRAPH_SQL, REQUIRED_SQL, edges, entities, required, with_sql
 
 EE = with_sql(ENTITIES_SQL, EDGES_SQL)
-#: Situations told about rooms: conversations do not speak of housing, so words are put before them by turn.
+#: The generated conversations do not speak of housing, so words are put before them by turn.
 _SAID = ("my landlord ignores the eviction notice and the heat", "an overcharge; I have rent history and a photo", "harassment by the owner, retaliation too", "commercial lease of a shop", "nothing of the kind", "the tenant", "DHCR and repairs and security deposit")
 SAID = "(CASE turn % 7 " + " ".join(f"WHEN {i} THEN '{s}'" for i, s in enumerate(_SAID)) + " END || ' ' || text)"
 
@@ -275,7 +275,7 @@ def _(t):
 def _(t):
     each = _matched(t).groupBy("claim").agg(F.avg(F.col("satisfied").cast("int")).alias("s"), F.bool_and(F.col("satisfied") | ~F.col("is_critical")).alias("c"))
     out = each.agg(F.count(F.lit(1)).alias("n"), F.avg("s").alias("evidence"), F.avg(F.col("c").cast("int")).alias("verified"))
-    return out.withColumn("overall", evaluate.overall(out, "evidence", "verified")).select("n", *(F.round(c, 6).alias(c) for c in ("evidence", "verified", "overall")))
+    return out.withColumn("overall", evaluate.overall("evidence", "verified")).select("n", *(F.round(c, 6).alias(c) for c in ("evidence", "verified", "overall")))
 
 
 @query("l6_quote_scores", f"SELECT doc_id, round(CASE WHEN quote = '' THEN 0 ELSE CASE WHEN contains(lower(quote), lower(name)) THEN 0.3 ELSE 0 END + CASE WHEN contains(lower(quote), ' is ') OR contains(lower(quote), ' are ') OR contains(lower(quote), ' means ') THEN 0.3 ELSE 0 END + CASE WHEN length(quote) BETWEEN 50 AND 400 THEN 0.4 ELSE 0 END END, 6) AS score FROM {QUOTED}")
