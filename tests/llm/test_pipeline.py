@@ -33,7 +33,6 @@ def test_every_stage_has_its_effect(spark, sf):
 
 def brute_mix(spark, docs):
     """Times by document: sorted by key within each source, one after the other."""
-    from graphloom.llm import mixing
     from pyspark.sql import functions as F
 
     rows = docs.select("doc_id", "source", F.coalesce("text", F.lit("")).alias("text"), F.shiftrightunsigned(F.xxhash64(F.lit(2), F.col("doc_id").cast("string"), F.xxhash64(F.coalesce("text", F.lit("")))), 11).alias("bits")).collect()
