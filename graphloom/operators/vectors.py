@@ -142,3 +142,13 @@ def approximate_pairs(vectors: DataFrame, least: float, width: float = 0.5, tabl
     model = BucketedRandomProjectionLSH(inputCol="v", outputCol="h", bucketLength=width, numHashTables=tables, seed=seed).fit(unit)
     met = model.approxSimilarityJoin(unit, unit, float(np.sqrt(max(0.0, 2 - 2 * least))) + 1e-9, "apart").filter("datasetA.id < datasetB.id")
     return met.select(F.col("datasetA.id").alias("a"), F.col("datasetB.id").alias("b"), (1 - F.col("apart") * F.col("apart") / 2).alias("score")).filter(F.col("score") >= least)
+
+
+def encode_missing(texts: DataFrame, cache: DataFrame, encoder) -> DataFrame:
+    """text_hash, embedding, cached: vectors of the distinct texts (text), from the cache (text_hash, embedding) where it has them; only the others are encoded."""
+    from graphloom.functions.text import sha
+
+    wanted = texts.select(sha("text").alias("text_hash"), "text").dropDuplicates(["text_hash"])
+    held = cache.join(wanted.select("text_hash"), "text_hash", "left_semi").select("text_hash", "embedding", F.lit(True).alias("cached"))
+    new = wanted.join(cache.select("text_hash"), "text_hash", "left_anti").select("text_hash", encoder(F.col("text")).alias("embedding"), F.lit(False).alias("cached"))
+    return held.unionByName(new)

@@ -299,6 +299,19 @@ def _(t):
     return dedup.merged(held, moved).select("id", "name", "description", "members")
 
 
+@query("i5_canonical_types", "SELECT 'type ' || label AS name, 'type ' || label AS canonical FROM embeddings GROUP BY label")
+def _(t):
+    first = {f"type {r.label}": r.e for r in t.embeddings.groupBy("label").agg(F.min_by("embedding", "vec_id").alias("e")).collect()}
+    return t._spark.createDataFrame(sorted(vectors.canonical_types(sorted(first), first, 0.8)[1].items()), "name string, canonical string")
+
+
+@query("i7_embedding_cache", "SELECT sha256(text) AS text_hash, bool_or(doc_id % 2 = 0) AS cached, 32 AS size FROM documents GROUP BY 1")
+def _(t):
+    encode = vectors.hashing_encoder(32)
+    cache = t.documents.filter("doc_id % 2 = 0").select(tx.sha("text").alias("text_hash"), encode("text").alias("embedding")).dropDuplicates(["text_hash"])
+    return vectors.encode_missing(t.documents, cache, encode).select("text_hash", "cached", F.size("embedding").alias("size"))
+
+
 @query("i8_approximate_pairs")
 def _(t):
     return vectors.approximate_pairs(t.embeddings.select(F.col("vec_id").alias("id"), "embedding"), 0.3).select("a", "b", F.round("score", 6).alias("score"))
