@@ -45,8 +45,8 @@ def _matrix(column: pd.Series) -> np.ndarray:
 
 
 def _distances(vectors: np.ndarray, pivots: np.ndarray) -> np.ndarray:
-    square = (vectors**2).sum(axis=1)[:, None] + (pivots**2).sum(axis=1)[None, :] - 2 * vectors @ pivots.T
-    return np.sqrt(np.maximum(square, 0))
+    """Distances to pivots, from differences, so that their relative error is that of a sum however far a pivot lies."""
+    return np.stack([np.sqrt(((vectors - p) ** 2).sum(axis=1)) for p in pivots], axis=1)
 
 
 def pivot_table(rows: DataFrame, pivots: int) -> DataFrame:
@@ -84,7 +84,8 @@ def search_block(queries: pd.DataFrame, candidates: pd.DataFrame, k: int) -> pd.
         own_ids, own_turns = queries["vec_id"].to_numpy(np.int64), queries["turn"].to_numpy(np.int64)
         qq, cc = (q**2).sum(axis=1), (c**2).sum(axis=1)
         for i in range(len(q)):
-            apart = np.abs(dc - dq[i]).max(axis=1, initial=0)
+            # What rounding may have added to a difference of distances is taken off.
+            apart = np.maximum(np.abs(dc - dq[i]) - (dc + dq[i]) * q.shape[1] * 2.0**-50, 0).max(axis=1, initial=0)
             bound = (qq[i] + cc - apart**2) / 2
             bound += 1e-6 * (1 + qq[i] + cc)  # what rounding may have taken
             bound[(ids == own_ids[i]) & (turns == own_turns[i])] = -np.inf

@@ -35,3 +35,11 @@ def test_top_k_takes_awkward_rows(spark):
     assert got(spark, []) == []
     twice = got(spark, [*rows[:1], *rows[:1], (1, [0.0, 1.0])])
     assert twice == [(0, 1, 0, 1024 * 1024 * 5), (0, 1, 0, 1024 * 1024 * 5), (0, 2, 1, 2 * 1024 * 1024), (0, 2, 1, 2 * 1024 * 1024)]
+
+
+def test_far_pivots_eliminate_nobody(spark):
+    draw = np.random.default_rng(1)
+    rows = [(i * 10, v.tolist()) for i, v in enumerate(draw.normal(size=(60, 8)).astype(np.float32))]
+    rows += [(1000 + i, (v * 10.0 ** draw.integers(3, 30)).tolist()) for i, v in enumerate(draw.normal(size=(20, 8)))]
+    rows = [(i, [float(np.float32(x)) for x in v]) for i, v in rows]
+    assert got(spark, rows) == brute(rows)
