@@ -1,7 +1,7 @@
 """Quality by perplexity under an interpolated modified Kneser-Ney n-gram model.
 
 The model counts n-grams of characters over all trusted texts (documents with a
-label of quality 1 and none of 0), one in ten held back to set thresholds. Counts
+label of quality 1 and none of 0), one in five held back to set thresholds. Counts
 are folded in each task and added up by n-gram; the counts of lower orders are
 those of distinct continuations, the discounts those of modified Kneser-Ney, and
 every probability and backoff weight comes from joins of these count tables by
@@ -37,7 +37,7 @@ ORDER = 4
 #: Entries of a shard at most; 16 bytes each.
 SHARD_ENTRIES = 4_000_000
 #: The quantile of held-back trusted documents, and how many a language needs for its own.
-QUANTILE, LEAST_DOCUMENTS = 0.995, 50
+QUANTILE, LEAST_DOCUMENTS = 0.999, 50
 #: Characters that are counted or scored together.
 TOGETHER = 400_000
 
@@ -228,7 +228,7 @@ def score(docs: DataFrame, entries: DataFrame, floor: float, carry: tuple[str, .
 def classify(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", quantile: float = QUANTILE, least: int = LEAST_DOCUMENTS, shard_entries: int = SHARD_ENTRIES) -> DataFrame:
     """One row per document: doc_id, lang, n, perplexity, threshold, kept."""
     good = labels.groupBy(F.col("doc_id").alias("trusted_id")).agg(F.min("quality").alias("least"), F.max("quality").alias("most")).filter("least = 1 and most = 1").select("trusted_id")
-    held_back = F.pmod(F.xxhash64("trusted_id", F.lit(7)), F.lit(10)) == 0
+    held_back = F.pmod(F.xxhash64("trusted_id", F.lit(7)), F.lit(5)) == 0
     trusted = docs.select(F.col(id_col).alias("trusted_id"), F.col(text_col).alias("text")).join(good.filter(~held_back).hint("shuffle_hash"), "trusted_id", "left_semi").select("text")
     tables = counts(trusted)
     named = docs.select(F.monotonically_increasing_id().alias("uid"), F.col(id_col).alias("doc_id"), F.col(lang_col).cast("string").alias("lang"), F.col(text_col).alias("text"))
