@@ -80,17 +80,19 @@ def bootstrap(seeds: DataFrame, candidates: DataFrame, rounds: int = ROUNDS, sup
     distinct, so a common instance or pattern counts once for each partner.
     """
     known = seeds.select(F.explode("patterns").alias("pattern"), "instance", "kind").distinct()
-    useful = known.groupBy("pattern").agg(F.count_distinct("instance").alias("n")).filter(F.col("n") >= support).select("pattern")
     open_ = candidates.select(F.explode("patterns").alias("pattern"), "instance").distinct()
-    edges = settle(known.unionByName(open_.withColumn("kind", F.lit(None).cast("string"))).join(useful, "pattern", "left_semi"), "pii-edges")
+    every = known.unionByName(open_.withColumn("kind", F.lit(None).cast("string")))
+    # No round can score more instances of a pattern than the seeds and candidates that it meets.
+    useful = every.groupBy("pattern").agg(F.count_distinct("instance").alias("n")).filter(F.col("n") >= support).select("pattern")
+    edges = settle(every.join(useful, "pattern", "left_semi"), "pii-edges")
     scores = edges.filter("kind is not null").select("instance", "kind", F.lit(1.0).alias("score")).distinct()
     new = None
     for _ in range(rounds):
         held = scores if new is None else scores.unionByName(new)
         met = edges.select("pattern", "instance").distinct().join(held, "instance", "left")
         total = met.groupBy("pattern").agg(F.count_distinct("instance").alias("total"))
-        own = met.filter("kind is not null").groupBy("pattern", "kind").agg(F.sum("score").alias("sum"))
-        sure = own.filter(F.col("sum") >= support).join(total, "pattern").select("pattern", "kind", F.least(F.lit(0.999), F.col("sum") / F.col("total")).alias("confidence")).filter(F.col("confidence") >= confidence)
+        own = met.filter("kind is not null").groupBy("pattern", "kind").agg(F.sum("score").alias("sum"), F.count_distinct("instance").alias("n"))
+        sure = own.filter(F.col("n") >= support).join(total, "pattern").select("pattern", "kind", F.least(F.lit(0.999), F.col("sum") / F.col("total")).alias("confidence")).filter(F.col("confidence") >= confidence)
         doubt = F.exp(F.sum(F.log(1 - F.col("confidence"))))
         found = edges.filter("kind is null").join(sure.select("pattern", F.col("kind").alias("as_kind"), "confidence"), "pattern").groupBy("instance", "as_kind").agg((1 - doubt).alias("score"))
         best = found.groupBy("instance").agg(F.max(F.struct("score", F.col("as_kind").alias("kind"))).alias("b")).select("instance", "b.kind", "b.score")

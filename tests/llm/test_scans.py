@@ -62,6 +62,17 @@ def test_contexts_discover_identifiers(spark):
     assert out[101].n_added == 0 and out[102].n_added == 0 and all(out[i].n_email == 1 for i in range(8))
 
 
+def test_found_instances_are_seeds_of_the_next_round(spark):
+    """A context that no base match meets, only three instances found in the first round and one more."""
+    rows = [(i, f"then please write to user{i}@mail.example.com for more") for i in range(8)]
+    rows += [(10 + i, f"then please write to p{i}(at)example.org for more, or reach me under p{i}(at)example.org always") for i in range(3)]
+    rows += [(20, "or reach me under q(at)example.org always"), (21, "or reach us over r(at)example.org never")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    added = lambda n: {r.doc_id: r.n_added for r in pii.digest(pii.find(docs, rounds=n)).collect()}
+    assert added(1) == dict.fromkeys(range(8), 0) | dict.fromkeys(range(10, 13), 2) | {20: 0, 21: 0}
+    assert added(2) == added(3) == dict.fromkeys(range(8), 0) | dict.fromkeys(range(10, 13), 2) | {20: 1, 21: 0}
+
+
 def test_scans_take_awkward_rows(spark):
     docs = awkward(spark)
     held(docs.collect(), pii.digest(pii.find(docs)).collect())
