@@ -140,8 +140,8 @@ def _(t):
 
 @query("k2_greedy_matches")
 def _(t):
-    req = t.orders.filter("o_orderkey < 300").select(F.col("o_orderkey").alias("claim"), F.concat(F.lit("r"), "o_orderpriority").alias("required_id"), F.lit(0).alias("seq"), F.concat(F.lit("red widget "), "o_orderstatus").alias("text"))
-    shown = t.lineitem.filter("l_orderkey < 300").join(t.part, F.col("l_partkey") == F.col("p_partkey")).select(F.col("l_orderkey").alias("claim"), F.concat_ws("-", "l_linenumber", "l_partkey").alias("presented_id"), F.col("l_linenumber").alias("seq"), F.col("p_name").alias("text"))
+    req = t.orders.select(F.col("o_orderkey").alias("claim"), F.concat(F.lit("r"), "o_orderpriority").alias("required_id"), F.lit(0).alias("seq"), F.concat(F.lit("red widget "), "o_orderstatus").alias("text"))
+    shown = t.lineitem.join(t.part, F.col("l_partkey") == F.col("p_partkey")).select(F.col("l_orderkey").alias("claim"), F.concat_ws("-", "l_linenumber", "l_partkey").alias("presented_id"), F.col("l_linenumber").alias("seq"), F.col("p_name").alias("text"))
     none = shown.select("presented_id", F.lit("").alias("required_id")).limit(0)
     return proof.match_evidence(req, shown, none)
 
