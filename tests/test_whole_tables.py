@@ -28,3 +28,9 @@ def test_greedy_matches_of_large_keys(run):
     lines = [(k, 7, n) for k in (1, 300, 150_000, 150_001) for n in (1, 2)]
     found = run("k2_greedy_matches", orders=(orders, "o_orderkey long, o_orderpriority string, o_orderstatus string"), lineitem=(lines, "l_orderkey long, l_partkey long, l_linenumber int"), part=([(7, "red widget")], "p_partkey long, p_name string"))
     assert found == [(k, "r1-URGENT", "1-7") for k in (1, 300, 150_000)]
+
+
+def test_dockets_of_large_keys(run):
+    keys = (3, 4, 5, 89_999, 90_000, 90_001, 120_001, 150_002)
+    want = {3: "LT-3/20", 4: "10004/2021", 90_000: "LT-90000/20", 90_001: "100001/2021", 120_001: "130001/2021"}
+    assert run("h5_dockets", orders=([(k,) for k in keys], "o_orderkey long")) == [(k, want.get(k)) for k in keys]
