@@ -115,7 +115,9 @@ class Engine:
     def consolidate(self, least: float = 0.95) -> tuple[Engine, DataFrame]:
         """(engine, moved): entities whose names' words are all but equal merged, edges rewired."""
         moved = dedup.resolved(dedup.greedy_merges(dedup.token_pairs(self.entities, least)))
-        kept = self.entities.join(moved.select(F.col("old").alias("id")), "id", "left_anti")
+        met = moved.select(F.explode(F.array("old", "new")).alias("id")).distinct()
+        both = dedup.merged(self.entities.join(met, "id", "left_semi"), moved).select(*self.entities.columns)
+        kept = self.entities.join(met, "id", "left_anti").unionByName(both)
         return Engine(kept, graph.remap_edges(self.edges, moved), self.chunks), moved
 
     def audit(self) -> dict[str, DataFrame]:

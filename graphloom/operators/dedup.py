@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -69,14 +71,43 @@ def resolved(merges: DataFrame) -> DataFrame:
         moved = after.select("old", "new")
 
 
+def _once(items: Column, key: Callable[[Column], Column]) -> Column:
+    """The first item of each key, in order."""
+    keys = F.transform(items, key)
+    return F.filter(items, lambda x, i: F.array_position(keys, key(x)) == i + 1)
+
+
 def merged(entities: DataFrame, moved: DataFrame) -> DataFrame:
-    """Entities (id, name, description, chunk_ids) after a merge: longest description, union of chunk ids, number of members."""
+    """Entities after a merge, with all their columns and the number of members.
+
+    Longest description; chunk ids united; quotes once for each beginning of 100
+    characters, provenance for each source and beginning of the quote; the
+    source of the highest authority, then the newest; sources counted anew;
+    attributes and other columns those of the kept entity, filled from the others
+    in order of their ids. Columns that are missing stay away.
+    """
     held = entities.join(moved.select(F.col("old").alias("id"), "new"), "id", "left").withColumn("to", F.coalesce("new", "id"))
     own = F.struct((F.col("id") != F.col("to")).alias("other"), F.col("id"))
-    return held.groupBy("to").agg(
-        F.min_by("name", own).alias("name"), F.max_by("description", F.struct(F.length("description"), -F.col("id"))).alias("description"),
-        F.array_sort(F.array_distinct(F.flatten(F.collect_list("chunk_ids")))).alias("chunk_ids"), F.count(F.lit(1)).alias("members"),
-    ).withColumnRenamed("to", "id")
+    given = lambda c, order: F.when(F.col(c).isNotNull(), order)
+    # In order of the members; maps have no order, so they are collected as entries.
+    listed = lambda c, v: F.flatten(F.transform(F.array_sort(F.collect_list(given(c, F.struct(own.alias("o"), v.alias("v"))))), lambda x: x["v"]))
+    text = lambda x, n: F.coalesce(x[n], F.lit(""))
+    begun = lambda x: F.concat_ws("::", text(x, "source"), F.substring(text(x, "quote"), 1, 64))
+    special = {
+        "name": lambda c: F.min_by(c, own), "type": lambda c: F.min_by(c, own), "jurisdiction": lambda c: F.min_by(c, own),
+        "description": lambda c: F.min_by(c, given(c, F.struct((-F.length(c)).alias("n"), own.alias("o")))),
+        "chunk_ids": lambda c: F.array_sort(F.array_distinct(F.flatten(F.collect_list(c)))), "source_ids": lambda c: F.array_sort(F.array_distinct(F.flatten(F.collect_list(c)))),
+        "all_quotes": lambda c: _once(listed(c, F.col(c)), lambda q: F.substring(text(q, "text"), 1, 100)),
+        "provenance": lambda c: _once(listed(c, F.col(c)), begun),
+        "attributes": lambda c: F.map_from_entries(_once(listed(c, F.map_entries(c)), lambda e: e["key"])),
+        "source_metadata": lambda c: F.min_by(c, given(c, F.struct((-authority_rank(F.col(c)["authority"])).alias("a"), (-F.coalesce(F.unix_micros(F.coalesce(F.col(c)["created_at"], F.col(c)["processed_at"])), F.lit(-(2**62)))).alias("at"), own.alias("o")))),
+    }
+    fields = [special.get(c, lambda c: F.min_by(c, given(c, own)))(c).alias(c) for c in entities.columns if c != "id"]
+    out = held.groupBy("to").agg(*fields, F.count(F.lit(1)).alias("members")).withColumnRenamed("to", "id")
+    if {"mentions_count", "provenance"} <= set(out.columns):
+        sources = F.array_distinct(F.filter(F.transform("provenance", lambda p: text(p, "source")), lambda s: s != ""))
+        out = out.withColumn("mentions_count", F.when(F.col("members") > 1, F.size(sources)).otherwise(F.col("mentions_count")))
+    return out
 
 
 def canonical_source(sources: DataFrame, by: str) -> DataFrame:
