@@ -1,11 +1,11 @@
-"""SimHash near-duplicates through an inverted index of byte positions with count filtering.
+"""SimHash near-duplicates through an inverted index of byte positions.
 
 Two 64-bit fingerprints within 3 bits differ in 3 of their 8 bytes at most, so
 they share 5 positional bytes or more, and one half of the 8 positions shares 3
 of its 4. The index therefore posts every distinct fingerprint under its eight
-triples of positional bytes (four in each half). In a posting list the shared
-positional bytes of a pair are tallied; pairs with 5 or more are verified by
-Hamming distance. A list gives only the links of a spanning forest, found by a
+triples of positional bytes (four in each half). The triples stand in for a
+count filter: pairs of a posting list are verified by Hamming distance, and the
+tally of shared bytes after it can reject none that passed. A list gives only the links of a spanning forest, found by a
 search that compares each fingerprint with those not reached yet, so a group of
 g near copies gives g - 1 links and never g * g pairs.
 
