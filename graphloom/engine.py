@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from graphloom import dictionaries as d
+from graphloom.functions import text as tx
 from graphloom.operators import audit, dedup, evaluate, graph, predict, proof, retrieval, rules, search, vectors
 from graphloom.sources.store import Store
 
@@ -73,8 +74,100 @@ class Engine:
     def context(self, before: int = 1, after: int = 1) -> DataFrame:
         return graph.window_context(self.chunks, before, after)
 
+    def expand(self, ids: DataFrame, per_node: int = 10) -> tuple[DataFrame, DataFrame]:
+        """(entities, edges) of some entities (id) and their neighbours, at most ``per_node`` of each in each direction."""
+        near = self.neighbours(ids, per_node).select(F.col("other").alias("id"))
+        held = ids.select("id").unionByName(near).distinct()
+        return self.entities.join(held, "id", "left_semi"), graph.induced(self.edges, held)
+
+    # Chunks
+
+    def find_chunks(self, where: str | None = None, source_id: str | None = None, text: str | None = None, offset: int = 0, limit: int = 20) -> DataFrame:
+        """A page of chunks by payload condition, source and words, in order of their ids."""
+        rows = self.chunks if where is None else self.chunks.filter(where)
+        if source_id is not None:
+            rows = rows.filter(F.col("source_id") == source_id)
+        if text:
+            rows = rows.filter(F.lower("text").contains(text.lower()))
+        return search.page(rows, offset, limit, "chunk_id")
+
+    def chunk(self, *ids: str) -> DataFrame:
+        return self.chunks.filter(F.col("chunk_id").isin(*ids))
+
+    def chunks_of_entity(self, *ids: str) -> DataFrame:
+        """Chunks that an entity names, or that name it, in the order of their sources."""
+        own = self.entities.filter(F.col("id").isin(*ids)).select(F.col("id").alias("entity_id"), F.explode("chunk_ids").alias("chunk_id"))
+        back = self.chunks.select("chunk_id", F.explode("entities").alias("entity_id")).filter(F.col("entity_id").isin(*ids))
+        return self.chunks.join(own.unionByName(back.select("entity_id", "chunk_id")).distinct(), "chunk_id").orderBy("entity_id", "source_id", "chunk_index")
+
+    def entities_of_chunk(self, *ids: str) -> DataFrame:
+        """Entities that name a chunk, or that it names."""
+        own = self.entities.select("id", F.explode("chunk_ids").alias("chunk_id")).filter(F.col("chunk_id").isin(*ids))
+        back = self.chunks.filter(F.col("chunk_id").isin(*ids)).select(F.explode("entities").alias("id"), "chunk_id")
+        return self.entities.join(own.unionByName(back).distinct(), "id")
+
+    def adjacent(self, *ids: str) -> DataFrame:
+        """chunk_id, prev_chunk_id, next_chunk_id of some chunks; only their sources are put in order."""
+        near = self.chunks.join(self.chunk(*ids).select("source_id").distinct(), "source_id", "left_semi")
+        return graph.adjacent(near).filter(F.col("chunk_id").isin(*ids))
+
+    def best_quote(self, *ids: str) -> DataFrame:
+        """id and quote: the stored best quote of an entity, or the sentence of its chunks that names it best."""
+        held = self.entities.filter(F.col("id").isin(*ids))
+        stored = held.filter("best_quote.text is not null").select("id", F.col("best_quote.text").alias("quote"))
+        texts = self.chunks_of_entity(*ids).select(F.col("entity_id").alias("id"), "source_id", "chunk_index", "text")
+        joined = texts.groupBy("id").agg(F.array_sort(F.collect_list(F.struct("source_id", "chunk_index", "text"))).alias("t"))
+        open_ = held.join(stored.select("id"), "id", "left_anti").join(joined, "id").select(F.col("id").alias("key"), "name", F.array_join("t.text", "\n").alias("text"))
+        return stored.unionByName(rules.best_quotes(open_).select(F.col("key").alias("id"), "quote"))
+
     # Claims, proof, prediction
 
+    def required_evidence(self, required: DataFrame, claim_type: str) -> DataFrame:
+        """What a claim type (in any form of its name) requires, critical items first. Table: required (claim_type, evidence_id, is_critical)."""
+        wanted = required.sparkSession.range(1).select(tx.claim_type(F.lit(claim_type), d.CLAIM_TYPES, d.CLAIM_FRAGMENTS).alias("claim_type"))
+        same = tx.claim_type(F.col("claim_type"), d.CLAIM_TYPES, d.CLAIM_FRAGMENTS).alias("claim_type")
+        return required.withColumn("claim_type", same).join(F.broadcast(wanted), "claim_type").orderBy(F.desc("is_critical"), "evidence_id")  # one row
+
+    def proof_chain(self, required: DataFrame, *claims: str) -> DataFrame:
+        """The chains of some claims, with the ids of satisfied and of missing evidence."""
+        return self._described(required, F.col("id").isin(*claims))
+
+    def document_chains(self, required: DataFrame, document: str) -> DataFrame:
+        """The chains of the claims that were extracted from a document, which their ids say."""
+        return self._described(required, F.col("id").startswith(f"legal_claim:doc:{document}:"))
+
+    def _described(self, required: DataFrame, which) -> DataFrame:
+        claims = self.entities.filter("type = 'legal_claim'").filter(which).select(F.col("id").alias("claim"), "claim_type")
+        matched = proof.satisfied_by_name(claims, required, graph.hop(self.edges, "HAS_EVIDENCE", "claim", "evidence_id"))
+        ids = lambda on: F.array_sort(F.collect_list(F.when(on, F.col("evidence_id"))))
+        items = matched.groupBy("claim").agg(ids(F.col("satisfied")).alias("presented"), ids(~F.col("satisfied")).alias("missing"))
+        outcomes = graph.hop(self.edges, "RESULTS_IN", "claim", "outcome").groupBy("claim").agg(F.min("outcome").alias("outcome"))
+        return proof.with_totals(proof.chains(matched), claims, self.laws(), self.remedies(), outcomes).join(items, "claim", "left")
+
+    def analyze(self, cases: DataFrame, required: DataFrame, top: int = 3) -> DataFrame:
+        """For each situation (case_id, text) its likely claim types with what each requires and whether the text shows it.
+
+        case_id, claim_type, score, n_required, n_satisfied, missing, completeness, strength, laws, outcome, probability. A claim type is
+        likely if its words occur; evidence is shown if its name does. Table: required (claim_type, evidence_id, name, is_critical).
+        """
+        from pyspark.sql import Window
+
+        low = F.concat(F.lit(" "), F.lower(F.regexp_replace("text", r"[^\p{L}\p{N}]+", " ")), F.lit(" "))
+        words = required.sparkSession.createDataFrame([(k, w) for k, ws in d.QUERY_CLAIMS.items() for w in ws], "claim_type string, word string")
+        said = cases.select("case_id", low.alias("said"))
+        hits = said.crossJoin(F.broadcast(words)).filter(F.contains("said", F.lower("word"))).groupBy("case_id", "claim_type").agg(F.count_distinct("word").alias("hits"))  # a fixed dictionary
+        rank = F.row_number().over(Window.partitionBy("case_id").orderBy(F.desc("hits"), "claim_type"))
+        likely = hits.withColumn("rank", rank).filter(F.col("rank") <= top).select("case_id", "claim_type", F.least(F.lit(0.9), 0.5 + 0.1 * F.col("hits")).alias("score"))
+        shown = F.contains("said", F.concat(F.lit(" "), F.lower(F.regexp_replace("name", r"[^\p{L}\p{N}]+", " ")), F.lit(" ")))
+        met = likely.join(required, "claim_type", "left").join(said, "case_id").withColumn("satisfied", F.coalesce(shown, F.lit(False)))
+        done, there = F.col("satisfied").cast("int"), F.col("evidence_id").isNotNull()
+        out = met.groupBy("case_id", "claim_type", "score").agg(
+            F.count_if(there).alias("n_required"), F.count_if("satisfied").alias("n_satisfied"), F.array_sort(F.collect_list(F.when(there & ~F.col("satisfied"), F.col("name")))).alias("missing"),
+            F.coalesce(proof.completeness(F.col("is_critical"), F.when(there, done)), F.lit(0.0)).alias("completeness"),
+        )
+        laws = self.laws().groupBy("claim_type").agg(F.array_sort(F.collect_list("law")).alias("laws"))
+        return out.withColumn("strength", proof.strength(F.col("completeness"))).join(laws, "claim_type", "left").join(self.predictions().select("claim_type", "outcome", "probability"), "claim_type", "left")
+
     def claim_types(self) -> DataFrame:
         return self.entities.filter("type = 'legal_claim' and claim_type is not null").groupBy("claim_type").agg(F.count(F.lit(1)).alias("n"))
 

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .graph import degrees, undirected
@@ -57,9 +57,12 @@ def connection_bands(entities: DataFrame, edges: DataFrame, least: int, top: int
 
 def insights(entities: DataFrame, edges: DataFrame) -> DataFrame:
     """type, n, strong, weak: nodes with at least 1.5 times, or under half of, the mean degree."""
-    held = degrees(entities, edges)
-    mean = held.agg(F.avg("degree").alias("mean")).first().mean
-    return held.groupBy("type").agg(F.count(F.lit(1)).alias("n"), F.count_if(F.col("degree") >= 1.5 * (mean or 0.0)).alias("strong"), F.count_if(F.col("degree") < 0.5 * (mean or 0.0)).alias("weak"))
+    # Degrees are counted once, into a histogram with a row for each type and degree; the window runs over that.
+    held, every = degrees(entities, edges).groupBy("type", "degree").agg(F.count(F.lit(1)).alias("nodes")), Window.partitionBy()
+    held = held.withColumn("mean", F.sum(F.col("degree") * F.col("nodes")).over(every) / F.sum("nodes").over(every))
+    some = lambda condition: F.sum(F.when(condition, F.col("nodes")).otherwise(0))
+    strong, weak = F.col("degree") >= 1.5 * F.col("mean"), F.col("degree") < 0.5 * F.col("mean")
+    return held.groupBy("type").agg(F.sum("nodes").alias("n"), some(strong).alias("strong"), some(weak).alias("weak"))
 
 
 def strength_label(x):

@@ -12,9 +12,10 @@ from pyspark.sql import functions as F
 
 
 def undirected(edges: DataFrame) -> DataFrame:
-    """node, other, type: every edge from both of its ends, self-loops once."""
-    back = edges.filter("src <> dst").select(F.col("dst").alias("node"), F.col("src").alias("other"), "type")
-    return edges.select(F.col("src").alias("node"), F.col("dst").alias("other"), "type").unionByName(back)
+    """node, other, type: every edge from both of its ends, self-loops once. The edges are read once."""
+    way = lambda a, b: F.struct(F.col(a).alias("node"), F.col(b).alias("other"))
+    ways = F.when(F.col("src") == F.col("dst"), F.array(way("src", "dst"))).otherwise(F.array(way("src", "dst"), way("dst", "src")))
+    return edges.select("type", F.explode(ways).alias("way")).select("way.node", "way.other", "type")
 
 
 def first_per(df: DataFrame, keys: list[str], order: list[Column | str], n: int = 1) -> DataFrame:
@@ -32,9 +33,8 @@ def induced(edges: DataFrame, ids: DataFrame) -> DataFrame:
 def touching(edges: DataFrame, ids: DataFrame) -> DataFrame:
     """Distinct edges with either end in ``ids``."""
     held = ids.select("id").distinct()
-    by_src = edges.join(held.withColumnRenamed("id", "src"), "src", "left_semi")
-    by_dst = edges.join(held.withColumnRenamed("id", "dst"), "dst", "left_semi")
-    return by_src.unionByName(by_dst).select("src", "dst", "type").distinct()
+    ends = edges.select("src", "dst", "type", F.explode(F.array("src", "dst")).alias("id"))
+    return ends.join(held, "id", "left_semi").select("src", "dst", "type").distinct()
 
 
 def missing_nodes(edges: DataFrame, ids: DataFrame) -> DataFrame:
@@ -46,9 +46,9 @@ def missing_nodes(edges: DataFrame, ids: DataFrame) -> DataFrame:
 def neighbours(edges: DataFrame, seeds: DataFrame, per_node: int = 10) -> DataFrame:
     """seed, other, type, direction: at most ``per_node`` neighbours of each seed and direction, in order of other and type."""
     held = seeds.select(F.col("id").alias("seed")).distinct()
-    out = edges.select(F.col("src").alias("seed"), F.col("dst").alias("other"), "type", F.lit("out").alias("direction"))
-    into = edges.select(F.col("dst").alias("seed"), F.col("src").alias("other"), "type", F.lit("in").alias("direction"))
-    near = out.unionByName(into).join(held, "seed", "left_semi")
+    way = lambda a, b, direction: F.struct(F.col(a).alias("seed"), F.col(b).alias("other"), F.lit(direction).alias("direction"))
+    ways = edges.select("type", F.explode(F.array(way("src", "dst", "out"), way("dst", "src", "in"))).alias("way"))
+    near = ways.select("way.seed", "way.other", "type", "way.direction").join(held, "seed", "left_semi")
     return first_per(near, ["seed", "direction"], ["other", "type"], per_node).drop("rank")
 
 

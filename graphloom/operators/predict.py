@@ -5,6 +5,11 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from graphloom.storage import settled
+
+#: Queries of a stated set that are sent to all tasks at once.
+SENT_QUERIES = 1000
+
 
 def cases_listing_type(cases: DataFrame, claim_type: str, seen: DataFrame) -> DataFrame:
     """Cases whose list of claim types (comma-separated) has the type, without those seen (id)."""
@@ -30,9 +35,16 @@ def similarity(text: Column, issue: Column, own: Column, completeness: Column, o
 def similar_cases(cases: DataFrame, issues: DataFrame, top: int = 25, least: float = 0.3) -> DataFrame:
     """query_id, case_id, outcome, score: for every query of a stated set (query_id, issue, completeness, wanted) the cases above ``least``, best first.
 
-    Cases: id, name, description, outcome, jurisdiction. The queries are a small stated set and meet all cases.
+    Cases: id, name, description, outcome, jurisdiction. The queries meet all cases: up to ``SENT_QUERIES`` of them
+    where the cases are read, more in blocks of as many, for which the cases are dealt out once each.
     """
-    met = cases.filter(F.col("outcome").isNotNull()).join(F.broadcast(issues) if issues.isLocal() else issues)
+    issues, known = settled(issues, "issues"), cases.filter(F.col("outcome").isNotNull())
+    blocks = -(-issues.count() // SENT_QUERIES)
+    if blocks <= 1:
+        met = known.crossJoin(F.broadcast(issues))
+    else:
+        asked = issues.withColumn("block", F.pmod(F.xxhash64("query_id"), F.lit(blocks)))
+        met = known.withColumn("block", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(blocks - 1).cast("long")))).join(asked, "block").drop("block")
     text = F.concat_ws(" ", "name", "description")
     score = similarity(text, F.col("issue"), evidence_score(F.col("outcome")), F.col("completeness"), F.col("outcome"), F.coalesce("jurisdiction", F.lit("")), F.col("wanted"))
     kept = met.withColumn("score", score).filter(F.col("score") > F.lit(least).cast("double"))

@@ -6,6 +6,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from graphloom import dictionaries as d
 from graphloom.functions import text as tx
 
 
@@ -98,8 +99,7 @@ def next_steps(chains_: DataFrame, gaps: DataFrame, top: int = 10) -> DataFrame:
     return first_per(out, ["claim"], ["rule", "k"], top).select("claim", "rank", "priority", "action")
 
 
-#: What tenants' cases usually need, and sentences that state a requirement.
-CRITICAL_ITEMS = ("Written notice from landlord", "Rent payment records", "Photographic evidence of conditions", "Correspondence with landlord")
+#: Words of sentences that state a requirement.
 REQUIREMENT_WORDS = ("require", "must", "evidence", "prove", "show")
 
 
@@ -110,7 +110,7 @@ def requirement_sentences(text: Column | str, top: int = 5, size: int = 200, lea
     return F.transform(F.slice(F.filter(found, lambda s: F.length(s) > least), 1, top), lambda s: F.substring(s, 1, size))
 
 
-def missing_items(present: Column, items: tuple[str, ...] = CRITICAL_ITEMS) -> Column:
+def missing_items(present: Column, items: tuple[str, ...] = d.CRITICAL_ITEMS) -> Column:
     """The items that nothing present contains."""
     low = F.lower(F.coalesce(present, F.lit("")))
     return F.filter(F.array(*(F.when(~F.contains(low, F.lit(i.lower())), F.lit(i)) for i in items)), lambda x: x.isNotNull())

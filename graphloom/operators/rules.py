@@ -84,14 +84,7 @@ def is_definition(x: Column | str) -> Column:
     return tx.any_of(x, DEFINING)
 
 
-STEP_WORDS = {
-    "remedies": ("hp action", "overcharge", "abatement", "complaint", "311", "dhcr"),
-    "procedures": ("file", "petition", "action", "hearing", "notice", "court"),
-    "evidence": ("receipt", "photo", "violation", "history", "letter", "record"),
-}
-
-
-def heuristic_steps(entities: DataFrame, terms: Sequence[str], kinds: dict[str, str], step_words: dict[str, Sequence[str]] = STEP_WORDS, top: int = 20) -> DataFrame:
+def heuristic_steps(entities: DataFrame, terms: Sequence[str], kinds: dict[str, str], step_words: dict[str, Sequence[str]] = d.STEP_WORDS, top: int = 20) -> DataFrame:
     """law and, for each kind of step, the names of entities of a type that its words bring up; laws by terms in their names.
 
     ``kinds``: step to entity type. The lists are the same for every law, ``top`` names at most.
@@ -101,4 +94,4 @@ def heuristic_steps(entities: DataFrame, terms: Sequence[str], kinds: dict[str,
     for step, kind in kinds.items():
         own = entities.filter((F.col("type") == kind) & tx.any_of(said, step_words[step])).select("name").distinct().orderBy("name").limit(top).agg(F.array_join(F.array_sort(F.collect_list("name")), ",").alias(step))
         lists = own if lists is None else lists.join(own)  # one row each
-    return entities.filter((F.col("type") == "law") & tx.any_of("name", terms)).select(F.col("id").alias("law")).join(F.broadcast(lists))
+    return entities.filter((F.col("type") == "law") & tx.any_of("name", terms)).select(F.col("id").alias("law")).join(F.broadcast(lists))  # one row

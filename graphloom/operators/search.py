@@ -16,21 +16,22 @@ from graphloom.storage import settled
 K1, B = 1.2, 0.75
 #: Distinct terms of a batch of queries up to which they are sent to all tasks; beyond it they are joined by shuffle.
 SENT_TERMS = 100_000
+NO_TERM = ""
 
 
 def postings(docs: DataFrame, fields: list[str], terms: DataFrame | None = None) -> DataFrame:
     """id, field, term, tf, length (tokens of the field); of the given terms (term) only, if there are any."""
     each = docs.select("id", F.explode(F.array(*(F.struct(F.lit(f).alias("field"), tx.tokens(f).alias("tokens")) for f in fields))).alias("f")).select("id", "f.field", "f.tokens")
-    each = each.select("id", "field", F.size("tokens").alias("length"), F.explode("tokens").alias("term"))
+    # Every field has the empty term once, which no text has, for the statistics of its length.
+    each = each.select("id", "field", F.size("tokens").alias("length"), F.explode(F.concat(F.array(F.lit(NO_TERM)), "tokens")).alias("term"))
     if terms is not None:
         each = each.join(terms, "term", "left_semi")
     return each.groupBy("id", "field", "term", "length").agg(F.count(F.lit(1)).alias("tf"))
 
 
-def field_stats(docs: DataFrame, fields: list[str]) -> DataFrame:
-    """field, n (documents), avg_length."""
-    each = docs.select(F.explode(F.array(*(F.struct(F.lit(f).alias("field"), F.size(tx.tokens(f)).alias("length")) for f in fields))).alias("f")).select("f.*")
-    return each.groupBy("field").agg(F.count(F.lit(1)).alias("n"), F.avg("length").alias("avg_length"))
+def field_stats(held: DataFrame) -> DataFrame:
+    """field, n (documents), avg_length, from postings."""
+    return held.filter(F.col("term") == NO_TERM).groupBy("field").agg(F.count(F.lit(1)).alias("n"), F.avg("length").alias("avg_length"))
 
 
 def bm25(tf: Column, length: Column, avg_length: Column, df: Column, n: Column) -> Column:
@@ -44,12 +45,13 @@ def search(queries: DataFrame, docs: DataFrame, fields: list[str], top: int = 10
     With ``all_terms`` every term has to occur. Filters of documents belong before the call: statistics are those of the table given.
     """
     terms = queries.select("query_id", tx.tokens("text", distinct=True).alias("terms")).select("query_id", F.size("terms").alias("wanted"), F.explode("terms").alias("term"))
-    asked = terms.select("term").distinct()
+    asked = terms.select("term").unionByName(queries.sparkSession.range(1).select(F.lit(NO_TERM).alias("term"))).distinct()
     if asked.count() <= SENT_TERMS:
         asked = F.broadcast(asked)
     held = settled(postings(docs, fields, asked), "postings")  # counted and scored, tokenised once
     df = held.groupBy("field", "term").agg(F.count(F.lit(1)).alias("df"))
-    held = held.join(df, ["field", "term"]).join(field_stats(docs, fields), "field")
+    stats = F.broadcast(field_stats(held))  # one row for each field
+    held = held.filter(F.col("term") != NO_TERM).join(df, ["field", "term"]).join(stats, "field")
     scored = held.select("term", "id", bm25(F.col("tf"), F.col("length"), F.col("avg_length"), F.col("df"), F.col("n")).alias("s"))
     found = terms.join(scored, "term").groupBy("query_id", "id", "wanted").agg(F.sum("s").alias("score"), F.count_distinct("term").alias("hit"))
     if all_terms:
@@ -95,6 +97,20 @@ def texts_naming(names: DataFrame, texts: DataFrame, per_name: int = 5) -> DataF
     return met.withColumn("rank", rank).filter(F.col("rank") <= per_name).drop("rank")
 
 
+def texts_with_passages(passages: DataFrame, docs: DataFrame, n: int = 8) -> DataFrame:
+    """query_id, id: texts that hold a passage (query_id, text) whole. They meet by the passage's first ``n`` words, or all of a shorter one, and are then compared."""
+    keyed = passages.select("query_id", F.col("text").alias("passage"), F.slice(tx.words("text"), 1, n).alias("w")).filter(F.size("w") > 0).select("query_id", "passage", F.size("w").alias("size"), F.array_join("w", " ").alias("run"))
+    held, met = docs.select("id", tx.words("text").alias("w")), None
+    for size in sorted(r["size"] for r in keyed.select("size").distinct().collect()):  # n at most
+        count = F.greatest(F.size("w") - (size - 1), F.lit(0))
+        runs = held.filter(count > 0).select("id", F.explode(F.array_distinct(F.transform(F.sequence(F.lit(1), count), _run(size)))).alias("run"))
+        own = runs.join(keyed.filter(F.col("size") == size), "run").select("id", "query_id", "passage").distinct()
+        met = own if met is None else met.unionByName(own)
+    if met is None:
+        return passages.select("query_id").crossJoin(docs.select("id").limit(0))
+    return met.join(docs.select("id", F.col("text").alias("whole")), "id").filter(F.contains("whole", "passage")).select("query_id", "id").distinct()
+
+
 def _run(n: int):
     return lambda i: F.array_join(F.slice(F.col("w"), i, n), " ")
 

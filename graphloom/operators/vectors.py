@@ -1,8 +1,8 @@
 """Cosine similarity: top-k for stated queries, pairs within groups, nearest of a dictionary.
 
-Scores of many vectors are matrix products in batches; top-k for queries makes
-one pass over the vectors with partial results, pairs within a group meet in
-blocks of bounded size, so no plan holds a cross join.
+Scores of many vectors are matrix products in batches. Top-k and pairs within a
+group meet in blocks of bounded size, so no plan holds a cross join and nothing
+but a bounded dictionary comes to the driver.
 """
 
 from __future__ import annotations
@@ -14,8 +14,12 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-#: Queries that go to the tasks at once, and rows of a block of pairs.
-QUERY_BLOCK, PAIR_BLOCK = 2000, 2048
+from graphloom.storage import settled
+
+#: Rows of a block of queries, of vectors that they meet, and of pairs.
+QUERY_BLOCK, VECTOR_BLOCK, PAIR_BLOCK = 2048, 16_384, 2048
+#: Names of a dictionary that go to all tasks together.
+NAMES = 10_000
 
 
 def dot(a: Column, b: Column) -> Column:
@@ -34,30 +38,32 @@ def _unit(rows: pd.Series) -> np.ndarray:
     return np.divide(matrix, size, out=np.zeros_like(matrix), where=size > 0)
 
 
-def top_k(queries: DataFrame, vectors: DataFrame, k: int = 10, block: int = QUERY_BLOCK) -> DataFrame:
+def _best(queries: pd.DataFrame, vectors: pd.DataFrame, k: int) -> pd.DataFrame:
+    """For each query of a block the vectors of a block from its k-th best cosine on; ties at the edge all go on, the final ranking settles them."""
+    found = []
+    if len(queries) and len(vectors):
+        scores, own = _unit(queries["embedding"]) @ _unit(vectors["embedding"]).T, vectors["id"].to_numpy(np.int64)
+        for q, row in zip(queries["query_id"].tolist(), scores, strict=True):
+            edge = np.partition(row, len(row) - k)[len(row) - k] if k < len(row) else -np.inf
+            best = np.flatnonzero(row >= edge)
+            found.append(pd.DataFrame({"query_id": q, "id": own[best], "score": row[best]}))
+    return pd.concat(found) if found else pd.DataFrame({"query_id": np.empty(0, np.int64), "id": np.empty(0, np.int64), "score": np.empty(0)})
+
+
+def top_k(queries: DataFrame, vectors: DataFrame, k: int = 10, block: int = QUERY_BLOCK, vector_block: int = VECTOR_BLOCK) -> DataFrame:
     """query_id, id, score, rank: for every query (query_id, embedding) the k vectors (id, embedding) of the largest cosine.
 
-    The queries are a stated set; they go out in blocks, each with one pass over the vectors.
+    The queries are a stated set; blocks of them meet blocks of vectors, each pair of blocks in a task.
     """
-    asked = queries.select("query_id", "embedding").filter("embedding is not null").orderBy("query_id")
-    out = None
-    for at in range(0, max(1, asked.count()), block):
-        part = asked.offset(at).limit(block).toPandas()
-        ids, matrix = part["query_id"].to_numpy(np.int64), _unit(part["embedding"]) if len(part) else np.empty((0, 0))
-
-        def run(batches: Iterator[pd.DataFrame], ids=ids, matrix=matrix) -> Iterator[pd.DataFrame]:
-            for batch in batches:
-                if len(batch) and len(ids):
-                    scores, own = matrix @ _unit(batch["embedding"]).T, batch["id"].to_numpy(np.int64)
-                    for q, row in zip(ids, scores, strict=True):
-                        edge = np.partition(row, len(row) - k)[len(row) - k] if k < len(row) else -np.inf
-                        best = np.flatnonzero(row >= edge)  # ties at the edge all go on, the final ranking settles them
-                        yield pd.DataFrame({"query_id": q, "id": own[best], "score": row[best]})
-
-        found = vectors.select("id", "embedding").filter("embedding is not null").mapInPandas(run, "query_id long, id long, score double")
-        out = found if out is None else out.unionByName(found)
+    asked = queries.select("query_id", "embedding").filter("embedding is not null")
+    held = vectors.select("id", "embedding").filter("embedding is not null")
+    qs, vs = max(1, -(-asked.count() // block)), max(1, -(-held.count() // vector_block))
+    dealt = lambda df, key, own, n, other, m: df.withColumn(own, F.pmod(F.xxhash64(key), F.lit(n)).cast("int")).withColumn(other, F.explode(F.sequence(F.lit(0), F.lit(m - 1))))
+    left, right = dealt(asked, "query_id", "q", qs, "v", vs), dealt(held, "id", "v", vs, "q", qs)
+    left, right = left.select(*(F.col(c).alias(c) for c in left.columns)), right.select(*(F.col(c).alias(c) for c in right.columns))
+    found = left.groupBy("q", "v").cogroup(right.groupBy("q", "v")).applyInPandas(lambda a, b: _best(a, b, k), "query_id long, id long, score double")
     rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc(F.round("score", 9)), "id"))
-    return out.withColumn("rank", rank).filter(F.col("rank") <= k)
+    return found.withColumn("rank", rank).filter(F.col("rank") <= k)
 
 
 def similar_pairs(vectors: DataFrame, least: float, block: int = PAIR_BLOCK) -> DataFrame:
@@ -80,19 +86,34 @@ def similar_pairs(vectors: DataFrame, least: float, block: int = PAIR_BLOCK) ->
     return met.groupBy("grp", "low", "high").applyInPandas(run, "a long, b long, score double").filter(F.col("score") >= least)
 
 
-def nearest(rows: DataFrame, known: DataFrame, least: float) -> DataFrame:
-    """id, name, score: the known vector (name, embedding; a dictionary) nearest to each row, if it reaches ``least``; ties to the first name."""
-    names = known.orderBy("name").toPandas()
-    matrix, labels = _unit(names["embedding"]), names["name"].tolist()
+def nearest(rows: DataFrame, known: DataFrame, least: float, names_block: int = NAMES) -> DataFrame:
+    """id, name, score: the known vector (name, embedding; a dictionary) nearest to each row, if it reaches ``least``; ties to the first name.
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            if len(batch) and labels:
-                score = np.round(_unit(batch["embedding"]) @ matrix.T, 9)
-                best = score.argmax(axis=1)
-                yield pd.DataFrame({"id": batch["id"], "name": [labels[i] for i in best], "score": score[np.arange(len(best)), best]})
+    ``names_block`` names go to the tasks at once; a larger dictionary takes a pass over the rows for each block.
+    """
+    names = settled(known.select("name", "embedding").orderBy("name"), "names")
+    parts = max(1, -(-names.count() // names_block))
+    out = None
+    for part in range(parts):
+        own = names if parts == 1 else names.filter(F.pmod(F.xxhash64("name"), F.lit(parts)) == part)
+        held = own.orderBy("name").toPandas()
+        matrix, labels = _unit(held["embedding"]) if len(held) else np.empty((0, 0)), held["name"].tolist()
 
-    return rows.select("id", "embedding").mapInPandas(run, "id long, name string, score double").filter(F.col("score") >= least)
+        def run(batches: Iterator[pd.DataFrame], matrix=matrix, labels=labels) -> Iterator[pd.DataFrame]:
+            for batch in batches:
+                if len(batch) and labels:
+                    score = np.round(_unit(batch["embedding"]) @ matrix.T, 9)
+                    best = score.argmax(axis=1)
+                    yield pd.DataFrame({"id": batch["id"], "name": [labels[i] for i in best], "score": score[np.arange(len(best)), best]})
+
+        found = rows.select("id", "embedding").mapInPandas(run, "id long, name string, score double").filter(F.col("score") >= least)
+        if parts > 1:  # a block is written before the next one is read
+            found = settled(found, "nearest")
+        out = found if out is None else out.unionByName(found)
+    if parts == 1:
+        return out
+    rank = F.row_number().over(Window.partitionBy("id").orderBy(F.desc("score"), "name"))
+    return out.withColumn("rank", rank).filter("rank = 1").drop("rank")
 
 
 def canonical_types(names: list[str], vectors: dict[str, list[float]], least: float = 0.8) -> tuple[list[str], dict[str, str]]:

@@ -65,9 +65,9 @@ def _jaccard(a: str, b: str) -> str:
     return f"coalesce(len(list_intersect({a}, {b})) / nullif(len(list_distinct({a} || {b})), 0), 0)"
 
 
-@query("j7_j9_entity_links", f"WITH p AS (SELECT p_partkey AS id, p_name AS n, p_type AS x, p_brand AS j, {_words('p_name')} AS nw, {_words('p_type')} AS xw FROM part WHERE p_partkey < 300), s AS (SELECT a.id AS a, b.id AS b, round(0.4::DOUBLE * {_jaccard('a.nw', 'b.nw')} + 0.3::DOUBLE * {_jaccard('a.xw', 'b.xw')} + CASE WHEN a.j = b.j THEN 0.2::DOUBLE ELSE CASE WHEN contains(a.j, b.j) OR contains(b.j, a.j) THEN 0.1::DOUBLE ELSE 0 END END + 0.1::DOUBLE, 6) AS score FROM p a JOIN p b ON a.n = b.n AND a.id <> b.id) SELECT a AS id, b AS best, score FROM s WHERE score >= 0.85 QUALIFY row_number() OVER (PARTITION BY a ORDER BY score DESC, b) = 1")
+@query("j7_j9_entity_links", f"WITH p AS (SELECT p_partkey AS id, p_name AS n, p_type AS x, p_brand AS j, {_words('p_name')} AS nw, {_words('p_type')} AS xw FROM part), s AS (SELECT a.id AS a, b.id AS b, round(0.4::DOUBLE * {_jaccard('a.nw', 'b.nw')} + 0.3::DOUBLE * {_jaccard('a.xw', 'b.xw')} + CASE WHEN a.j = b.j THEN 0.2::DOUBLE ELSE CASE WHEN contains(a.j, b.j) OR contains(b.j, a.j) THEN 0.1::DOUBLE ELSE 0 END END + 0.1::DOUBLE, 6) AS score FROM p a JOIN p b ON a.n = b.n AND a.id <> b.id) SELECT a AS id, b AS best, score FROM s WHERE score >= 0.85 QUALIFY row_number() OVER (PARTITION BY a ORDER BY score DESC, b) = 1")
 def _(t):
-    held = t.part.filter("p_partkey < 300").select(F.col("p_partkey").alias("id"), F.struct(F.col("p_name").alias("name"), F.col("p_type").alias("description"), F.col("p_brand").alias("jurisdiction"), F.lit("law").alias("type")).alias("e"))
+    held = t.part.select(F.col("p_partkey").alias("id"), F.struct(F.col("p_name").alias("name"), F.col("p_type").alias("description"), F.col("p_brand").alias("jurisdiction"), F.lit("law").alias("type")).alias("e"))
     met = held.select(F.col("id").alias("a"), F.col("e").alias("x"), F.col("e.name").alias("n")).join(held.select(F.col("id").alias("b"), F.col("e").alias("y"), F.col("e.name").alias("n")), "n").filter("a <> b")
     scored = met.withColumn("score", F.round(rules.entity_similarity("x", "y"), 6)).filter("score >= 0.85")
     return graph.first_per(scored, ["a"], [F.desc("score"), "b"]).select(F.col("a").alias("id"), F.col("b").alias("best"), "score")
@@ -130,10 +130,10 @@ def _(t):
     return full.select("claim", "n_satisfied", "n_laws", "outcome")
 
 
-@query("k2_stated_matches", f"{REQ} SELECT r.claim_type AS claim, r.evidence_id AS required_id, min(p.id) AS presented_id FROM required r JOIN (SELECT 'evidence:' || p_brand AS brand, 'p' || lpad(CAST(p_partkey AS VARCHAR), 7, '0') AS id FROM part WHERE p_partkey < 200) p ON p.brand = r.evidence_id GROUP BY 1, 2")
+@query("k2_stated_matches", f"{REQ} SELECT r.claim_type AS claim, r.evidence_id AS required_id, min(p.id) AS presented_id FROM required r JOIN (SELECT 'evidence:' || p_brand AS brand, 'p' || lpad(CAST(p_partkey AS VARCHAR), 7, '0') AS id FROM part) p ON p.brand = r.evidence_id GROUP BY 1, 2")
 def _(t):
     req = required(t).select(F.col("claim_type").alias("claim"), F.col("evidence_id").alias("required_id"), F.lit(0).alias("seq"), F.col("name").alias("text"))
-    held = t.part.filter("p_partkey < 200").select(F.concat(F.lit("p"), F.lpad(F.col("p_partkey").cast("string"), 7, "0")).alias("presented_id"), F.col("p_partkey").alias("seq"), F.col("p_name").alias("text"), F.concat(F.lit("evidence:"), "p_brand").alias("required_id"))
+    held = t.part.select(F.concat(F.lit("p"), F.lpad(F.col("p_partkey").cast("string"), 7, "0")).alias("presented_id"), F.col("p_partkey").alias("seq"), F.col("p_name").alias("text"), F.concat(F.lit("evidence:"), "p_brand").alias("required_id"))
     shown = held.join(req.select("claim", "required_id"), "required_id").select("claim", "presented_id", "seq", "text")
     return proof.match_evidence(req, shown, held.select("presented_id", "required_id"), fallback=False)
 
@@ -192,11 +192,12 @@ def _(t):
     return _matched(t).groupBy("claim_type").agg(F.count(F.lit(1)).alias("n"), F.count_if("satisfied").alias("satisfied"), F.round(F.avg(F.col("satisfied").cast("int")), 6).alias("rate"))
 
 
-@query("k11_verified_chains", f"{EE}, l AS (SELECT o_orderkey AS key, 'law:' || l_partkey AS law FROM orders JOIN lineitem ON l_orderkey = o_orderkey WHERE o_orderkey < 2000), r AS (SELECT DISTINCT l_orderkey AS key, 'legal_outcome:' || l_suppkey AS remedy FROM lineitem WHERE l_orderkey < 2000) SELECT key, true AS laws_known, bool_and(EXISTS (SELECT 1 FROM edges e JOIN l ON l.law = e.src AND l.key = r.key WHERE e.type = 'AUTHORIZES' AND e.dst = r.remedy)) AS remedies_enabled FROM r GROUP BY 1")
+@query("k11_verified_chains", f"{EE}, l AS (SELECT l_orderkey AS key, CASE WHEN l_partkey % 17 = 3 THEN 'law:x' ELSE 'law:' END || l_partkey AS law FROM lineitem), r AS (SELECT DISTINCT l_orderkey AS key, 'legal_outcome:' || l_suppkey AS remedy FROM lineitem), k AS (SELECT key, bool_and(law IN (SELECT id FROM entities)) AS laws_known FROM l GROUP BY 1), x AS (SELECT DISTINCT key, e.dst AS remedy FROM l JOIN edges e ON e.src = l.law WHERE e.type = 'AUTHORIZES') SELECT k.key, laws_known, bool_and(x.remedy IS NOT NULL) AS remedies_enabled FROM k JOIN r USING (key) LEFT JOIN x ON x.key = r.key AND x.remedy = r.remedy GROUP BY 1, 2")
 def _(t):
-    line = t.lineitem.filter("l_orderkey < 2000")
-    laws = line.select(F.col("l_orderkey").alias("key"), F.concat(F.lit("law:"), "l_partkey").alias("law"))
-    remedies = line.select(F.col("l_orderkey").alias("key"), F.concat(F.lit("legal_outcome:"), "l_suppkey").alias("remedy")).distinct()
+    # One law in seventeen is not in the graph.
+    law = F.concat(F.when(F.col("l_partkey") % 17 == 3, "law:x").otherwise("law:"), F.col("l_partkey").cast("string"))
+    laws = t.lineitem.select(F.col("l_orderkey").alias("key"), law.alias("law"))
+    remedies = t.lineitem.select(F.col("l_orderkey").alias("key"), F.concat(F.lit("legal_outcome:"), "l_suppkey").alias("remedy")).distinct()
     return proof.verified(laws, remedies, entities(t), edges(t))
 
 
@@ -266,9 +267,7 @@ def _(t):
 def _(t):
     docs = t.documents.select(F.col("doc_id").alias("id"), "text")
     found = search.search(t.benchmark.select(F.col("item_id").alias("query_id"), "text"), docs, ["text"], 10)
-    heads = t.benchmark.select(F.col("item_id").alias("query_id"), F.substring("text", 1, 80).alias("head"))
-    truth = docs.join(F.broadcast(heads), F.contains("text", "head")).select("query_id", "id")
-    return evaluate.retrieval_metrics(found, truth)
+    return evaluate.retrieval_metrics(found, search.texts_with_passages(t.benchmark.select(F.col("item_id").alias("query_id"), "text"), docs))
 
 
 @query("l4_l5_chain_metrics", f"{MATCHED}, k AS (SELECT claim, avg(CASE WHEN satisfied THEN 1.0 ELSE 0.0 END) AS s, bool_and(satisfied OR NOT is_critical) AS c FROM m GROUP BY 1) SELECT count(*) AS n, round(avg(s), 6) AS evidence, round(avg(CASE WHEN c THEN 1.0 ELSE 0.0 END), 6) AS verified, round((avg(s) + avg(CASE WHEN c THEN 1.0 ELSE 0.0 END)) / 2, 6) AS overall FROM k")

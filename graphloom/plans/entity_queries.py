@@ -101,11 +101,11 @@ def _(t):
     return graph.insert_edges(edges(t), new.unionByName(new), entities(t))
 
 
-@query("a20_a21_search_results", "SELECT page_id, least(1000, greatest(1, page_id * 7)) AS max_results, url AS locator, 'URL' AS kind FROM pages WHERE page_id BETWEEN 5 AND 200")
+@query("a20_a21_search_results", "SELECT page_id, least(1000, greatest(1, page_id * 7)) AS max_results, url AS locator, 'URL' AS kind FROM pages")
 def _(t):
     from graphloom.sources.search_results import clamp, to_manifest
 
-    held = t.pages.filter("page_id between 5 and 200").select("page_id", "url", F.lit("t").alias("title"))
+    held = t.pages.select("page_id", "url", F.lit("t").alias("title"))
     return to_manifest(held).select("page_id", clamp(F.col("page_id") * 7).alias("max_results"), "locator", "kind")
 
 
@@ -141,10 +141,10 @@ def _(t):
     return search.search(t.benchmark.select(F.col("item_id").alias("query_id"), "text"), docs, ["text"], 10).select("query_id", "id", F.round("score", 6).alias("score"))
 
 
-@query("c7_bm25_all", _bm25("substr(text, 1, 12)", "WHERE hit = wanted", 5))
+@query("c7_bm25_all", _bm25("text", "WHERE hit = wanted", 5))
 def _(t):
     docs = t.documents.filter("lang = 'en'").select(F.col("doc_id").alias("id"), "text")
-    asked = t.benchmark.select(F.col("item_id").alias("query_id"), F.substring("text", 1, 12).alias("text"))
+    asked = t.benchmark.select(F.col("item_id").alias("query_id"), "text")
     return search.search(asked, docs, ["text"], 5, all_terms=True).select("query_id", "id", F.round("score", 6).alias("score"))
 
 
@@ -260,9 +260,9 @@ def _(t):
     return dedup.clean_quotes(t.documents.filter(tx.strip("text") != "").select(F.col("doc_id").alias("id"), F.split("text", "\n").alias("quotes"))).select("id", F.sha2(F.array_join("quotes", "|").cast("binary"), 256).alias("digest"))
 
 
-@query("g12_tag_unions", "SELECT c_custkey, list_aggregate(list_sort(list_distinct(['x', lower(c_mktsegment), 'b'])), 'string_agg', ',') AS tags FROM customer")
+@query("g12_tag_unions", "SELECT c_custkey, list_aggregate(list_sort(list_distinct([lower(c_mktsegment), 'n' || (c_nationkey % 3), lower(substr(c_mktsegment, 1, 4)), 'n' || (c_nationkey % 2)])), 'string_agg', ',') AS tags FROM customer")
 def _(t):
-    return t.customer.select("c_custkey", F.array_join(F.array_sort(F.array_union(F.array(F.lit("x"), F.lower("c_mktsegment")), F.array(F.lit("b"), F.lit("x")))), ",").alias("tags"))
+    return t.customer.select("c_custkey", F.array_join(F.array_sort(F.array_union(F.array(F.lower("c_mktsegment"), F.concat(F.lit("n"), (F.col("c_nationkey") % 3).cast("string"))), F.array(F.lower(F.substring("c_mktsegment", 1, 4)), F.concat(F.lit("n"), (F.col("c_nationkey") % 2).cast("string"))))), ",").alias("tags"))
 
 
 @query("g13_g14_provenance", "SELECT l_partkey AS id, count(DISTINCT l_suppkey || '::' || l_returnflag) AS rows, count(DISTINCT l_suppkey) AS sources FROM lineitem GROUP BY 1")
@@ -274,10 +274,10 @@ def _(t):
     return provenance_rows(rows).groupBy(F.col("subject_id").cast("long").alias("id")).agg(F.count(F.lit(1)).alias("rows"), F.count_distinct("source_id").alias("sources"))
 
 
-@query("i1_cosine_top_k", "WITH s AS (SELECT q.vec_id AS query_id, c.vec_id AS id, list_cosine_similarity(q.embedding::DOUBLE[], c.embedding::DOUBLE[]) AS score FROM embeddings q JOIN embeddings c ON q.vec_id % 50 = 0 AND c.label < 5) SELECT query_id, id, round(score, 6) AS score FROM s QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY round(score, 9) DESC, id) <= 10")
+@query("i1_cosine_top_k", "WITH s AS (SELECT q.vec_id AS query_id, c.vec_id AS id, list_cosine_similarity(q.embedding::DOUBLE[], c.embedding::DOUBLE[]) AS score FROM embeddings q JOIN embeddings c ON q.vec_id % 20 = 0) SELECT query_id, id, round(score, 6) AS score FROM s QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY round(score, 9) DESC, id) <= 10")
 def _(t):
-    asked = t.embeddings.filter("vec_id % 50 = 0").select(F.col("vec_id").alias("query_id"), "embedding")
-    return vectors.top_k(asked, t.embeddings.filter("label < 5").select(F.col("vec_id").alias("id"), "embedding"), 10).select("query_id", "id", F.round("score", 6).alias("score"))
+    asked = t.embeddings.filter("vec_id % 20 = 0").select(F.col("vec_id").alias("query_id"), "embedding")
+    return vectors.top_k(asked, t.embeddings.select(F.col("vec_id").alias("id"), "embedding"), 10).select("query_id", "id", F.round("score", 6).alias("score"))
 
 
 @query("i3_guarded_cosine", "SELECT vec_id, CASE WHEN vec_id % 10 = 0 THEN 0.0 ELSE round(list_cosine_similarity(embedding::DOUBLE[], list_reverse(embedding)::DOUBLE[]), 6) END AS score FROM embeddings")
@@ -299,9 +299,11 @@ def _(t):
     return dedup.merged(held, moved).select("id", "name", "description", "members")
 
 
-@query("i5_canonical_types", "SELECT 'type ' || label AS name, 'type ' || label AS canonical FROM embeddings GROUP BY label")
+@query("i5_canonical_types", "SELECT 'type ' || label || ' ' || s AS name, 'type ' || label || ' a' AS canonical FROM (SELECT DISTINCT label FROM embeddings), (VALUES ('a'), ('b'), ('c')) v(s)")
 def _(t):
-    first = {f"type {r.label}": r.e for r in t.embeddings.groupBy("label").agg(F.min_by("embedding", "vec_id").alias("e")).collect()}
+    # Every type under three names: the later ones, of the same direction, become aliases of the first.
+    held = t.embeddings.groupBy("label").agg(F.min_by("embedding", "vec_id").alias("e")).collect()  # one row for each label, a dictionary
+    first = {f"type {r.label} {s}": [x * scale for x in r.e] for r in held for s, scale in (("a", 1.0), ("b", 2.0), ("c", 0.5))}
     return t._spark.createDataFrame(sorted(vectors.canonical_types(sorted(first), first, 0.8)[1].items()), "name string, canonical string")
 
 
@@ -324,7 +326,7 @@ def _(t):
     return dedup.cascade(found, 0.4, 0.3).select("id", "match", "decision")
 
 
-HYBRID = f"""{with_sql(ENTITIES_SQL, EDGES_SQL)}, q AS (SELECT p_name AS text, row_number() OVER (ORDER BY p_name) AS query_id FROM (SELECT DISTINCT p_name FROM part ORDER BY 1 LIMIT 10)),
+HYBRID = f"""{with_sql(ENTITIES_SQL, EDGES_SQL)}, q AS (SELECT p_name AS text, row_number() OVER (ORDER BY p_name) AS query_id FROM (SELECT DISTINCT p_name FROM part)),
   k AS (SELECT id, string_split(lower(name), ' ') AS w FROM entities WHERE type = 'law'), tf AS (SELECT id, len(w) AS len, unnest(w) AS term FROM k), df AS (SELECT term, count(DISTINCT id) AS df FROM tf GROUP BY 1), st AS (SELECT count(*) AS n, avg(len(w)) AS al FROM k),
   s AS (SELECT query_id, id, sum(ln(1 + (n - df + 0.5) / (df + 0.5)) * 2.2 / (1 + 1.2 * (0.25 + 0.75 * len / al))) AS score FROM (SELECT query_id, unnest(string_split(text, ' ')) AS term FROM q) JOIN tf USING (term) JOIN df USING (term), st GROUP BY 1, 2),
   lex AS (SELECT query_id, id, row_number() OVER (PARTITION BY query_id ORDER BY round(score, 9) DESC, id) AS rank FROM s QUALIFY rank <= 10), linked AS (SELECT query_id, min(e.id) AS id FROM q JOIN entities e ON e.name = q.text AND e.type = 'law' GROUP BY 1),
@@ -339,7 +341,7 @@ def _(t):
     from graphloom.operators.retrieval import hybrid
 
     ent = entities(t)
-    asked = t.part.select("p_name").distinct().orderBy("p_name").limit(10).withColumn("query_id", F.row_number().over(Window.orderBy("p_name")).cast("long")).select("query_id", F.col("p_name").alias("text"))
+    asked = t.part.select("p_name").distinct().withColumn("query_id", F.row_number().over(Window.orderBy("p_name")).cast("long")).select("query_id", F.col("p_name").alias("text"))
     lexical = search.search(asked, ent.filter("type = 'law'").select("id", "name"), ["name"], 10).select("query_id", "id", "rank")
     linked = asked.join(ent.filter("type = 'law'").select("id", F.col("name").alias("text")), "text").groupBy("query_id").agg(F.min("id").alias("id"))
     return hybrid(linked, lexical, edges(t), ent.filter(F.col("type").isin(*d.RETRIEVAL_TYPES)).select("id"))

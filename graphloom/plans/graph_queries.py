@@ -124,11 +124,11 @@ def _(t):
     return document_edges(held.select("document", "entity"), {"evidence": "HAS_EVIDENCE", "legal_outcome": "RESULTS_IN"})
 
 
-@query("d17_inferred_edges", f"{EE}, tok AS (SELECT DISTINCT id, type, jurisdiction, unnest(string_split_regex(lower(coalesce(name, '') || ' ' || coalesce(description, '')), '[^a-z0-9]+')) AS token FROM entities WHERE type IN ('law', 'evidence') OR (type = 'legal_claim' AND id LIKE '%00')), k AS (SELECT * FROM tok WHERE length(token) > 2), m AS (SELECT a.id AS src, b.id AS dst, 'ADDRESSES' AS type, count(*) AS shared FROM k a JOIN k b USING (token) WHERE a.type = 'law' AND b.type = 'legal_claim' GROUP BY 1, 2), n AS (SELECT a.id AS src, b.id AS dst, 'REQUIRES' AS type, count(*) AS shared FROM k a JOIN k b USING (token) WHERE a.type IN ('law', 'legal_claim') AND b.type = 'evidence' GROUP BY 1, 2) SELECT src, dst, type, shared FROM (SELECT * FROM m UNION ALL SELECT * FROM n) WHERE shared >= 1 AND (src, dst, type) NOT IN (SELECT src, dst, type FROM edges)")
+@query("d17_inferred_edges", f"{EE}, tok AS (SELECT DISTINCT id, type, jurisdiction, unnest(string_split_regex(lower(coalesce(name, '') || ' ' || coalesce(description, '')), '[^a-z0-9]+')) AS token FROM entities WHERE type IN ('law', 'evidence', 'legal_claim')), k AS (SELECT * FROM tok WHERE length(token) > 2), m AS (SELECT a.id AS src, b.id AS dst, 'ADDRESSES' AS type, count(*) AS shared FROM k a JOIN k b USING (token) WHERE a.type = 'law' AND b.type = 'legal_claim' GROUP BY 1, 2), n AS (SELECT a.id AS src, b.id AS dst, 'REQUIRES' AS type, count(*) AS shared FROM k a JOIN k b USING (token) WHERE a.type IN ('law', 'legal_claim') AND b.type = 'evidence' GROUP BY 1, 2) SELECT src, dst, type, shared FROM (SELECT * FROM m UNION ALL SELECT * FROM n) WHERE shared >= 1 AND (src, dst, type) NOT IN (SELECT src, dst, type FROM edges)")
 def _(t):
     from graphloom.dictionaries import INFERENCE_RULES
 
-    ent = entities(t).filter("type in ('law', 'evidence') or (type = 'legal_claim' and id like '%00')")
+    ent = entities(t).filter("type in ('law', 'evidence', 'legal_claim')")
     tokens = tx.tokens(F.concat_ws(" ", F.coalesce("name", F.lit("")), F.coalesce("description", F.lit(""))), shortest=3)
     held = ent.select("id", "type", "jurisdiction", tokens.alias("tokens"))
     rules = t._spark.createDataFrame(INFERENCE_RULES, "src_type string, dst_type string, rel string")

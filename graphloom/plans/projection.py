@@ -34,20 +34,24 @@ def entities(t: Tables) -> DataFrame:
 
 
 def edges(t: Tables) -> DataFrame:
-    """src, dst, type; distinct."""
+    """src, dst, type; distinct.
+
+    No two parts share an edge, so each is made distinct alone, on its keys as
+    they are, and not at all where a key of its table is in it.
+    """
     end = lambda kind, c: F.concat(F.lit(f"{kind}:"), F.col(c).cast("string"))
-    line = t.lineitem.join(t.part.select("p_partkey", "p_brand"), F.col("l_partkey") == F.col("p_partkey"))
     named = lambda df, src, dst, kind: df.select(src.alias("src"), dst.alias("dst"), (F.lit(kind) if isinstance(kind, str) else kind).alias("type"))
     law_claim = F.when(F.col("l_returnflag") == "A", "ENABLES").when(F.col("l_returnflag") == "N", "ADDRESSES").otherwise("CITES")
+    proofs = t.lineitem.filter("l_quantity > 25").select("l_orderkey", "l_partkey").join(t.part.select("p_partkey", "p_brand"), F.col("l_partkey") == F.col("p_partkey")).select("l_orderkey", "p_brand").distinct()
     parts = [
         named(t.orders, end("case_document", "o_custkey"), end("legal_claim", "o_orderkey"), "ADDRESSES"),
-        named(t.lineitem, end("law", "l_partkey"), end("legal_claim", "l_orderkey"), law_claim),
+        named(t.lineitem.select("l_partkey", "l_orderkey", law_claim.alias("flag")).distinct(), end("law", "l_partkey"), end("legal_claim", "l_orderkey"), F.col("flag")),
         named(t.lineitem.filter("l_linenumber = 1"), end("legal_claim", "l_orderkey"), end("legal_outcome", "l_suppkey"), "RESULTS_IN"),
-        named(t.lineitem.filter("l_linestatus = 'F'"), end("law", "l_partkey"), end("legal_outcome", "l_suppkey"), "AUTHORIZES"),
-        named(line.filter("l_quantity > 25"), end("legal_claim", "l_orderkey"), end("evidence", "p_brand"), "HAS_EVIDENCE"),
+        named(t.lineitem.filter("l_linestatus = 'F'").select("l_partkey", "l_suppkey").distinct(), end("law", "l_partkey"), end("legal_outcome", "l_suppkey"), "AUTHORIZES"),
+        named(proofs, end("legal_claim", "l_orderkey"), end("evidence", "p_brand"), "HAS_EVIDENCE"),
         named(t.customer, end("case_document", "c_custkey"), end("jurisdiction", "c_nationkey"), "FILED_IN"),
     ]
-    return reduce(DataFrame.unionByName, parts).distinct()
+    return reduce(DataFrame.unionByName, parts)
 
 
 def required(t: Tables) -> DataFrame:

@@ -1,7 +1,9 @@
-"""Where results go: tables, reports as JSON or CSV, an archive of texts by hash."""
+"""Where results go: tables, reports as JSON, CSV or HTML, an archive of texts by hash."""
 
 from __future__ import annotations
 
+from html import escape
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -16,10 +18,23 @@ def write_report(report: DataFrame, path: str, form: str = "json") -> None:
         report.write.mode("overwrite").option("header", "true").csv(path)
     elif form == "json":
         report.write.mode("overwrite").json(path)
+    elif form == "html":
+        _html(report).write.mode("overwrite").text(path)
     else:
         raise ValueError(f"no report of form {form}")
 
 
+def _html(report: DataFrame) -> DataFrame:
+    """The lines of a page with one table, escaped: head, a line for each row, end; one file, as a report is made to be read."""
+    shown = lambda f: F.to_json(f"`{f.name}`") if f.dataType.typeName() in ("array", "struct", "map") else F.col(f"`{f.name}`").cast("string")
+    cells = [F.concat(F.lit("<td>"), tx.escape_html(F.coalesce(shown(f), F.lit(""))), F.lit("</td>")) for f in report.schema]
+    names = "".join(f"<th>{escape(f.name)}</th>" for f in report.schema)
+    line = lambda at, text: report.sparkSession.range(1).select(F.lit(at).alias("at"), F.lit(text).alias("value"))
+    body = report.select(F.lit(1).alias("at"), F.concat(F.lit("<tr>"), *cells, F.lit("</tr>")).alias("value"))
+    lines = line(0, f"<!DOCTYPE html><html><head><meta charset='utf-8'><title>Report</title></head><body><table><tr>{names}</tr>").unionByName(body).unionByName(line(2, "</table></body></html>"))
+    return lines.coalesce(1).sortWithinPartitions("at", "value").select("value")
+
+
 def write_entities_and_vectors(entities: DataFrame, path: str) -> None:
     """Entities, and their vectors under `entity:id`, as two tables."""
     entities.drop("embedding").write.mode("overwrite").parquet(f"{path}/entities")

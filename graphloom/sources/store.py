@@ -10,8 +10,12 @@ from graphloom import schemas
 from graphloom.functions import text as tx
 
 
+#: How tables lie: folders by a column that queries fix (few values), and the order within a file, whose statistics let a scan for one value skip the rest.
+LAYOUT = {"entities": ("type", ("id",)), "edges": ("type", ("src", "dst")), "chunks": (None, ("source_id", "chunk_index")), "provenance": ("subject_type", ("subject_id",)), "quotes": (None, ("source_id", "start_offset")), "sources": (None, ("locator",))}
+
+
 class Store:
-    """Parquet tables under a path; a rewrite goes to a new version, so that a table may be rewritten from itself."""
+    """Parquet tables under a path, laid out for their lookups; a rewrite goes to a new version, so that a table may be rewritten from itself."""
 
     def __init__(self, spark: SparkSession, path: str) -> None:
         self.spark, self.path = spark, path.rstrip("/")
@@ -35,7 +39,12 @@ class Store:
         """The table's new contents; columns that are missing are null."""
         fields = schemas.struct(schemas.TABLES[name])
         held = rows.select(*((F.col(f"`{f.name}`") if f.name in rows.columns else F.lit(None)).cast(f.dataType).alias(f.name) for f in fields))
-        held.write.mode("overwrite").parquet(f"{self.path}/{name}/v{(self._versions(name) or [0])[-1] + 1}")
+        folder, order = LAYOUT.get(name, (None, ()))
+        if order:  # ranges, so that a frequent value takes several files and a rare one few
+            keys = [*([folder] if folder else []), *order]
+            held = held.repartitionByRange(*keys).sortWithinPartitions(*keys)
+        writer = held.write.mode("overwrite")
+        (writer.partitionBy(folder) if folder else writer).parquet(f"{self.path}/{name}/v{(self._versions(name) or [0])[-1] + 1}")
 
     def reset(self, *names: str) -> None:
         for name in names or schemas.TABLES:
