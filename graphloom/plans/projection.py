@@ -46,7 +46,7 @@ def edges(t: Tables) -> DataFrame:
     parts = [
         named(t.orders, end("case_document", "o_custkey"), end("legal_claim", "o_orderkey"), "ADDRESSES"),
         named(t.lineitem.select("l_partkey", "l_orderkey", law_claim.alias("flag")).distinct(), end("law", "l_partkey"), end("legal_claim", "l_orderkey"), F.col("flag")),
-        named(t.lineitem.filter("l_linenumber = 1"), end("legal_claim", "l_orderkey"), end("legal_outcome", "l_suppkey"), "RESULTS_IN"),
+        named(t.lineitem.filter("l_linenumber = 1").select("l_orderkey", "l_suppkey").distinct(), end("legal_claim", "l_orderkey"), end("legal_outcome", "l_suppkey"), "RESULTS_IN"),
         named(t.lineitem.filter("l_linestatus = 'F'").select("l_partkey", "l_suppkey").distinct(), end("law", "l_partkey"), end("legal_outcome", "l_suppkey"), "AUTHORIZES"),
         named(proofs, end("legal_claim", "l_orderkey"), end("evidence", "p_brand"), "HAS_EVIDENCE"),
         named(t.customer, end("case_document", "c_custkey"), end("jurisdiction", "c_nationkey"), "FILED_IN"),
