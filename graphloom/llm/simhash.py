@@ -1,18 +1,21 @@
 """SimHash near-duplicates through an inverted index of byte positions.
 
 Two 64-bit fingerprints within 3 bits differ in 3 of their 8 bytes at most, so
-they share 5 positional bytes or more, and one half of the 8 positions shares 3
-of its 4. The index therefore posts every distinct fingerprint under its eight
-triples of positional bytes (four in each half). The triples stand in for a
-count filter: pairs of a posting list are verified by Hamming distance, and the
-tally of shared bytes after it can reject none that passed. A list gives only the links of a spanning forest, found by a
-search that compares each fingerprint with those not reached yet, so a group of
-g near copies gives g - 1 links and never g * g pairs.
-
-Long lists go through the index again: inside a list of 3 shared bytes a linked
-pair shares 2 more of the other 5, so its members are posted under ten pairs of
-further bytes; a list that is still long is dealt out as pairs of blocks. No
-list, partner or candidate is dropped.
+they share 5 positional bytes or more. The index posts every distinct
+fingerprint under positional bytes. A list of one byte is always a 256th of
+everything, so lists are split by the adjoining byte from the start: of the four
+pairs of positions, (0, 1) to (6, 7), a linked pair shares one at least. In a
+posting list the shared positional bytes of every pair are tallied (all eight of
+them, in one machine word); pairs that reach the guaranteed minimum of 5 are
+retained and verified by Hamming distance. A list gives only the links of a
+spanning forest, found by a search that tallies each fingerprint with those not
+reached yet, so a group of g near copies gives g - 1 links and never g * g pairs.
+
+A list that is still long is split by a further byte: of any four positions a
+linked pair shares one, so members are posted again under four of the positions
+that the list has not used. Lists of five shared bytes, where no further byte is
+guaranteed, are dealt out as pairs of blocks. No list, partner or candidate is
+dropped, and no list that one task takes is longer than ``LONG_LIST``.
 
 Defined results: a null text is empty; no word gives fingerprint zero, which is
 linked like any other; fewer words than a shingle give one shingle of all of
@@ -23,7 +26,6 @@ Repeated rows share a fingerprint. Other columns of the table are ignored.
 from __future__ import annotations
 
 from collections.abc import Iterator
-from itertools import combinations
 
 import numpy as np
 import pyarrow as pa
@@ -31,10 +33,12 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .base import documents, fresh, named, settle, text_of
+from .base import documents, fresh, lean, meet, named, release, settle, text_of
 
-#: Longest posting list that one task takes as a whole.
-LONG_LIST = 20_000
+#: Longest posting list that one task takes as a whole, and lists that are looked through together.
+LONG_LIST, SHORT_LIST = 4096, 64
+#: Positional bytes, and those of them that a list of the first level has in common.
+POSITIONS, FIRST = 8, ((0, 1), (2, 3), (4, 5), (6, 7))
 
 
 def fingerprint(text: bytes, words: int, seed: int) -> int:
@@ -65,41 +69,57 @@ def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
             prints = np.array([fingerprint(x, words, seed) for x in batch.column(1).to_pylist()], np.uint64).view(np.int64)
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(prints, pa.int64()), batch.column(2)], names=["id", "fp", "code"])
 
-    return docs.select(named(id_col).alias("id"), text_of(text_col).cast("binary").alias("text"), F.xxhash64(text_of(text_col)).alias("code")).mapInArrow(run, f"id {kind}, fp long, code long")
+    return docs.select(named(id_col).alias("id"), text_of(text_col).cast("binary").alias("text"), F.xxhash64(text_of(text_col)).alias("code")).mapInArrow(lean(run), f"id {kind}, fp long, code long")
 
 
-def _mask(places: tuple[int, ...]) -> int:
-    value = sum(0xFF << (8 * p) for p in places)
-    return value - (1 << 64) if value >> 63 else value
+def _shared_bytes(other: np.ndarray) -> np.ndarray:
+    """The tally: how many of the 8 bytes of each XOR of two fingerprints are zero."""
+    low = np.uint64(0x7F7F7F7F7F7F7F7F)
+    return np.bitwise_count(~(((other & low) + low) | other | low))
 
 
-#: Places of the triples in both halves, and for each of them the pairs of other places.
-TRIPLES = [*combinations(range(4), 3), *combinations(range(4, 8), 3)]
-FURTHER = [[(*t, *p) for p in combinations([x for x in range(8) if x not in t], 2)] for t in TRIPLES]
+def _near(other: np.ndarray, bits: int) -> np.ndarray:
+    """Of XORs with one fingerprint, the places of those that reach the count and then stand the verification."""
+    retained = np.flatnonzero(_shared_bytes(other) >= POSITIONS - bits)
+    return retained[np.bitwise_count(other[retained]) <= bits]
 
 
 def _forest(prints: np.ndarray, bits: int) -> list[tuple[int, int]]:
     """Links of a spanning forest of fingerprints that lie within ``bits``."""
-    least, out = 8 - bits, []
+    out = []
     open_ = np.arange(len(prints))
     while len(open_) > 1:
         queue, open_ = [int(open_[0])], open_[1:]
         while queue and len(open_):
             at = queue.pop()
-            other = prints[open_] ^ prints[at]
-            near = np.bitwise_count(other) <= bits
-            if not near.any():
-                continue
-            hit = np.flatnonzero(near)
-            shared = (other[hit].view(np.uint8).reshape(-1, 8) == 0).sum(axis=1)  # the tally of shared positional bytes
-            hit = hit[shared >= least]
-            found = open_[hit].tolist()
-            out += [(at, x) for x in found]
-            queue += found
-            open_ = np.delete(open_, hit)
+            hit = _near(prints[open_] ^ prints[at], bits)
+            if len(hit):
+                found = open_[hit].tolist()
+                out += [(at, x) for x in found]
+                queue += found
+                open_ = np.delete(open_, hit)
     return out
 
 
+def _linked_lists(prints: np.ndarray, edges: np.ndarray, bits: int) -> np.ndarray:
+    """Lists that hold a link; short ones are looked through all at once, by the distance of members in their list."""
+    sizes = np.diff(edges)
+    linked = sizes > SHORT_LIST
+    short = np.repeat(~linked, sizes)
+    own, held = np.repeat(np.arange(len(sizes)), sizes)[short], prints[short]
+    for apart in range(1, min(SHORT_LIST, int(sizes[~linked].max(initial=0)))):
+        if len(own) <= apart:
+            break
+        other = held[apart:] ^ held[:-apart]
+        other[own[apart:] != own[:-apart]] = np.uint64(0xFFFFFFFFFFFFFFFF)
+        linked[own[apart:][_near(other, bits)]] = True
+        # Lists with no members this far apart, and those known to hold a link, are done.
+        more = (sizes > apart + 1) & ~linked
+        kept = more[own]
+        own, held = own[kept], held[kept]
+    return np.flatnonzero(linked)
+
+
 def _links(bits: int):
     """Reads posting lists in order and gives their links."""
 
@@ -113,9 +133,9 @@ def _links(bits: int):
                 rest.append(keys[edges[-2] :])
                 edges = edges[:-1]
             left, right = [], []
-            sizes = np.diff(edges)
-            for i in np.flatnonzero(sizes > 1):
-                prints = np.ascontiguousarray(keys[edges[i] : edges[i + 1], -1]).view(np.uint64)
+            every = np.ascontiguousarray(keys[: edges[-1], -1]).view(np.uint64)
+            for i in _linked_lists(every, edges, bits):
+                prints = every[edges[i] : edges[i + 1]]
                 for a, b in _forest(prints, bits):
                     left.append(prints[a])
                     right.append(prints[b])
@@ -131,12 +151,33 @@ def _links(bits: int):
             keys, rest = np.concatenate(rest), []
             yield from lists(keys, False)
 
-    return run
+    return lean(run)
+
+
+def _byte(position: int) -> int:
+    value = 0xFF << (8 * position)
+    return value - (1 << 64) if value >> 63 else value
 
 
-def _posted(prints: DataFrame, places: list[tuple[int, tuple[int, ...]]]) -> DataFrame:
-    posts = F.array(*(F.struct(F.lit(i).alias("slot"), F.col("fp").bitwiseAND(F.lit(_mask(p)).cast("long")).alias("key")) for i, p in places))
-    return prints.select("fp", F.explode(posts).alias("post")).select("post.slot", "post.key", "fp")
+def _posted(prints: DataFrame) -> DataFrame:
+    """The first level: (used, key, fp), used being the set of positions that a list has in common, as bits, and key their bytes."""
+    posts = []
+    for places in FIRST:
+        mask = sum(_byte(p) for p in places)
+        posts.append(F.struct(F.lit(sum(1 << p for p in places)).alias("used"), F.col("fp").bitwiseAND(F.lit(mask).cast("long")).alias("key")))
+    return prints.select("fp", F.explode(F.array(*posts)).alias("post")).select("post.used", "post.key", "fp")
+
+
+def _split(posts: DataFrame, bits: int) -> DataFrame:
+    """Members of long lists under one more byte, at the first bits + 1 positions that their list has not used: a linked pair shares one of them."""
+    unused = F.lit(0)
+    posted = []
+    for p in range(POSITIONS):
+        free = F.col("used").bitwiseAND(F.lit(1 << p)) == 0
+        post = F.struct(F.col("used").bitwiseOR(F.lit(1 << p)).alias("used"), F.col("key").bitwiseOR(F.col("fp").bitwiseAND(F.lit(_byte(p)).cast("long"))).alias("key"))
+        posted.append(F.when(free & (unused <= bits), post))
+        unused = unused + free.cast("int")
+    return posts.select("fp", F.explode(F.filter(F.array(*posted), lambda x: x.isNotNull())).alias("post")).select("post.used", "post.key", "fp").distinct()
 
 
 def _search(posts: DataFrame, bits: int, *keys: str) -> DataFrame:
@@ -148,30 +189,30 @@ def links(prints: DataFrame, bits: int = 3, long_list: int = LONG_LIST) -> DataF
     """Links (a, b) between distinct fingerprints (column fp) whose closure is that of all pairs within ``bits`` bits (3 at most)."""
     if not 0 <= bits <= 3:
         raise ValueError("the index guarantees 0 to 3 differing bits")
-    posts = _posted(prints, list(enumerate(TRIPLES)))
-    sizes = settle(posts.groupBy("slot", "key").count().filter(F.col("count") > long_list), "simhash-long")
-    if sizes.isEmpty():
-        return _search(posts, bits, "slot", "key").distinct()
-    found = [_search(posts.join(sizes, ["slot", "key"], "left_anti"), bits, "slot", "key")]
-    long = posts.join(sizes, ["slot", "key"], "left_semi")
-    again = None
-    for i, further in enumerate(FURTHER):
-        own = _posted(long.filter(F.col("slot") == i).select("fp"), [(100 * (i + 1) + j, p) for j, p in enumerate(further)])
-        again = own if again is None else again.unionByName(own)
-    again = settle(again, "simhash-again")
-    sizes = again.groupBy("slot", "key").count()
-    still = settle(sizes.filter(F.col("count") > long_list), "simhash-still")
-    found.append(_search(again.join(still, ["slot", "key"], "left_anti"), bits, "slot", "key"))
-    if not still.isEmpty():
-        blocks = F.ceil(F.col("count") / F.lit(long_list // 2)).cast("int")
-        own = again.join(still, ["slot", "key"]).withColumn("blocks", blocks).withColumn("block", F.pmod(F.xxhash64("fp"), F.col("blocks")).cast("int"))
-        pair = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))
-        met = own.select("slot", "key", "fp", "block", pair.alias("other")).select("slot", "key", "fp", F.least("block", "other").alias("low"), F.greatest("block", "other").alias("high"))
-        found.append(_search(met, bits, "slot", "key", "low", "high"))
+    posts, found, used = _posted(prints), [], []
+    for level in range(len(FIRST[0]), POSITIONS - bits + 1):
+        long = settle(posts.groupBy("used", "key").count().filter(F.col("count") > long_list), "simhash-long")
+        used.append(long)
+        if long.isEmpty():
+            found.append(_search(posts, bits, "used", "key"))
+            break
+        found.append(_search(posts.join(long, ["used", "key"], "left_anti"), bits, "used", "key"))
+        still = posts.join(long, ["used", "key"])
+        if level < POSITIONS - bits:
+            posts = settle(_split(still, bits), "simhash-split")
+            used.append(posts)
+        else:  # no further byte is guaranteed
+            blocks = F.ceil(F.col("count") / F.lit(max(1, long_list // 2))).cast("int")
+            own = still.withColumn("blocks", blocks).withColumn("block", F.pmod(F.xxhash64("fp"), F.col("blocks")).cast("int"))
+            pair = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))
+            met = own.select("used", "key", "fp", "block", pair.alias("other")).select("used", "key", "fp", F.least("block", "other").alias("low"), F.greatest("block", "other").alias("high"))
+            found.append(_search(met, bits, "used", "key", "low", "high"))
     out = found[0]
     for more in found[1:]:
         out = out.unionByName(more)
-    return out.distinct()
+    out = settle(out.distinct(), "simhash-links")
+    release(*used)
+    return out
 
 
 def roots(edges: DataFrame) -> DataFrame:
@@ -189,7 +230,8 @@ def roots(edges: DataFrame) -> DataFrame:
         moves.append(move)
         left, right = move.select(F.col("node").alias("a"), F.col("to").alias("x")), move.select(F.col("node").alias("b"), F.col("to").alias("y"))
         moved = edges.join(left, "a").join(right, "b").filter("x <> y").select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b"))
-        edges = settle(moved.distinct(), "links")
+        past, edges = edges, settle(moved.distinct(), "links")
+        release(past)
     if not moves:
         return edges.select(F.col("a").alias("node"), F.col("b").alias("root"))
     out = moves[0].select("node", F.col("to").alias("root"))
@@ -200,26 +242,35 @@ def roots(edges: DataFrame) -> DataFrame:
 
 
 def near_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 3, bits: int = 3, seed: int = 42, long_list: int = LONG_LIST) -> tuple[DataFrame, DataFrame]:
-    """(members, groups): members has id, fp, code of every row; groups has fp, component_id and owner, the least (id, code) of the component."""
+    """(members, groups): members has id, fp, code of every row; groups has fp, rows (of that fp), component_id and owner, the least (id, code) of the component."""
     members = settle(fingerprints(docs, id_col, text_col, words, seed), "fingerprints")
     own = F.struct(F.col("id").isNull().alias("none"), "id", "code")
-    prints = settle(members.groupBy("fp").agg(F.min("id").alias("least"), F.min(own).alias("owner")), "prints")
+    prints = settle(members.groupBy("fp").agg(F.min("id").alias("least"), F.min(own).alias("owner"), F.count(F.lit(1)).alias("rows")), "prints")
     tree = roots(links(prints.select("fp"), bits, long_list))
-    rooted = prints.join(tree.select(F.col("node").alias("fp"), "root"), "fp", "left").select("fp", F.coalesce("root", "fp").alias("root"), "least", "owner")
+    rooted = settle(prints.join(tree.select(F.col("node").alias("fp"), "root"), "fp", "left").select("fp", "rows", F.coalesce("root", "fp").alias("root"), "least", "owner"), "rooted")
     least = rooted.groupBy("root").agg(F.min("least").alias("component_id"), F.min("owner").alias("owner"))
-    return members, rooted.select("fp", "root").join(least, "root").select("fp", "component_id", "owner")
+    groups = settle(rooted.select("fp", "rows", "root").join(least, "root").select("fp", "rows", "component_id", "owner"), "groups")
+    release(prints, rooted)
+    return members, groups
 
 
 def drop_near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 3, bits: int = 3) -> DataFrame:
-    """The rows of ``docs`` that own their group: the least id stays. Equal rows (id and text) count as one and both stay; run exact dedup first."""
-    _, groups = near_groups(docs, id_col, text_col, words, bits)
-    own_id, own_code, row = fresh(docs, "kept_id", "kept_code", "row")
-    kept = groups.select(F.col("owner.id").alias(own_id), F.col("owner.code").alias(own_code)).distinct()
+    """The rows of ``docs`` that own their group: the least id stays. Equal rows (id and text) count as one and both stay; run exact dedup first.
+
+    Only keys of dropped rows are gathered, so texts stay where they are read as
+    long as those keys are few; else they meet by shuffle.
+    """
+    members, groups = near_groups(docs, id_col, text_col, words, bits)
+    own_id, own_code, row = fresh(docs, "dropped_id", "dropped_code", "row")
+    met = meet(members, groups, "fp", "rows")
+    owns = F.col("id").eqNullSafe(F.col("owner.id")) & (F.col("code") == F.col("owner.code"))
+    dropped = settle(met.filter(~owns).select(F.col("id").alias(own_id), F.col("code").alias(own_code)).distinct(), "near-dropped")
+    release(members, groups)
     keyed = docs.select(F.struct(*map(named, docs.columns)).alias(row), named(id_col).alias("id"), F.xxhash64(text_of(text_col)).alias("code"))
-    met = keyed.join(kept.hint("shuffle_hash"), F.col("id").eqNullSafe(F.col(own_id)) & (F.col("code") == F.col(own_code)), "left_semi")
-    return met.select(f"{row}.*")
+    kept = keyed.join(dropped, F.col("id").eqNullSafe(F.col(own_id)) & (F.col("code") == F.col(own_code)), "left_anti")
+    return kept.select(f"{row}.*")
 
 
 def op5_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     members, groups = near_groups(documents(spark, sf_dir))
-    return members.join(groups.select("fp", "component_id"), "fp").select(F.col("id").alias("doc_id"), F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+    return meet(members, groups.select("fp", "rows", "component_id"), "fp", "rows").select(F.col("id").alias("doc_id"), F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
