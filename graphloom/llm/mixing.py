@@ -8,7 +8,12 @@ budget is taken if more than half of it lies within.
 
 A source is never sorted in one task: keys fall into ranges, as many as the
 source's rows ask for, the sums of the ranges are added up, and each range is
-sorted alone.
+sorted alone. Targets are shared out over a table of one row a source in one
+task, so sources may be many thousands but not as many as documents.
+
+What the fraction takes of a source is all up to an edge, the last key taken. The
+rows themselves are therefore emitted where they are read, against one edge for
+each source, and texts are not dealt out.
 
 Defined results: a null text has size 0 and is taken 0 words; so is a source of
 size 0, whose target is 0. A null source is a source of its own, the last; an
@@ -23,7 +28,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .base import WORD, documents, named, settle, text_of
+from .base import WORD, documents, few, fresh, named, settle, text_of
 
 #: A quality weight below this counts as this.
 LEAST_QUALITY = 1e-3
@@ -62,16 +67,18 @@ def targets(sizes: DataFrame, share: float = 1.0, most: float = 3.0, weights: tu
     return caps.withColumn("at", level["level"]).select("source", "source_size", "rows", F.when(F.col("at").isNull(), F.col("cap")).otherwise(F.least("cap", F.col("at") * F.col("weight"))).alias("target"))
 
 
-def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", quality: Column | None = None, seed: int = 2, share: float = 1.0, most: float = 3.0, weights: tuple[float, ...] = (1.0, 2.0, 3.0), range_rows: int = RANGE_ROWS) -> DataFrame:
-    """One row per document: doc_id, code (hash of the text), source, size, source_size, target, times, taken."""
-    sized = docs.select(named(id_col).alias("doc_id"), named(source_col).alias("source"), named(text_col).alias("text"), (F.lit(1.0) if quality is None else quality.cast("double")).alias("quality"))
-    sized = sized.withColumn("size", F.regexp_count(text_of("text"), F.lit(WORD)).cast("long"))
-    if quality is None:
-        sized = sized.withColumn("quality", prose_quality())
-    weight = F.when(F.col("quality").isNull() | (F.col("quality") < LEAST_QUALITY), F.lit(LEAST_QUALITY)).when(F.isnan("quality") | (F.col("quality") == float("inf")), F.lit(1.0)).otherwise(F.col("quality"))
-    code = F.xxhash64(text_of("text"))
-    draw = (F.shiftrightunsigned(F.xxhash64(F.lit(seed), F.col("doc_id").cast("string"), code), 11).cast("double") + 0.5) / float(1 << 53)
-    rows = settle(sized.select("doc_id", code.alias("code"), "source", "size", (-F.log(draw) / weight).alias("draw")), "mix")
+def _drawn(docs: DataFrame, id_col: str, text_col: str, source_col: str, quality: Column | None, seed: int) -> DataFrame:
+    """Adds to ``docs`` (any columns): the doc_id, code, source, size and draw; the names must be free."""
+    sized = docs.withColumns({"doc_id": named(id_col), "source": named(source_col), "code": F.xxhash64(text_of(text_col)), "size": F.regexp_count(text_of(text_col), F.lit(WORD)).cast("long")})
+    own = prose_quality(text_col) if quality is None else quality.cast("double")
+    weight = F.when(own.isNull() | (own < LEAST_QUALITY), F.lit(LEAST_QUALITY)).when(F.isnan(own) | (own == float("inf")), F.lit(1.0)).otherwise(own)
+    draw = (F.shiftrightunsigned(F.xxhash64(F.lit(seed), F.col("doc_id").cast("string"), "code"), 11).cast("double") + 0.5) / float(1 << 53)
+    return sized.withColumn("draw", -F.log(draw) / weight)
+
+
+def _placed(docs: DataFrame, id_col: str, text_col: str, source_col: str, quality: Column | None, seed: int, share: float, most: float, weights: tuple[float, ...], range_rows: int) -> DataFrame:
+    """One row per document: doc_id, code, source, size, draw, source_size, target, epochs, extra (whether the fraction takes it)."""
+    rows = settle(_drawn(docs.select(named(id_col).alias("doc_id"), named(source_col).alias("source"), named(text_col).alias("text"), *([] if quality is None else [quality.cast("double").alias("quality")])), "doc_id", "text", "source", None if quality is None else F.col("quality"), seed).select("doc_id", "code", "source", "size", "draw"), "mix")
     per_source = settle(rows.groupBy("source").agg(F.sum("size").alias("source_size"), F.count(F.lit(1)).alias("rows"), F.avg("draw").alias("mean")), "mix-sources")
     goals = targets(per_source.select("source", "source_size", "rows"), share, most, weights).join(per_source.select(F.col("source").alias("s"), "mean"), F.col("source").eqNullSafe(F.col("s"))).drop("s")
     goals = goals.select(F.col("source").alias("s"), "source_size", "target", "mean", F.ceil(F.col("rows") / F.lit(range_rows)).alias("ranges"))
@@ -85,20 +92,45 @@ def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_
     inside = Window.partitionBy("source", "range").orderBy("draw", F.col("doc_id").isNull(), "doc_id", "code").rowsBetween(Window.unboundedPreceding, Window.currentRow)
     before = F.col("start") + F.sum("size").over(inside) - F.col("size")
     epochs = F.when(F.col("source_size") > 0, F.floor(F.col("target") / F.col("source_size"))).otherwise(0)
+    out = dealt.withColumn("before", before).withColumn("epochs", epochs.cast("int"))
     rest = F.col("target") - F.col("epochs") * F.col("source_size")
-    out = dealt.withColumn("before", before).withColumn("epochs", epochs)
-    out = out.withColumn("times", F.col("epochs") + ((F.col("size") > 0) & (F.col("before") + F.col("size") / 2.0 < rest)).cast("int"))
-    return out.select("doc_id", "code", "source", "size", "source_size", "target", F.col("times").cast("int").alias("times"), (F.col("times") * F.col("size")).cast("long").alias("taken"))
-
-
-def mixed_rows(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", **options) -> DataFrame:
-    """The rows of ``docs`` as often as the mix takes them, with their columns."""
-    taken = mix(docs, id_col, text_col, source_col, **options).filter("times > 0").groupBy("doc_id", "code", "source").agg(F.sum("times").alias("times"), F.count(F.lit(1)).alias("copies"))
-    # Equal rows share what was taken of them: each gets the ceiling, which is exact for distinct rows.
-    taken = taken.select(F.col("doc_id").alias("taken_id"), F.col("code").alias("taken_code"), F.col("source").alias("taken_source"), F.ceil(F.col("times") / F.col("copies")).cast("int").alias("taken_times"))
-    left = docs.select(F.struct(*map(named, docs.columns)).alias("row"), named(id_col).alias("own_id"), named(source_col).alias("own_source"), F.xxhash64(text_of(text_col)).alias("own_code"))
-    met = left.join(taken.hint("shuffle_hash"), F.col("own_id").eqNullSafe(F.col("taken_id")) & (F.col("own_code") == F.col("taken_code")) & F.col("own_source").eqNullSafe(F.col("taken_source")))
-    return met.select("row", F.explode(F.sequence(F.lit(1), F.col("taken_times"))).alias("turn")).select("row.*")
+    return out.select("doc_id", "code", "source", "size", "draw", "source_size", "target", "epochs", ((F.col("size") > 0) & (F.col("before") + F.col("size") / 2.0 < rest)).alias("extra"))
+
+
+def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", quality: Column | None = None, seed: int = 2, share: float = 1.0, most: float = 3.0, weights: tuple[float, ...] = (1.0, 2.0, 3.0), range_rows: int = RANGE_ROWS) -> DataFrame:
+    """One row per document: doc_id, code (hash of the text), source, size, source_size, target, times, taken."""
+    times = F.col("epochs") + F.col("extra").cast("int")
+    out = _placed(docs, id_col, text_col, source_col, quality, seed, share, most, weights, range_rows).withColumn("times", times)
+    return out.select("doc_id", "code", "source", "size", "source_size", "target", "times", (F.col("times") * F.col("size")).cast("long").alias("taken"))
+
+
+def mixed_rows(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", quality: Column | None = None, seed: int = 2, share: float = 1.0, most: float = 3.0, weights: tuple[float, ...] = (1.0, 2.0, 3.0), range_rows: int = RANGE_ROWS) -> DataFrame:
+    """The rows of ``docs`` as often as the mix takes them, with their columns.
+
+    Of equal rows at a source's edge, of which the fraction takes some, as many are taken.
+    """
+    place = F.struct("draw", F.col("doc_id").isNull().alias("none"), "doc_id", "code")
+    placed = settle(_placed(docs, id_col, text_col, source_col, quality, seed, share, most, weights, range_rows), "mix-placed")
+    edges = placed.groupBy("source").agg(F.first("epochs").alias("epochs"), F.max(F.when(F.col("extra"), place)).alias("edge"))
+    edges = few(edges.select(F.col("source").alias("s"), "epochs", "edge"))
+    at_edge = placed.join(edges, F.col("source").eqNullSafe(F.col("s")) & (place == F.col("edge")))
+    split = settle(at_edge.groupBy(F.col("source").alias("at_source")).agg(F.count_if("extra").cast("int").alias("open"), F.count(F.lit(1)).alias("copies")).filter("open < copies"), "mix-split")
+    (row,) = fresh(docs, "the row")
+    drawn = _drawn(docs.select(F.struct(*map(named, docs.columns)).alias(row), named(id_col).alias("own id"), named(text_col).alias("own text"), named(source_col).alias("own source"), *([] if quality is None else [quality.cast("double").alias("own quality")])), "own id", "own text", "own source", None if quality is None else F.col("own quality"), seed)
+    met = drawn.join(edges, F.col("source").eqNullSafe(F.col("s"))).withColumn("extra", F.coalesce((F.col("size") > 0) & (place <= F.col("edge")), F.lit(False)))
+    at_turn = lambda df: df.select(row, F.explode(F.sequence(F.lit(1), F.col("times"))).alias("turn")).select(f"{row}.*")
+    if split.isEmpty():
+        return at_turn(met.withColumn("times", F.col("epochs") + F.col("extra").cast("int")).filter("times > 0"))
+    # Equal rows at an edge are numbered part by part, so no task holds a group as a whole.
+    met = met.join(split, F.col("source").eqNullSafe(F.col("at_source")), "left").withColumn("shared", F.coalesce(F.col("open").isNotNull() & (place == F.col("edge")), F.lit(False)))
+    rest = met.filter(~F.col("shared")).withColumn("times", F.col("epochs") + F.col("extra").cast("int")).select(row, "times")
+    copies = settle(met.filter("shared").select(row, "epochs", "source", "open", F.spark_partition_id().alias("part")), "mix-copies")
+    before = Window.partitionBy("source").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
+    parts = copies.groupBy("source", "part").agg(F.count(F.lit(1)).alias("n")).select(F.col("source").alias("s"), F.col("part").alias("p"), F.coalesce(F.sum("n").over(before), F.lit(0)).alias("before"))
+    own = Window.partitionBy("source", "part").orderBy(F.lit(0))
+    shared = copies.withColumn("place", F.row_number().over(own)).join(parts, F.col("source").eqNullSafe(F.col("s")) & (F.col("part") == F.col("p")))
+    shared = shared.select(row, (F.col("epochs") + (F.col("before") + F.col("place") <= F.col("open")).cast("int")).alias("times"))
+    return at_turn(rest.unionByName(shared).filter("times > 0"))
 
 
 def op2_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
