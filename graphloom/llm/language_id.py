@@ -7,8 +7,10 @@ texts. A text gets the language whose bundle has the largest cosine.
 
 Texts are lower-cased; whatever is not a letter counts as a space, and spaces
 in a row as one. Prototypes are fitted on a bounded sample: of each language
-the ``per_language`` labelled rows with the smallest hash. Prediction covers
-every whole text; long ones are bundled in slices that overlap by n - 1.
+the labelled rows with the smallest hash of id and text, ``per_language`` at most.
+Rows equal in both share a hash; so many of them that they alone would go over
+the bound are left out of the sample, unless the language has no others.
+Prediction covers every whole text; long ones are bundled in slices that overlap by n - 1.
 
 Defined results: a null text, or one without a letter, is ``und`` with score 0;
 so is every text if nothing was learned. Ties go to the first language in code
@@ -28,7 +30,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .base import documents, fresh, named
+from .base import documents, fresh, lean, named, settle
 
 UND = "und"
 DIMENSIONS, ORDER, PER_LANGUAGE = 1024, 3, 3000
@@ -126,17 +128,22 @@ class Bundler:
 def prototypes(docs: DataFrame, learn: Column, text_col: str = "text", lang_col: str = "lang", key_col: str = "doc_id", per_language: int = PER_LANGUAGE, dimensions: int = DIMENSIONS, order: int = ORDER) -> tuple[list[str], np.ndarray]:
     """Languages in code point order and their unit bundles."""
     labelled = docs.filter(learn & named(lang_col).isNotNull() & named(text_col).isNotNull())
-    draw = F.xxhash64(named(key_col).cast("string"), F.lit(9))
+    draw = F.xxhash64(named(key_col).cast("string"), named(text_col), F.lit(9))
     first = labelled.select(named(lang_col).cast("string").alias("lang"), draw.alias("draw"))
     # The smallest hashes are ranked among twice as many as are wanted, not among all rows of a language.
     sizes = {r.lang: r.n for r in first.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).collect()}
     share = F.create_map(*(F.lit(x) for lang, n in sizes.items() for x in (lang, min(1.0, 2.0 * per_language / n)))) if sizes else F.create_map().cast("map<string,double>")
     first = first.filter((F.col("draw").cast("double") / float(1 << 64) + 0.5) <= F.try_element_at(share, F.col("lang")))
-    rank = F.row_number().over(Window.partitionBy("lang").orderBy("draw"))
-    # One number for each language comes to the driver; the texts are filtered where they are read and not dealt out.
-    limits = first.withColumn("rank", rank).filter(F.col("rank") <= per_language).groupBy("lang").agg(F.max("draw").alias("limit")).collect()
+    drawn = first.groupBy("lang", "draw").agg(F.count(F.lit(1)).alias("n")).withColumn("many", F.col("n") > per_language)
+    rising = Window.partitionBy("lang").orderBy("many", "draw")
+    drawn = drawn.withColumn("rows", F.sum("n").over(rising)).withColumn("turn", F.row_number().over(rising)).filter((F.col("rows") <= per_language) | (F.col("turn") == 1))
+    # For each language one number comes to the driver, and the hash of copies if it has nothing else; texts are filtered where they are read and not dealt out.
+    limits = drawn.groupBy("lang").agg(F.max("draw").alias("limit"), F.bool_or("many").alias("many")).collect()
     bound = F.create_map(*(F.lit(x) for r in limits for x in (r.lang, r.limit))) if limits else F.create_map().cast("map<string,bigint>")
-    chosen = labelled.filter(draw <= F.try_element_at(bound, named(lang_col).cast("string"))).select(named(lang_col).cast("string").alias("lang"), named(text_col).alias("text"))
+    over = settle(first.groupBy("lang", "draw").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") > per_language).select("lang", "draw"), "languages-over")
+    only = [r.lang for r in limits if r.many]
+    chosen = labelled.select(named(lang_col).cast("string").alias("lang"), draw.alias("draw"), named(text_col).alias("text")).filter(F.col("draw") <= F.try_element_at(bound, F.col("lang")))
+    chosen = chosen.join(over.filter(~F.col("lang").isin(only)), ["lang", "draw"], "left_anti").select("lang", "text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bundler, sums = Bundler(dimensions, order), {}
@@ -148,7 +155,7 @@ def prototypes(docs: DataFrame, learn: Column, text_col: str = "text", lang_col:
         if sums:
             yield pa.RecordBatch.from_arrays([pa.array(list(sums)), pa.array([v.tolist() for v in sums.values()], pa.list_(pa.float64()))], names=["lang", "sums"])
 
-    parts = chosen.mapInArrow(run, "lang string, sums array<double>").select("lang", F.posexplode("sums")).groupBy("lang", "pos").agg(F.sum("col").alias("v"))
+    parts = chosen.mapInArrow(lean(run), "lang string, sums array<double>").select("lang", F.posexplode("sums")).groupBy("lang", "pos").agg(F.sum("col").alias("v"))
     rows = sorted(tuple(r) for r in parts.groupBy("lang").agg(F.transform(F.array_sort(F.collect_list(F.struct("pos", "v"))), lambda x: x.v)).collect())
     kept = [(lang, np.array(v)) for lang, v in rows if np.any(v)]
     return [lang for lang, _ in kept], np.array([v / np.linalg.norm(v) for _, v in kept]).reshape(len(kept), dimensions)
@@ -175,7 +182,7 @@ def predict(docs: DataFrame, langs: list[str], profiles: np.ndarray, text_col: s
             yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(names, pa.string()), pa.array(value)], names=[*carry, label, score])
 
     fields = T.StructType([*(docs.schema[c] for c in carry), T.StructField(label, T.StringType()), T.StructField(score, T.DoubleType())])
-    return docs.select(*(named(c).alias(f"c{i}") for i, c in enumerate(carry)), named(text_col).alias("text")).mapInArrow(run, fields)
+    return docs.select(*(named(c).alias(f"c{i}") for i, c in enumerate(carry)), named(text_col).alias("text")).mapInArrow(lean(run), fields)
 
 
 def held_out(id_col: str = "doc_id") -> Column:
