@@ -1,5 +1,6 @@
+import random
 import zlib
-from collections import defaultdict
+from collections import Counter, defaultdict
 
 import numpy as np
 import public_tokenizers
@@ -73,6 +74,18 @@ def test_mix_takes_awkward_rows(spark):
     assert mixing.mixed_rows(empty(spark)).count() == 0
 
 
+def test_mixed_rows_are_those_that_the_mix_takes(spark, sf):
+    """Repeated rows, too: the rows of a key are emitted as often as all of them are taken together."""
+    docs = spark.read.parquet(f"{sf}/documents.parquet").select("doc_id", "text", "source")
+    same = spark.createDataFrame([(1, "w " * 11, "x")] * 10 + [(2, "w " * 3, "y")] * 50 + [(3, "one", "z"), (None, "a b", None), (None, "a b", None), (4, "", "y")], "doc_id long, text string, source string").repartition(3)
+    for table in (docs, same, docs.unionByName(same), docs.unionByName(docs)):
+        want = Counter()
+        for r in mixing.mix(table).collect():
+            want[r.doc_id, r.code, r.source] += r.times
+        got = Counter((r.doc_id, r.code, r.source) for r in mixing.mixed_rows(table).select("doc_id", mixing.F.xxhash64(mixing.F.coalesce("text", mixing.F.lit(""))).alias("code"), "source").collect())
+        assert got == +want
+
+
 def test_heavy_documents_are_taken_first(spark):
     docs = spark.createDataFrame([(i, "w " * 10, s, float(q)) for i in range(3000) for s, q in [("a", 1 + 4 * (i % 2))]] + [(9000 + i, "w " * 10, "b", 1.0) for i in range(3000)], "doc_id long, text string, source string, q double")
     taken = defaultdict(int)
@@ -83,7 +96,6 @@ def test_heavy_documents_are_taken_first(spark):
 
 def check_packing(docs, rows):
     tok = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
-    tok.encode_special_tokens = True
     want = defaultdict(int)
     for d, t in docs:
         ids = np.array([*tok.encode(t or "", add_special_tokens=False).ids, 1], "<u4")
@@ -132,12 +144,25 @@ def test_packing_takes_awkward_rows(spark):
     assert all(len(r.ids) == 2048 or len(r.ids) & (len(r.ids) - 1) == 0 for r in ids)
 
 
-def test_both_token_libraries_agree():
+def test_both_token_libraries_agree(spark):
     slow = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
-    slow.encode_special_tokens = True
     latin = "".join(map(chr, range(0x250)))
-    for text in [latin, latin[::-1], " ".join(latin), "a  b   c \n\n d", "\xa0\x85x \x1f y", "it's we'LL 12³ ½ ª", "<|endoftext|>", "x" * 5000, " " * 5000 + "y", "ǅʰ ɐ 的\U0001f600", "  　z"]:
-        assert packing.token_ids(text).tolist() == slow.encode(text, add_special_tokens=False).ids
+    texts = [latin, latin[::-1], " ".join(latin), "a  b   c \n\n d", "\xa0\x85x \x1f y", "it's we'LL 12³ ½ ª", "<|endoftext|>", "x <|endoftext|> y", "<|endoftext", "x" * 5000, " " * 5000 + "y", "ǅʰ ɐ 的\U0001f600", "  　z"]
+    draw = random.Random(8)
+    texts += ["".join(draw.choices(latin, k=draw.randint(0, 300))) for _ in range(1500)]
+    texts += ["".join(draw.choices(" \n\t'sltm.,0123½éßABab-\xa0", k=draw.randint(0, 300))) for _ in range(1500)]
+    texts += [r.text for r in spark.read.parquet("/root/testdata/sf0.01/documents.parquet").collect()]
+    for text, want in zip(texts, slow.encode_batch(texts, add_special_tokens=False), strict=True):
+        assert packing.token_ids(text).tolist() == want.ids
+    assert packing.token_ids("x <|endoftext|> y").tolist() == [87, 220, 50256, 331]
+
+
+def test_equal_rows_are_dealt_to_many_workers(spark):
+    docs = spark.createDataFrame([(None, "word " * 700)] * 400 + [(7, "some " * 900)] * 400, "doc_id long, text string").repartition(4)
+    rows = packing.pack(packing.pieces(docs), worker_pieces=20).collect()
+    assert sum(r.length for r in rows) == sum(len(packing.token_ids(t)) + 1 for t in ["word " * 700, "some " * 900] for _ in range(400))
+    assert len({r.sequence_id >> 36 & (1 << 20) - 1 for r in rows if r.sequence_id >= 0}) > 10
+    assert check_packing([], rows) < 0.05
 
 
 def test_cuts_fill_their_class():
@@ -178,3 +203,52 @@ def test_bundles_of_slices_are_those_of_whole_texts(monkeypatch):
     assert np.allclose(language_id.Bundler(256, 3).bundles([text, None, "", "x"]), whole)
     codes = np.concatenate(list(language_id.Bundler(256, 3).slices("ab")))
     assert len(codes) == 2 and not whole[1].any() and whole[3].any()
+
+
+def brute_profiles(texts, dimensions, order):
+    """Bundles of n-grams, letter by letter."""
+    out = []
+    for text in texts:
+        letters, total = " " + "".join(c if c.isalpha() else " " for c in (text or "").lower()) + " ", np.zeros(dimensions)
+        while "  " in letters:
+            letters = letters.replace("  ", " ")
+        if letters.strip():
+            for i in range(len(letters) - order + 1):
+                bound = np.ones(dimensions)
+                for k in range(order):
+                    c = letters[i + order - 1 - k]
+                    bound = bound * np.roll(language_id._letter(0 if c == " " else ord(c), dimensions).astype(float), k)
+                total += bound
+        out.append(total)
+    return out
+
+
+def test_languages_are_those_of_brute_force(spark):
+    """Profiles and cosines of every text, from the definition."""
+    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet").limit(60)
+    docs = docs.unionByName(awkward(spark).filter("doc_id <> 5 or doc_id is null").select(docs.columns)).cache()
+    rows = docs.collect()
+    langs, profiles = language_id.prototypes(docs, language_id.F.lit(True), dimensions=128)
+    own = dict(zip(range(len(rows)), brute_profiles([r.text for r in rows], 128, 3), strict=True))
+    sums = {}
+    for i, r in enumerate(rows):
+        if r.lang is not None and r.text is not None:
+            sums[r.lang] = sums.get(r.lang, 0) + own[i]
+    want = sorted(k for k, v in sums.items() if np.any(v))
+    assert langs == want and np.allclose(profiles, [sums[k] / np.linalg.norm(sums[k]) for k in want])
+    got = sorted(((r.text or "", r.lang_pred, round(r.score, 4)) for r in language_id.predict(docs, langs, profiles, carry=("text",)).collect()), key=str)
+    expected = []
+    for i, r in enumerate(rows):
+        size = np.linalg.norm(own[i])
+        cosine = [float(own[i] @ profiles[j]) / size if size else 0 for j in range(len(langs))]
+        expected.append((r.text or "", langs[int(np.argmax(cosine))] if size else "und", round(max(0.0, max(cosine)), 4) if size else 0.0))
+    assert [g[:2] for g in got] == [e[:2] for e in sorted(expected, key=str)] and np.allclose([g[2] for g in got], [e[2] for e in sorted(expected, key=str)], atol=1e-3)
+
+
+def test_the_sample_of_a_language_is_bounded(spark):
+    rows = [(1, "the same row again", "en")] * 300 + [(None, f"words of number {i}", "en") for i in range(300)] + [(5, "un mot", "fr")] * 50
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    langs, profiles = language_id.prototypes(docs, language_id.F.lit(True), per_language=40, dimensions=64)
+    assert langs == ["en", "fr"]
+    same = brute_profiles(["the same row again"], 64, 3)[0]
+    assert profiles[0] @ same / np.linalg.norm(same) < 0.95  # so many copies are not the sample

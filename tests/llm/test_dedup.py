@@ -117,10 +117,77 @@ def test_dropping_copies_keeps_rows_whole(spark):
 
 
 def test_trie_splits_and_finds_again():
-    trie = exact_dedup.RadixTrie()
     words = [b"", b"a", b"ab", b"abc", b"abd", b"b", b"abcdef", b"abcxyz", b"\x00", b"\xff\xfe"]
     draw = random.Random(1)
     words += [bytes(draw.choices(b"ab", k=draw.randint(0, 9))) for _ in range(300)]
+    want = {w: words.count(w) for w in words}
+    trie = exact_dedup.RadixTrie()
     for w in words:
-        trie.at(w)[2] += 1
-    assert {c[0]: c[2] for c in trie.cells} == {w: words.count(w) for w in words}
+        trie.at(w)[1] += 1
+    assert {w: c[1] for w, c in trie.cells()} == want
+    assert trie.held == sum(map(len, exact_dedup._labels(trie.root))) < sum(map(len, want))
+    trie, left = exact_dedup.RadixTrie(), {}
+    for w in sorted(words):  # in byte order each text leaves once
+        trie.at(w)[1] += 1
+        if trie.held > 20:
+            for x, c in trie.finished(w):
+                assert x not in left
+                left[x] = c[1]
+            assert trie.held <= len(w)
+    assert left | {x: c[1] for x, c in trie.cells()} == want and len(left) > 100
+    trie, left = exact_dedup.RadixTrie(), dict.fromkeys(want, 0)
+    for w in words:  # in any order counts add up
+        trie.at(w)[1] += 1
+        if trie.held > 20:
+            for x, c in trie.largest(10):
+                left[x] += c[1]
+            assert trie.held <= 10
+    for x, c in trie.cells():
+        left[x] += c[1]
+    assert left == want
+
+
+def test_owners_under_a_small_budget(spark):
+    """Subtrees leave all the time, and many texts share one trie."""
+    draw = random.Random(2)
+    rows = [(i, "".join(draw.choices("ab", k=draw.randint(0, 6)))) for i in range(3000)] + [(5000 + i, "the same beginning of a longer text " + str(i % 7)) for i in range(200)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    for keep, best in (("largest", max), ("smallest", min)):
+        got = {r.text_sha256: (r.keep_id, r.group_size) for r in exact_dedup.owners(docs, keep=keep, most=64).collect()}
+        groups = {}
+        for i, t in rows:
+            groups.setdefault(hashlib.sha256(t.encode()).hexdigest(), []).append(i)
+        assert got == {h: (best(ids), len(ids)) for h, ids in groups.items()}
+
+
+def test_identifiers_that_are_strings(spark):
+    docs = spark.createDataFrame([("b", "x"), ("a", "x"), (None, "x"), ("é", "y"), (None, "z"), (None, "z")], "doc_id string, text string")
+    for keep, want in (("largest", {"x": "b", "y": "é", "z": None}), ("smallest", {"x": "a", "y": "é", "z": None})):
+        got = exact_dedup.classes(docs, keep=keep).collect()
+        assert {(r.text_sha256, r.keep_id) for r in got} == {(hashlib.sha256(t.encode()).hexdigest(), i) for t, i in want.items()}
+        assert len(got) == 6 and sum(r.kept for r in got) == 3
+    assert sorted(str(r.doc_id) for r in simhash.drop_near_copies(docs).collect()) == sorted(str(x[0]) for x in [("a",), ("é",), (None,), (None,)])
+
+
+def test_the_count_filter_rejects_what_it_should():
+    draw = np.random.default_rng(4)
+    prints = draw.integers(0, 1 << 63, 500, np.uint64)
+    near = [prints[0] ^ np.uint64(1 << 3), prints[0] ^ np.uint64(0b111 << 20), prints[0] ^ np.uint64(1 << 1 | 1 << 20 | 1 << 60), prints[0] ^ np.uint64(0b1111)]
+    other = np.array([*prints[1:], *near]) ^ prints[0]
+    tally = [sum((int(x) >> 8 * p) & 0xFF == 0 for p in range(8)) for x in other]
+    assert simhash._shared_bytes(other).tolist() == tally
+    hit = simhash._near(other, 3)
+    assert hit.tolist() == [499, 500, 501] and tally[502] >= 5  # the last one passes the count and fails the verification
+    assert sum(t >= 5 for t in tally) < 10
+
+
+def test_rows_of_a_frequent_key_meet_in_place(spark, monkeypatch):
+    from graphloom.llm import base
+
+    rows = spark.createDataFrame([(i, i % 7 if i % 3 else 0) for i in range(3000)], "i long, k long")
+    table = rows.groupBy("k").count().withColumn("name", base.F.col("k") * 2)
+    want = sorted(map(tuple, rows.join(table, "k").collect()))
+    for least, part in ((100_000, 1000), (10, 2), (0, 10**6)):
+        monkeypatch.setattr(base, "HOT_ROWS", least)
+        monkeypatch.setattr(base, "HOT", part)
+        assert sorted(map(tuple, base.meet(rows, table, "k", "count").collect())) == want
