@@ -2,16 +2,18 @@
 
 Base patterns find e-mail addresses, IP addresses, card and telephone numbers;
 these are the seeds. The words about a seed are its lexical patterns: the two
-words before it, and the words on both sides. Patterns and instances form a
+words before it, and the words on both sides, however far off and across a
+neighbouring match, which stands as its kind. Patterns and instances form a
 graph, scored in rounds: a pattern's confidence in a kind is the scored share
 of the distinct instances it meets, an instance's score what the confident
 patterns about it leave no doubt of; instances above a threshold are seeds of
-the next round. Instances are the seeds and other tokens that look like
+the next round, where the contexts that they share become patterns. Instances are the seeds and other tokens that look like
 identifiers: with four digits or more, an ``@``, or an "at" in brackets. Those
 that reach the threshold add spans of the kind; base spans stay as they are.
 
 The patterns are written so that matching takes linear time: a run is entered
-at its start only, and gives nothing back.
+at its start only, and gives nothing back. Runs of digits too short for a card
+are passed over, since a run that fails is dropped as a whole.
 
 Defined results: a null text is empty and has no span. Positions count code
 points, ends are exclusive. Repeated rows give repeated results. An added span
@@ -33,11 +35,11 @@ _LOCAL = "A-Za-z0-9._%+-"
 BASE = {
     "email": (rf"(?:(?<![{_LOCAL}])|\G)[{_LOCAL}]++@[A-Za-z0-9-]++(?:\.[A-Za-z0-9-]++)++", lambda t: t.contains("@")),
     "ip": (r"(?:(?<![0-9])|\G)[0-9]++\.[0-9]++\.[0-9]++\.[0-9]++", None),
-    "card": (r"[0-9](?:[\x20-]?[0-9])++", None),
+    "card": (r"(?<![0-9])(?<![0-9][\x20-])[0-9](?:[\x20-]?[0-9]){11,}+", None),
     "phone": (r"\+[0-9][\x20().0-9-]+[0-9]", lambda t: t.contains("+")),
 }
-#: Tokens of six characters or more that hold a digit, an @ or a bracketed "at".
-TOKEN = rf"(?<![^{BLANK}])(?=[^{BLANK}]*(?:[0-9@]|[(\[]at[)\]]))[^{BLANK}]{{6,}}+"
+#: Tokens of six characters or more that hold four digits, an @ or a bracketed "at".
+TOKEN = rf"(?<![^{BLANK}])(?=[^{BLANK}]*(?:@|[(\[]at[)\]]|[0-9](?:[^0-9{BLANK}]*+[0-9]){{3}}))[^{BLANK}]{{6,}}+"
 OPENING, CLOSING = r"""\A["'(\[{<,;:=]+""", r"""["')\]}>,;:.!?]+\z"""
 
 #: Rounds, distinct scored instances that a pattern needs, its least confidence, and the least score of a new instance.
@@ -68,7 +70,8 @@ def sound(kind: Column, match: Column) -> Column:
 def _patterns() -> Column:
     """The lexical patterns of an occurrence, from the words before and after it."""
     clean = lambda c: F.lower(F.trim(F.regexp_replace(F.coalesce(F.col(c), F.lit("")), rf"[{BLANK}]+", " ")))
-    two, last, after = clean("two"), clean("last"), clean("after")
+    two, after = clean("before"), clean("after")
+    last = F.substring_index(two, " ", -1)
     kept = F.filter(F.array(F.when(two != "", F.concat(F.lit("2 "), two)), F.when((last != "") & (after != ""), F.concat_ws(" _ ", F.lit("1"), last, after))), lambda x: x.isNotNull())
     return F.array_distinct(kept)
 
@@ -108,12 +111,12 @@ def find(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **opti
     # A token overlaps a base span if one that began before ends after its start, or the next one begins before its end.
     line = Window.partitionBy("uid").orderBy("start", "end")
     is_base = F.col("kind") != "token"
-    before = F.max(F.when(is_base, F.col("end"))).over(line.rowsBetween(Window.unboundedPreceding, Window.currentRow))
-    after = F.min(F.when(is_base, F.col("start"))).over(line.rowsBetween(Window.currentRow, Window.unboundedFollowing))
+    ended = F.max(F.when(is_base, F.col("end"))).over(line.rowsBetween(Window.unboundedPreceding, Window.currentRow))
+    begins = F.min(F.when(is_base, F.col("start"))).over(line.rowsBetween(Window.currentRow, Window.unboundedFollowing))
     lead = F.length(F.regexp_extract("match", OPENING, 0))
     core = F.regexp_replace(F.regexp_replace("match", OPENING, ""), CLOSING, "")
-    tokens = every.filter("kind is not null").withColumn("before", before).withColumn("after_start", after).filter("kind = 'token' and (before is null or before <= start) and (after_start is null or after_start >= end)")
-    tokens = tokens.select("uid", "doc_id", (F.col("start") + lead).alias("start"), core.alias("match"), "two", "last", "after")
+    tokens = every.filter("kind is not null").withColumn("ended", ended).withColumn("begins", begins).filter("kind = 'token' and (ended is null or ended <= start) and (begins is null or begins >= end)")
+    tokens = tokens.select("uid", "doc_id", (F.col("start") + lead).alias("start"), core.alias("match"), "before", "after")
     tokens = tokens.filter(F.col("match").rlike(r"[0-9](?:[^0-9]*[0-9]){3}") | F.col("match").rlike(r"@|[(\[]at[)\]]")).withColumn("end", F.col("start") + F.length("match"))
     new = bootstrap(base.filter("kind is not null").select(F.lower("match").alias("instance"), "kind", _patterns().alias("patterns")), tokens.select(F.lower("match").alias("instance"), F.lit(None).cast("string").alias("kind"), _patterns().alias("patterns")), **options)
     added = tokens.join(new, F.lower("match") == F.col("instance")).select("uid", "doc_id", "kind", "start", "end", "match", F.lit(True).alias("added"), "score")
@@ -121,14 +124,14 @@ def find(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **opti
 
 
 def digest(spans: DataFrame) -> DataFrame:
-    """One row per document: doc_id, counts of base spans, base_sha256, spans and n_added."""
+    """One row per document: doc_id, counts of base spans, base_sha256, spans, and the counts of added and of all spans."""
     place = F.expr("array_position(array(" + ", ".join(f"'{k}'" for k in KINDS) + "), kind)")
     item = F.struct("start", place.alias("place"), "end", "kind")
     listed = lambda a: F.array_join(F.transform(F.array_sort(a), lambda x: F.concat_ws(":", x["kind"], x["start"], x["end"])), ",")
     own = F.col("kind").isNotNull() & ~F.col("added")
     counts = [F.count_if(own & (F.col("kind") == k)).alias(f"n_{k}") for k in KINDS]
-    grouped = spans.groupBy("uid", "doc_id").agg(*counts, F.count_if("added").alias("n_added"), F.collect_list(F.when(own, item)).alias("base"), F.collect_list(F.when(F.col("kind").isNotNull(), item)).alias("every"))
-    return grouped.select("doc_id", *(f"n_{k}" for k in KINDS), F.sha2(listed(F.col("base")).cast("binary"), 256).alias("base_sha256"), listed(F.col("every")).alias("spans"), "n_added")
+    grouped = spans.groupBy("uid", "doc_id").agg(*counts, F.count_if("added").alias("n_added"), F.count("kind").alias("n_spans"), F.collect_list(F.when(own, item)).alias("base"), F.collect_list(F.when(F.col("kind").isNotNull(), item)).alias("every"))
+    return grouped.select("doc_id", *(f"n_{k}" for k in KINDS), F.sha2(listed(F.col("base")).cast("binary"), 256).alias("base_sha256"), listed(F.col("every")).alias("spans"), "n_added", "n_spans")
 
 
 def op1_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
