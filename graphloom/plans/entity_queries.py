@@ -238,7 +238,7 @@ def _(t):
     return dedup.greedy_merges(vectors.similar_pairs(held, 0.3)).select("kept", "dropped", F.round("score", 6).alias("score"))
 
 
-@query("g7_token_pairs", "WITH e AS (SELECT p_partkey AS id, list_distinct(string_split(lower(p_name || ' ' || p_brand), ' ')) AS w FROM part WHERE p_partkey < 2000), x AS (SELECT a.id AS a, b.id AS b, len(list_intersect(a.w, b.w)) / len(list_distinct(a.w || b.w)) AS score FROM e a JOIN e b ON a.id < b.id) SELECT a, b, round(score, 6) AS score FROM x WHERE score >= 0.95")
+@query("g7_token_pairs", "WITH e AS (SELECT p_partkey AS id, list_distinct(string_split(lower(p_name || ' ' || p_brand), ' ')) AS w FROM part), x AS (SELECT a.id AS a, b.id AS b, len(list_intersect(a.w, b.w)) / len(list_distinct(a.w || b.w)) AS score FROM e a JOIN e b ON a.id < b.id) SELECT a, b, round(score, 6) AS score FROM x WHERE score >= 0.95")
 def _(t):
     held = t.part.select(F.col("p_partkey").alias("id"), F.lit("law").alias("type"), F.concat_ws(" ", "p_name", F.regexp_replace("p_brand", "#", "x")).alias("name"))
     return dedup.token_pairs(held).select("a", "b", F.round("score", 6).alias("score"))

@@ -157,7 +157,7 @@ def _(t):
     return held.select("s_suppkey", both["plaintiff"].alias("plaintiff"), both["defendant"].alias("defendant"), tx.case_name(title).alias("case_name"))
 
 
-@query("h5_dockets", "SELECT o_orderkey, CASE o_orderkey % 3 WHEN 0 THEN 'LT-' || o_orderkey || '/20' WHEN 1 THEN CAST(o_orderkey + 10000 AS VARCHAR) || '/2021' END AS docket FROM orders WHERE o_orderkey < 90000")
+@query("h5_dockets", "SELECT o_orderkey, CASE o_orderkey % 3 WHEN 0 THEN 'LT-' || o_orderkey || '/20' WHEN 1 THEN CAST(o_orderkey + 10000 AS VARCHAR) || '/2021' END AS docket FROM orders")
 def _(t):
     line = F.when(F.col("o_orderkey") % 3 == 0, F.concat(F.lit("Index No. LT-"), F.col("o_orderkey"), F.lit("/20 filed"))).when(F.col("o_orderkey") % 3 == 1, F.concat(F.lit("under "), F.col("o_orderkey") + 10000, F.lit("/2021 here"))).otherwise("none")
     return t.orders.select("o_orderkey", tx.docket(line).alias("docket"))
