@@ -88,3 +88,11 @@ def test_stages_are_brute_force(spark, tmp_path):
     assert check_packing([(r.doc_id, r.text) for r in mixed.collect()], packed) < 0.03
     n = sum(len(packing.token_ids(r.text)) + 1 for r in mixed.collect())
     assert sum(r.length for r in packed) == n
+
+
+def test_pipeline_on_empty_and_on_textless_tables(spark, tmp_path):
+    schema = "doc_id long, text string, lang string, source string, n_chars long"
+    for name, rows in (("empty", []), ("nulls", [(i if i else None, (None, "", " \t", "123 !")[i % 4], None, None, None) for i in range(9)]), ("one", [(1, "one text", None, None, None)] * 3)):
+        spark.createDataFrame(rows, schema).write.parquet(f"{tmp_path}/{name}/documents.parquet")
+        out = corpus_pipeline.run(spark, f"{tmp_path}/{name}").collect()
+        assert len(out) == 0 if name != "one" else {r.doc_id for r in out} <= {1}
