@@ -62,3 +62,31 @@ def called(rows: DataFrame, call: Callable[[dict], str | None], out: str = "answ
     dealt = rows if partitions is None else rows.repartition(partitions)
     fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema)
     return dealt.mapInPandas(run, f"{fields}, `{out}` string, error string")
+
+
+# What stands for the entities that a recogniser finds.
+MARKS = {"PERSON": "[NAME]", "GPE": "[LOCATION]", "ORG": "[ORGANIZATION]"}
+
+
+def masked(rows: DataFrame, recognise: Callable[[str], list[tuple[int, int, str]]], text: str = "text", marks: dict[str, str] = MARKS) -> DataFrame:
+    """``rows`` with the spans (start, end, label) that a recogniser finds in their text replaced; spans that overlap an earlier one are left out, a text that it fails on stays."""
+
+    def one(value: str | None) -> str | None:
+        if not isinstance(value, str):
+            return None
+        try:
+            spans = sorted((a, b, marks[k]) for a, b, k in recognise(value) if k in marks)
+        except Exception:  # the recogniser is optional: its failure costs its marks alone
+            return value
+        out, at = [], 0
+        for a, b, mark in spans:
+            if a >= at:
+                out += [value[at:a], mark]
+                at = b
+        return "".join([*out, value[at:]])
+
+    def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for part in parts:
+            yield part.assign(**{text: part[text].map(one)})
+
+    return rows.mapInPandas(run, rows.schema)

@@ -70,17 +70,3 @@ def resource_links(pages: DataFrame, key: str = "page_id", html: str = "html", s
             yield pd.DataFrame(rows, columns=[key, "href", "label", "category"])
 
     return pages.select(key, html).mapInPandas(run, f"{key} long, href string, label string, category string")
-
-
-def pdf_text(files: DataFrame) -> DataFrame:
-    """path, text of files read as binaryFile; needs a PDF library, which may be absent."""
-
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        import io
-
-        import pypdf
-
-        for batch in batches:
-            yield pd.DataFrame({"path": batch["path"], "text": ["\n".join(p.extract_text() for p in pypdf.PdfReader(io.BytesIO(c)).pages) for c in batch["content"]]})
-
-    return files.select("path", "content").mapInPandas(run, "path string, text string")

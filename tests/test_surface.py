@@ -1,8 +1,10 @@
 """What callers ask of the engine, hooks, reports, layouts and blocks, on rows worked out by hand."""
 
 import math
+import re
 import threading
 import time
+import zlib
 
 import numpy as np
 import pytest
@@ -11,7 +13,7 @@ from pyspark.sql import functions as F
 from graphloom import dictionaries as d
 from graphloom.engine import Engine
 from graphloom.operators import evaluate, hooks, predict, search, vectors
-from graphloom.sources import sinks, store
+from graphloom.sources import pdf, sinks, store
 
 
 @pytest.fixture(scope="module")
@@ -188,3 +190,34 @@ def test_passages_in_texts_are_brute_force(spark, sf):
         own = {i for x, i in want if x == q}
         assert metrics[q].recall == pytest.approx(len({i for x, i in top if x == q} & own) / len(own))
     assert first.count() == len(passages)
+
+
+def small_pdf(pages, packed):
+    """A file with one content stream for each page, compressed or not."""
+    parts = [b"<< /Type /Catalog /Pages 2 0 R >>", b"<< /Type /Pages /Kids [" + b" ".join(b"%d 0 R" % (10 + i) for i in range(len(pages))) + b"] /Count %d >>" % len(pages)]
+    objects = list(enumerate(parts, 1))
+    for i, content in enumerate(pages):
+        stream = zlib.compress(content) if packed else content
+        objects += [(10 + i, b"<< /Type /Page /Parent 2 0 R /Contents %d 0 R >>" % (50 + i)), (50 + i, b"<< /Length %d%s >>\nstream\n" % (len(stream), b" /Filter /FlateDecode" if packed else b"") + stream + b"\nendstream")]
+    return b"%PDF-1.4\n" + b"".join(b"%d 0 obj\n%s\nendobj\n" % x for x in reversed(objects)) + b"%%EOF"
+
+
+def test_pdf_pages_one_after_the_other(spark, tmp_path):
+    pages = [rb"BT /F1 12 Tf 72 700 Td (Case \(one\)) Tj 0 -14 Td [(Heat) -300 (and) 20 (hot water)] TJ T* (caf\351) Tj ET", b"BT <feff0041263a> Tj (next) ' ET"]
+    want = "Case (one)\nHeat andhot water\ncafé\nA☺\nnext"
+    for packed in (False, True):
+        assert pdf.text_of(small_pdf(pages, packed)) == want
+    (tmp_path / "a.pdf").write_bytes(small_pdf(pages, True))
+    (tmp_path / "b.pdf").write_bytes(b"no pdf")
+    got = {r.path[-5:]: r.text for r in pdf.pdf_text(spark.read.format("binaryFile").load(str(tmp_path))).collect()}
+    assert got == {"a.pdf": want, "b.pdf": None}
+
+
+def test_recognised_names_are_masked(spark):
+    def recognise(text):
+        if "fail" in text:
+            raise ValueError
+        return [(m.start(), m.end(), "PERSON") for m in re.finditer("Ann( Lee)?", text)] + [(m.start(), m.end(), "GPE") for m in re.finditer("Lee|Rome", text)] + [(0, 1, "DATE")]
+
+    rows = spark.createDataFrame([(1, "Ann Lee of Rome"), (2, "fail Ann"), (3, None), (4, "Lee")], "id long, text string")
+    assert {r.id: r.text for r in hooks.masked(rows, recognise).collect()} == {1: "[NAME] of [LOCATION]", 2: "fail Ann", 3: None, 4: "[LOCATION]"}
