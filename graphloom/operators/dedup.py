@@ -26,19 +26,26 @@ def by_name(entities: DataFrame) -> tuple[DataFrame, DataFrame]:
 def token_pairs(entities: DataFrame, least: float = 0.95) -> DataFrame:
     """a, b, score: pairs of one type whose names' words reach the Jaccard similarity.
 
-    Pairs meet by a word of the prefix that similar sets must share: of n words,
-    rare ones first, n - ceil(least * n) + 1 of them.
+    Entities with the same words are one class; classes are compared, and only the
+    pairs that are found are spread over their members. Classes meet by a word of the
+    prefix that similar sets must share: of n words, rare ones first, n - ceil(least * n) + 1.
     """
-    each = entities.select("id", "type", tx.tokens("name", distinct=True).alias("w")).filter("size(w) > 0")
-    counts = each.select("type", F.explode("w").alias("t")).groupBy("type", "t").agg(F.count(F.lit(1)).alias("n"))
-    line = F.row_number().over(Window.partitionBy("id").orderBy("n", "t"))
-    ordered = each.select("id", "type", F.size("w").alias("size"), F.explode("w").alias("t")).join(counts, ["type", "t"]).withColumn("k", line)
+    words = F.array_sort(tx.tokens("name", distinct=True))
+    members = entities.select("id", "type", words.alias("w")).filter("size(w) > 0").select("id", "type", F.array_join("w", " ").alias("key"), "w")
+    classes = settled(members.select("type", "key", "w").distinct(), "word-classes")
+    counts = classes.select("type", F.explode("w").alias("t")).groupBy("type", "t").agg(F.count(F.lit(1)).alias("n"))
+    line = F.row_number().over(Window.partitionBy("type", "key").orderBy("n", "t"))
+    ordered = classes.select("type", "key", F.size("w").alias("size"), F.explode("w").alias("t")).join(counts, ["type", "t"]).withColumn("k", line)
     prefix = ordered.filter(F.col("k") <= F.col("size") - F.ceil(F.lit(least) * F.col("size")) + 1)
-    a, b = prefix.select("type", "t", F.col("id").alias("a"), F.col("size").alias("sa")), prefix.select("type", "t", F.col("id").alias("b"), F.col("size").alias("sb"))
-    met = a.join(b, ["type", "t"]).filter((F.col("a") < F.col("b")) & (F.col("sa") >= F.lit(least) * F.col("sb")) & (F.col("sb") >= F.lit(least) * F.col("sa"))).select("a", "b").distinct()
-    words = each.select("id", "w")
-    scored = met.join(words.select(F.col("id").alias("a"), F.col("w").alias("wa")), "a").join(words.select(F.col("id").alias("b"), F.col("w").alias("wb")), "b")
-    return scored.select("a", "b", tx.jaccard(F.col("wa"), F.col("wb")).alias("score")).filter(F.col("score") >= least)
+    side = lambda df, k, *more: df.select("type", F.col("key").alias(k), *more)
+    a, b = side(prefix, "ka", "t", F.col("size").alias("sa")), side(prefix, "kb", "t", F.col("size").alias("sb"))
+    met = a.join(b, ["type", "t"]).filter((F.col("ka") < F.col("kb")) & (F.col("sa") >= F.lit(least) * F.col("sb")) & (F.col("sb") >= F.lit(least) * F.col("sa"))).select("type", "ka", "kb").distinct()
+    scored = met.join(side(classes, "ka", F.col("w").alias("wa")), ["type", "ka"]).join(side(classes, "kb", F.col("w").alias("wb")), ["type", "kb"])
+    scored = scored.select("type", "ka", "kb", tx.jaccard(F.col("wa"), F.col("wb")).alias("score")).filter(F.col("score") >= least)
+    near = scored.unionByName(classes.select("type", F.col("key").alias("ka"), F.col("key").alias("kb"), F.lit(1.0).alias("score")))
+    spread = near.join(side(members, "ka", F.col("id").alias("x")), ["type", "ka"]).join(side(members, "kb", F.col("id").alias("y")), ["type", "kb"])
+    kept = spread.filter((F.col("ka") != F.col("kb")) | (F.col("x") < F.col("y")))
+    return kept.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b"), "score")
 
 
 def greedy_merges(pairs: DataFrame) -> DataFrame:
