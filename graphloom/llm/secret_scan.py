@@ -33,9 +33,10 @@ from pyspark.sql import functions as F
 from .base import documents, settle
 from .spans import matches
 
-#: Runs of a key alphabet; entered at their start, given back nothing.
+#: Runs of a key alphabet; entered at their start, given back nothing. Most words are too short and fail at the first look.
 _SIGNS = r"A-Za-z0-9_/+=\-."
-CANDIDATE = rf"(?<![{_SIGNS}])(?:(?=[A-Za-z_/+=\-.]*+[0-9])[{_SIGNS}]{{8,}}+|[{_SIGNS}]{{20,}}+)"
+CANDIDATE = rf"(?<![{_SIGNS}])(?=[{_SIGNS}]{{8}})(?:(?=[A-Za-z_/+=\-.]*+[0-9])[{_SIGNS}]++|[{_SIGNS}]{{20,}}+)"
+LONG_RUN = rf"(?<![{_SIGNS}])[{_SIGNS}]{{20}}"
 #: Words that stand next to secrets, and next to what looks like them.
 SECRET_WORDS = ("token", "secret", "password", "passwd", "pwd", "api_key", "apikey", "api-key", "access_key", "auth", "authorization", "bearer", "credential", "credentials", "private_key", "key", "webhook", "login", "session")
 PLAIN_WORDS = ("commit", "sha1", "sha256", "md5", "checksum", "digest", "hash", "uuid", "guid", "id", "version", "build", "example", "order", "invoice", "card", "phone", "figure", "see", "file", "index", "isbn", "date", "server", "release", "image", "url", "line")
@@ -132,7 +133,7 @@ def judge(found: DataFrame, forest: RandomForestClassificationModel, least: floa
 
 def scan(docs: DataFrame, forest: RandomForestClassificationModel, id_col: str = "doc_id", text_col: str = "text", least: float = LEAST) -> DataFrame:
     """One row per candidate: doc_id, start, end, match, score, secret."""
-    found = matches(docs, id_col, text_col, {"secret": (CANDIDATE, None)}, "secrets", letters=True).filter("kind is not null")
+    found = matches(docs, id_col, text_col, {"secret": (CANDIDATE, lambda t: t.rlike("[0-9]") | t.rlike(LONG_RUN))}, "secrets", letters=True).filter("kind is not null")
     return judge(found.select("doc_id", "start", "end", "match", "before", "after"), forest, least)
 
 
