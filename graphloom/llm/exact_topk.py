@@ -38,14 +38,17 @@ from pyspark.sql import functions as F
 from .base import FEW, settle
 
 K, SCALE, PIVOTS = 10, 1024, 32
-#: Rows of a block, queries that meet it together, and block ranges that are looked through together.
-CANDIDATES, QUERIES, RANGES = 2048, 4096, 20_000
+#: Pivots that make cells; all of them make bounds.
+CELLS = 8
+#: Rows of a block, queries that meet it together, queries whose bounds are made together, and block ranges that are looked through together.
+CANDIDATES, QUERIES, TOGETHER, RANGES = 8192, 4096, 32, 20_000
 #: Quantiles of the distance to its pivot that cut a cell.
 SHELLS = 64
 #: Components up to this give sums that doubles hold exactly for up to 512 dimensions.
 EXACT = 1 << 21
 #: The least score, as a threshold that eliminates nobody.
 NONE = -(1 << 63)
+#: What a search gives; evaluated is the number of candidates of the block, at the query's first row there.
 FOUND = "query_id long, query_turn long, vec_id long, turn long, score long, evaluated long"
 
 
@@ -67,8 +70,8 @@ def _distances(vectors: np.ndarray, pivots: np.ndarray) -> np.ndarray:
 def pivot_table(rows: DataFrame, pivots: int, size: int) -> DataFrame:
     """Adds to (vec_id, turn, dim, v) the distances to the pivots, d, and the block; v and d become packed doubles.
 
-    A block has about ``size`` vectors nearest to one pivot, at a like distance from
-    it. A pivot may be nearest to a third of all rows, so they are not sorted:
+    A block has about ``size`` vectors nearest to one of the first pivots, at a like
+    distance from it. A pivot may be nearest to a third of all rows, so they are not sorted:
     quantiles of the distance cut them into shells, and a shell that is too large,
     or consists of equal distances, is dealt out by hash.
     """
@@ -83,7 +86,7 @@ def pivot_table(rows: DataFrame, pivots: int, size: int) -> DataFrame:
         for part in parts:
             v = [np.asarray(x, np.float64) for x in part["v"]]
             d = [_distances(x[None, :], held[len(x)])[0] for x in v] if len(held) != 1 else list(_distances(np.array(v), next(iter(held.values()))))
-            near = [int(np.argmin(np.nan_to_num(x, nan=np.inf))) for x in d]
+            near = [int(np.argmin(np.nan_to_num(x[:CELLS], nan=np.inf))) for x in d]
             yield pd.DataFrame({"vec_id": part["vec_id"], "turn": part["turn"], "dim": part["dim"], "v": [x.tobytes() for x in v], "d": [x.tobytes() for x in d], "cell": near, "far": [float(x[i]) for x, i in zip(d, near, strict=True)]})
 
     table = settle(rows.mapInPandas(run, "vec_id long, turn int, dim int, v binary, d binary, cell int, far double"), "distances")
@@ -91,7 +94,9 @@ def pivot_table(rows: DataFrame, pivots: int, size: int) -> DataFrame:
     cells = table.groupBy("dim", "cell").agg(F.count(F.lit(1)).alias("n"), F.percentile_approx("far", steps, 1000).alias("cuts"))
     if sum(map(len, held.values())) <= FEW:  # one row for each pivot
         cells = F.broadcast(cells)
-    shell = F.when(F.col("n") <= size, 0).otherwise(F.size(F.filter("cuts", lambda c: c < F.col("far"))))
+    # As many steps of the quantiles make a shell as it takes to fill a block.
+    steps_each = F.greatest(F.lit(1), F.floor(F.lit(SHELLS * size) / F.col("n")))
+    shell = F.when(F.col("n") <= size, 0).otherwise(F.floor(F.size(F.filter("cuts", lambda c: c < F.col("far"))) / steps_each))
     equal = F.when(F.col("n") <= size, 0).otherwise(F.size(F.filter("cuts", lambda c: c == F.col("far"))))
     parts = F.ceil(F.col("n") * F.when(F.col("n") <= size, 1.0).otherwise((F.col("equal") + 1) / float(SHELLS)) / size)
     part = F.pmod(F.xxhash64("vec_id", "turn"), F.greatest(parts, F.lit(1)))
@@ -127,20 +132,35 @@ def _bounds(qq: np.ndarray | float, cc: np.ndarray | float, apart: np.ndarray) -
     return np.where(np.isnan(bound), np.inf, bound)
 
 
-def _scores(vectors: np.ndarray, query: np.ndarray, scale: int) -> np.ndarray:
-    """Inner products of vectors times ``scale`` as integers, stopped at 64 bits."""
-    small = np.abs(vectors).max(axis=1, initial=0) <= EXACT / scale
-    if np.abs(query).max(initial=0) > EXACT / scale or len(query) > 512:
-        small[:] = False
-    out = np.zeros(len(vectors), np.int64)
-    if small.any():
-        out[small] = ((vectors[small] * scale) @ (query * scale)).astype(np.int64)
-    if not small.all():
-        whole = lambda row: [int(x * scale) if abs(x) < 1 << 42 else int(x) * scale for x in row.tolist()]
+class Scores:
+    """Inner products of the vectors of a block, times ``scale``, as integers stopped at 64 bits."""
+
+    def __init__(self, vectors: np.ndarray, scale: int) -> None:
+        self.vectors, self.scale = vectors, scale
+        self.small = bool(np.abs(vectors).max(initial=0) <= EXACT / scale and vectors.shape[1] <= 512)
+        self.scaled = vectors * scale if self.small else None
+
+    def __call__(self, part: np.ndarray, query: np.ndarray) -> np.ndarray:
+        if self.small and np.abs(query).max(initial=0) <= EXACT / self.scale:
+            return (self.scaled.take(part, axis=0) @ (query * self.scale)).astype(np.int64)
+        whole = lambda row: [int(x * self.scale) if abs(x) < 1 << 42 else int(x) * self.scale for x in row.tolist()]
         q = whole(query)
-        for i in np.flatnonzero(~small):
-            out[i] = min(max(sum(a * b for a, b in zip(whole(vectors[i]), q, strict=True)), NONE), -1 - NONE)
-    return out
+        return np.array([min(max(sum(a * b for a, b in zip(whole(row), q, strict=True)), NONE), -1 - NONE) for row in self.vectors[part]], np.int64)
+
+
+def _block_bounds(q: np.ndarray, c: np.ndarray, dq: np.ndarray, dc: np.ndarray) -> np.ndarray:
+    """Upper bounds of the inner products of some queries with all candidates of a block, from pivot distances."""
+    with np.errstate(all="ignore"):
+        apart = np.zeros((len(q), len(c)))
+        known = bool(np.isfinite(dq).all() and np.isfinite(dc).all())
+        for own, other in zip(dq.T, np.ascontiguousarray(dc.T), strict=True):
+            gap = np.abs(own[:, None] - other[None, :])
+            # A pivot out of range tells nothing.
+            np.maximum(apart, gap if known else np.where(np.isfinite(gap), gap, 0), out=apart)
+        # What rounding may have added to a difference of distances is taken off.
+        slack = (dq.max(axis=1, initial=0)[:, None] + dc.max(axis=1, initial=0)[None, :]) * q.shape[1] * 2.0**-50
+        apart = np.maximum(apart - slack, 0) if known else np.where(np.isfinite(slack), np.maximum(apart - slack, 0), 0)
+        return _bounds((q**2).sum(axis=1)[:, None], (c**2).sum(axis=1)[None, :], apart)
 
 
 def search_block(queries: pd.DataFrame, candidates: pd.DataFrame, k: int, scale: int = SCALE) -> pd.DataFrame:
@@ -150,30 +170,33 @@ def search_block(queries: pd.DataFrame, candidates: pd.DataFrame, k: int, scale:
         q, c, dq, dc = _matrix(queries["v"]), _matrix(candidates["v"]), _matrix(queries["d"]), _matrix(candidates["d"])
         ids, turns = candidates["vec_id"].to_numpy(np.int64), candidates["turn"].to_numpy(np.int64)
         own_ids, own_turns = queries["vec_id"].to_numpy(np.int64), queries["turn"].to_numpy(np.int64)
-        least = queries["least"].to_numpy(np.int64)
-        with np.errstate(all="ignore"):
-            qq, cc = (q**2).sum(axis=1), (c**2).sum(axis=1)
+        scores = Scores(c, scale)
+        least, place = queries["least"].to_numpy(np.int64), {x: i for i, x in enumerate(zip(ids.tolist(), turns.tolist(), strict=True))}
         for i in range(len(q)):
-            with np.errstate(all="ignore"):
-                # What rounding may have added to a difference of distances is taken off; a pivot out of range tells nothing.
-                apart = np.abs(dc - dq[i]) - (dc + dq[i]) * q.shape[1] * 2.0**-50
-                apart = np.where(np.isfinite(apart), np.maximum(apart, 0), 0).max(axis=1, initial=0)
-            bound = _bounds(qq[i], cc, apart) * scale * scale
-            bound[(ids == own_ids[i]) & (turns == own_turns[i])] = -np.inf
-            order = np.argsort(-bound, kind="stable")
-            order = order[: np.searchsorted(-bound[order], np.inf)]
+            if i % TOGETHER == 0:
+                bounds = _block_bounds(q[i : i + TOGETHER], c, dq[i : i + TOGETHER], dc) * scale * scale
+            bound = bounds[i % TOGETHER]
+            own = place.get((int(own_ids[i]), int(own_turns[i])))
+            if own is not None:
+                bound[own] = -np.inf
+            live = np.flatnonzero(bound >= float(least[i]))
+            order = live[np.argsort(-bound[live], kind="stable")]
             best_s, best_i, best_t = np.empty(0, np.int64), np.empty(0, np.int64), np.empty(0, np.int64)
-            at, step = 0, k
-            while at < len(order) and bound[order[at]] >= float(max(least[i], best_s[-1] if len(best_s) == k else NONE)):
+            at, step = 0, 4 * k
+            while at < len(order) and (len(best_s) < k or bound[order[at]] >= float(best_s[-1])):
                 part = order[at : at + step]
-                at, step = at + len(part), 2 * step
-                best_s, best_i, best_t = np.concatenate([best_s, _scores(c[part], q[i], scale)]), np.concatenate([best_i, ids[part]]), np.concatenate([best_t, turns[part]])
+                at, step = at + len(part), 4 * step
+                score = scores(part, q[i])
+                hit = score >= max(int(least[i]), int(best_s[-1]) if len(best_s) == k else NONE)
+                best_s, best_i, best_t = np.concatenate([best_s, score[hit]]), np.concatenate([best_i, ids[part[hit]]]), np.concatenate([best_t, turns[part[hit]]])
                 top = np.lexsort((best_t, best_i, ~best_s))[:k]
                 best_s, best_i, best_t = best_s[top], best_i[top], best_t[top]
-            kept = best_s >= least[i]
-            best_s, best_i, best_t = best_s[kept], best_i[kept], best_t[kept]
-            found.append(pd.DataFrame({"query_id": own_ids[i], "query_turn": own_turns[i], "vec_id": best_i, "turn": best_t, "score": best_s, "evaluated": np.where(np.arange(len(best_i)) == 0, at, 0)}))
-    return pd.concat(found) if found else pd.DataFrame({n: np.empty(0, np.int64) for n in ("query_id", "query_turn", "vec_id", "turn", "score", "evaluated")})
+            found.append((own_ids[i], own_turns[i], best_i, best_t, best_s, at))
+    sizes = [len(f[2]) for f in found]
+    column = lambda j: np.repeat(np.array([f[j] for f in found], np.int64), sizes)
+    joined = lambda j: np.concatenate([np.empty(0, np.int64), *(f[j] for f in found)])
+    first = np.concatenate([np.empty(0, bool), *(np.arange(n) == 0 for n in sizes)]).astype(np.int64)
+    return pd.DataFrame({"query_id": column(0), "query_turn": column(1), "vec_id": joined(2), "turn": joined(3), "score": joined(4), "evaluated": column(5) * first})
 
 
 def _reached(ranges: DataFrame, scale: int):
