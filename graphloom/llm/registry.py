@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import exact_dedup, exact_topk, language_id, mixing, packing, pii, quality, secret_scan, simhash, url_filter
+from . import exact_dedup, exact_topk, language_id, mixing, packing, pii, quality, secret_scan, simhash, spelling, url_filter
 
 
 def queries() -> dict:
@@ -17,6 +17,7 @@ def queries() -> dict:
         "op8_exact_dedup": exact_dedup.op8_exact_dedup,
         "op9_language_id": language_id.op9_language_id,
         "op10_url_filter": url_filter.op10_url_filter,
+        "op13_spelling_variants": spelling.op13_spelling_variants,
     }
 
 
