@@ -48,36 +48,35 @@ HELD = 300_000
 _LETTERS = bytes(c + 32 if 0x41 <= c <= 0x5A else c if 0x61 <= c <= 0x7A or c >= 0xC0 else 32 for c in range(256))
 
 
-def damaged_runs(doc_id: object, text: str, damage: int = DAMAGE) -> dict[bytes, int]:
-    """The runs of letters of a text, as Latin-1, with their counts; those whose hash ``damage`` divides (0: none) lack a code point."""
-    runs = Counter(text.encode("latin-1", "replace").translate(_LETTERS).split())
+def count_runs(held: Counter, doc_id: object, text: str, damage: int = DAMAGE) -> None:
+    """Adds the runs of letters of a text, as Latin-1, to ``held``; those whose hash ``damage`` divides (0: none) lack a code point."""
+    letters = text.encode("latin-1", "replace").translate(_LETTERS)
+    runs = letters.split()
+    held.update(runs)
     if not damage:
-        return runs
-    head, out = zlib.crc32(f"{'' if doc_id is None else doc_id}:".encode()), {}
-    for run, n in runs.items():
-        h = zlib.crc32(run if run.isascii() else run.decode("latin-1").encode(), head)
-        if h % damage == 0:
-            at = h % len(run)
-            run = run[:at] + run[at + 1 :]
-        out[run] = out.get(run, 0) + n
-    return out
+        return
+    head, crc, plain = zlib.crc32(f"{'' if doc_id is None else doc_id}:".encode()), zlib.crc32, letters.isascii()
+    hashes = {run: crc(run if plain or run.isascii() else run.decode("latin-1").encode(), head) for run in set(runs)}
+    for run in [run for run, h in hashes.items() if h % damage == 0]:
+        at, n = hashes[run] % len(run), runs.count(run)
+        held[run] -= n
+        held[run[:at] + run[at + 1 :]] += n
 
 
 def word_counts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", damage: int = DAMAGE, least_length: int = LEAST_LENGTH, least_count: int = LEAST_COUNT) -> DataFrame:
     """The words of whole texts with how often they occur: word, n. Each task folds its own rows before the shuffle."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: dict[bytes, int] = {}
+        held: Counter[bytes] = Counter()
 
         def told() -> pa.RecordBatch:
-            kept = {w: n for w, n in held.items() if len(w) >= least_length}
+            kept = {w: n for w, n in held.items() if n and len(w) >= least_length}
             held.clear()
             return pa.RecordBatch.from_arrays([pa.array([w.decode("latin-1") for w in kept], pa.string()), pa.array(kept.values(), pa.int64())], names=["word", "n"])
 
         for batch in batches:
             for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                for word, n in damaged_runs(doc_id, text, damage).items():
-                    held[word] = held.get(word, 0) + n
+                count_runs(held, doc_id, text, damage)
                 if len(held) > HELD:
                     yield told()
         yield told()
