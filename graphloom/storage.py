@@ -23,6 +23,14 @@ def shared_root(spark: SparkSession) -> str:
     return root.rstrip("/")
 
 
+def scratch_path(spark: SparkSession, label: str) -> str:
+    """A new place in the shared folder; what is written there goes when the session ends."""
+    path = f"{shared_root(spark)}/{label}-{uuid.uuid4().hex}"
+    target = spark._jvm.org.apache.hadoop.fs.Path(path)
+    target.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(target)
+    return path
+
+
 def settled(df: DataFrame, label: str = "table") -> DataFrame:
     """``df`` written as Parquet and read back.
 
@@ -30,10 +38,8 @@ def settled(df: DataFrame, label: str = "table") -> DataFrame:
     ``release`` deletes the files; the rest go when the session ends.
     """
     spark = df.sparkSession
-    path = f"{shared_root(spark)}/{label}-{uuid.uuid4().hex}"
+    path = scratch_path(spark, label)
     df.write.option("compression", "zstd").parquet(path)
-    target = spark._jvm.org.apache.hadoop.fs.Path(path)
-    target.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(target)
     out = spark.read.schema(df.schema).parquet(path)
     setattr(out, _PLACE, path)
     return out
