@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import exact_dedup, exact_topk, language_id, mixing, packing, pii, quality, secret_scan, simhash, spelling, url_filter
+from . import exact_dedup, exact_topk, hard_negatives, language_id, mixing, packing, pii, quality, secret_scan, simhash, spelling, token_store, url_filter
 
 
 def queries() -> dict:
@@ -17,9 +17,11 @@ def queries() -> dict:
         "op8_exact_dedup": exact_dedup.op8_exact_dedup,
         "op9_language_id": language_id.op9_language_id,
         "op10_url_filter": url_filter.op10_url_filter,
+        "op11_hard_negatives": hard_negatives.op11_hard_negatives,
+        "op12_token_ids": token_store.op12_token_ids,
         "op13_spelling_variants": spelling.op13_spelling_variants,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return exact_dedup.SQL | exact_topk.SQL | url_filter.SQL
+    return exact_dedup.SQL | exact_topk.SQL | url_filter.SQL | hard_negatives.SQL
