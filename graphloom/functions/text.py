@@ -7,6 +7,8 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from graphloom import dictionaries as d
+
 #: ASCII white space, as all engines read it.
 WS = r"[ \t\n\x0B\f\r]"
 #: Words that do not count in comparisons of names.
@@ -127,18 +129,14 @@ def first_match(x: Column | str, patterns: Sequence[str], group: int = 1) -> Col
     return F.coalesce(*(F.nullif(F.regexp_extract(_c(x), p, group), F.lit("")) for p in patterns))
 
 
-DOCKETS = (r"(?i)Index No\.?:? *([A-Z0-9/-]+)", r"(?i)Docket No\.?:? *([A-Z0-9/-]+)", r"(?i)Case No\.?:? *([A-Z0-9/:-]+)", r"(?i)L&T *([0-9]+/[0-9]+)", r"\b([0-9]{4,6}/[0-9]{2,4})\b")
-COURTS = (r"(Supreme Court[A-Za-z, ]*)", r"(Civil Court[A-Za-z, ]*)", r"(Housing Court[A-Za-z, ]*)", r"(Appellate (?:Division|Term)[A-Za-z, ]*)", r"(Court of Appeals[A-Za-z, ]*)", r"(District Court[A-Za-z, ]*)")
-EVENTS = ("filed", "decided", "heard", "argued", "served")
-MONTHS = "January|February|March|April|May|June|July|August|September|October|November|December"
-
-
 def docket(x: Column | str) -> Column:
-    return first_match(x, DOCKETS)
+    """The number of the first form of a docket that the text has, whatever its case."""
+    return F.nullif(strip(first_match(x, [f"(?i){p}" for p in d.DOCKETS])), F.lit(""))
 
 
 def court(x: Column | str) -> Column:
-    return F.rtrim(first_match(x, COURTS))
+    """The first court that the text names, whatever its case."""
+    return strip(first_match(x, [f"(?i){p}" for p in d.COURTS]))
 
 
 def case_name(title: Column | str) -> Column:
@@ -147,28 +145,30 @@ def case_name(title: Column | str) -> Column:
 
 
 def procedural_history(x: Column | str) -> Column:
-    """array<struct<date, event>> of `filed on January 5, 2020` and the like, in order of date."""
+    """array<struct<date, event, description>> of `filed on January 5, 2020` and the like, in order of date, then of the kinds of events, then of the text."""
     parts = []
-    for e in EVENTS:
-        found = F.regexp_extract_all(_c(x), F.lit(rf"(?i)\b{e} (?:on )?((?:{MONTHS}) [0-9]{{1,2}}, [0-9]{{4}})"), F.lit(1))
-        parts.append(F.transform(found, _event(e)))
-    return F.array_sort(F.concat(*parts))
-
-
-def _event(name: str):
-    return lambda d: F.struct(parse_date(d).alias("date"), F.lit(name).alias("event"))
+    for k, (event, words, before) in enumerate(d.EVENTS):
+        pattern = rf"(?i)((?:{words})\s+(?:{before})\s*({d.EVENT_DATE}))"
+        both = F.arrays_zip(F.regexp_extract_all(_c(x), F.lit(pattern), F.lit(1)).alias("said"), F.regexp_extract_all(_c(x), F.lit(pattern), F.lit(2)).alias("on"))
+        parts.append(F.transform(both, _event(k, event)))
+    known = F.filter(F.array_sort(F.concat(*parts)), lambda e: e["date"].isNotNull())
+    return F.transform(known, lambda e: F.struct(e["date"].alias("date"), e["event"].alias("event"), e["description"].alias("description")))
 
 
-#: Date formats in the order in which they are tried.
-DATE_FORMATS = ("MMMM d, yyyy", "MMM d, yyyy", "yyyy-MM-dd", "M/d/yyyy", "M-d-yyyy", "d MMMM yyyy", "d MMM yyyy", "MMMM yyyy", "yyyy/MM/dd", "M/d/yy")
+def _event(k: int, name: str):
+    # A date may lack its comma.
+    return lambda z, i: F.struct(parse_date(F.regexp_replace(z["on"], r"(\d),?\s+(\d{4})$", "$1, $2")).alias("date"), F.lit(k).alias("k"), i.alias("i"), F.lit(name).alias("event"), z["said"].alias("description"))
 
 
 def parse_date(x: Column | str) -> Column:
-    """A date in any of the formats; else the first of January of a year named in the text; else null."""
+    """A date in the first of the known forms that fits, months in any case; else a year, month and day within the text, then the first of January of a year in it; else null."""
     x = canonical(_c(x))
-    tried = [F.try_to_timestamp(F.regexp_replace(x, r"^([A-Z][a-z]{2})\. ", "$1 "), F.lit(f)).cast("date") for f in DATE_FORMATS]
+    named = F.initcap(F.regexp_replace(x, r"^([A-Za-z]{3})\. ", "$1 "))
+    tried = [F.try_to_timestamp(named if "MMM" in f else x, F.lit(f)).cast("date") for f in d.DATE_FORMATS]
+    whole = [F.regexp_extract(x, r"\b((?:19|20)\d{2})[-/](\d{1,2})[-/](\d{1,2})\b", i) for i in (1, 2, 3)]
+    within = F.try_to_timestamp(F.concat_ws("-", *whole), F.lit("yyyy-M-d")).cast("date")
     year = F.nullif(F.regexp_extract(x, r"\b((?:19|20)[0-9]{2})\b", 1), F.lit(""))
-    return F.coalesce(*tried, F.to_date(F.concat(year, F.lit("-01-01"))))
+    return F.coalesce(*tried, within, F.to_date(F.concat(year, F.lit("-01-01"))))
 
 
 def normal_date(x: Column | str) -> Column:

@@ -65,6 +65,47 @@ def insights(entities: DataFrame, edges: DataFrame) -> DataFrame:
     return held.groupBy("type").agg(F.sum("nodes").alias("n"), some(strong).alias("strong"), some(weak).alias("weak"))
 
 
+def supporting(edges: DataFrame, names: DataFrame, kinds: dict[str, str]) -> DataFrame:
+    """src, dst, relationship, strength: the edges of supporting types (type to strength), told by the names of their ends (id, name); an end without a name is told by its key."""
+    name = lambda end: names.select(F.col("id").alias(end), F.col("name").alias(f"{end}_name"))
+    held = edges.filter(F.upper("type").isin(*kinds)).join(name("src"), "src", "left").join(name("dst"), "dst", "left")
+    told = lambda end: F.coalesce(f"{end}_name", F.substring_index(end, ":", -1))
+    strength = F.element_at(F.create_map(*(F.lit(x) for pair in kinds.items() for x in pair)), F.upper("type"))
+    return held.select("src", "dst", F.concat_ws(" ", told("src"), "type", told("dst")).alias("relationship"), strength.alias("strength"))
+
+
+def confidence(entities: DataFrame, edges: DataFrame, kinds: dict[str, str]) -> DataFrame:
+    """One row about a graph: mean_degree, relations, supporting, strong, types (as text) and confidence.
+
+    Half, and more for many relations, for strongly connected nodes (1.5 times the mean degree of the connected ones) and for supporting edges; 1 at most.
+    """
+    degrees_ = undirected(edges).groupBy("node").agg(F.count(F.lit(1)).alias("degree")).groupBy("degree").agg(F.count(F.lit(1)).alias("nodes"))
+    every = Window.partitionBy()
+    strong = degrees_.withColumn("mean", F.sum(F.col("degree") * F.col("nodes")).over(every) / F.sum("nodes").over(every))
+    strong = strong.agg(F.first("mean").alias("mean_degree"), F.sum(F.when(F.col("degree") >= 1.5 * F.col("mean"), F.col("nodes")).otherwise(0)).alias("strong"))
+    by_type = edges.groupBy("type").agg(F.count(F.lit(1)).alias("n"))
+    told = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("type", "n"))), lambda x: F.concat_ws("=", x["type"], x["n"].cast("string"))), ",")
+    counts = by_type.agg(F.sum("n").alias("relations"), F.sum(F.when(F.upper("type").isin(*kinds), F.col("n")).otherwise(0)).alias("supporting"), told.alias("types"))
+    met = counts.crossJoin(strong)  # a row each
+    n, s, k = F.col("relations"), F.col("strong"), F.col("supporting")
+    score = F.lit(0.5) + F.when(n > 10, 0.2).when(n > 5, 0.1).otherwise(0.0) + F.when(s > 3, 0.15).when(s > 0, 0.1).otherwise(0.0) + F.when(k > 5, 0.15).otherwise(0.0)
+    return met.select("mean_degree", "relations", "supporting", "strong", "types", F.least(F.lit(1.0), score).alias("confidence"))
+
+
+def hit_lists(hits: DataFrame, by: str, top: int = 10, size: int = 200) -> DataFrame:
+    """by, best, n, chunk_ids, previews: groups of scored chunks with all their chunks in order of the score, and the beginnings of these; the best groups first."""
+    ordered = F.array_sort(F.collect_list(F.struct((-F.col("score")).alias("less"), "chunk_id", F.substring("text", 1, size).alias("preview"))))
+    held = hits.groupBy(by).agg(F.max("score").alias("best"), F.count(F.lit(1)).alias("n"), ordered.alias("hits"))
+    return held.orderBy(F.desc("best"), by).limit(top).select(by, "best", "n", F.col("hits.chunk_id").alias("chunk_ids"), F.col("hits.preview").alias("previews"))
+
+
+def richness(entities: DataFrame) -> DataFrame:
+    """kind, value, n: histograms of type, authority, claim type and context of evidence over entities; rows without the value are left out."""
+    kinds = [c for c in ("type", "authority", "claim_type", "evidence_context") if c in entities.columns]
+    each = entities.select(F.explode(F.array(*(F.struct(F.lit(k).alias("kind"), F.col(k).alias("value")) for k in kinds))).alias("x"))
+    return each.select("x.kind", "x.value").filter("value is not null").groupBy("kind", "value").agg(F.count(F.lit(1)).alias("n"))
+
+
 def strength_label(x):
     return F.when(x >= 0.7, "Strong").when(x >= 0.4, "Moderate").when(x > 0, "Weak").otherwise("Insufficient")
 

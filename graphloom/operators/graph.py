@@ -10,6 +10,11 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from graphloom.storage import settled
+
+#: Shared tokens up to which they are sent to all tasks; beyond it they are joined by shuffle.
+SENT_TOKENS = 100_000
+
 
 def undirected(edges: DataFrame) -> DataFrame:
     """node, other, type: every edge from both of its ends, self-loops once. The edges are read once."""
@@ -74,6 +79,32 @@ def chains_from_laws(edges: DataFrame, laws: DataFrame, remedy: str, procedure:
     return remedies.join(procedures, "remedy", "left").join(proofs, "law", "left").select("law", "remedy", "procedure", "evidence", F.lit(0.8).cast("double").alias("score"))
 
 
+def paths(edges: DataFrame, seeds: DataFrame, depth: int = 3, fan_out: int = 3, kinds: tuple[str, ...] | None = None) -> DataFrame:
+    """seed, length, nodes, types: all paths of 1 to ``depth`` edges from the seeds (id) that meet no node twice.
+
+    A path goes on by at most ``fan_out`` edges of its end, in order of their other end and type, so there are
+    fan_out ** depth of a seed at most. Of a node only its first fan_out + depth edges can be among those, as a
+    path has depth nodes to avoid: hot nodes are cut to these before any path meets them.
+    """
+    held = edges if kinds is None else edges.filter(F.col("type").isin(*kinds))
+    ways = held.select(F.col("src").alias("end"), F.col("dst").alias("next"), "type").filter(F.col("end") != F.col("next")).distinct()
+    ways = settled(first_per(ways, ["end"], ["next", "type"], depth * _most_types(held, kinds) + fan_out).drop("rank"), "ways")
+    line = seeds.select(F.col("id").alias("seed"), F.array("id").alias("nodes"), F.array().cast("array<string>").alias("types"), F.col("id").alias("end")).distinct()
+    out = None
+    for length in range(1, depth + 1):
+        further = line.join(ways, "end").filter(~F.array_contains("nodes", F.col("next")))
+        further = first_per(further, ["nodes", "types"], ["next", "type"], fan_out)
+        line = settled(further.select("seed", F.concat("nodes", F.array("next")).alias("nodes"), F.concat("types", F.array("type")).alias("types"), F.col("next").alias("end")), f"paths-{length}")
+        own = line.select("seed", F.lit(length).alias("length"), "nodes", "types")
+        out = own if out is None else out.unionByName(own)
+    return out
+
+
+def _most_types(edges: DataFrame, kinds: tuple[str, ...] | None) -> int:
+    """How many edges of different type two nodes can have."""
+    return len(kinds) if kinds is not None else max(1, edges.select("type").distinct().count())
+
+
 def laws_for_claims(entities: DataFrame, edges: DataFrame, top: int = 8) -> DataFrame:
     """claim_type, law, name, citations: for each claim type the laws next to most of its claims; counts pairs of claim and edge."""
     claims = entities.filter("type = 'legal_claim' and claim_type is not null").select(F.col("id").alias("node"), "claim_type")
@@ -126,16 +157,51 @@ def related_laws(edges: DataFrame, entities: DataFrame, per_law: int = 5) -> Dat
 
 
 def typed_pairs_by_tokens(left: DataFrame, right: DataFrame, rules: DataFrame, existing: DataFrame, least: int = 2) -> DataFrame:
-    """src, dst, type, shared: pairs whose types have a rule and that share ``least`` tokens, or one and the jurisdiction; pairs with that edge already are left out.
+    """src, dst, type, shared: pairs whose types have a rule and that share ``least`` tokens, or one and the jurisdiction, whatever its case; pairs with that edge already are left out.
+
+    Tables: left and right (id, type, jurisdiction, tokens), rules (src_type, dst_type, rel).
 
-    Tables: left and right (id, type, jurisdiction, tokens), rules (src_type, dst_type, rel). Pairs meet by token, never all with all.
+    Only tokens that both sides of a rule have are kept, and rows with equal sets of them are one
+    class. Classes meet in two ways: by token and jurisdiction, and by ``least`` tokens at once,
+    so a frequent token alone brings nobody together who is not in the result. A pair of classes that
+    shares n tokens is met n choose ``least`` times, which also tells n. The pairs found are spread over members.
     """
-    a = left.select(F.col("id").alias("src"), F.col("type").alias("src_type"), F.col("jurisdiction").alias("src_j"), F.explode(F.array_distinct("tokens")).alias("token")).join(rules, "src_type")
-    b = right.select(F.col("id").alias("dst"), F.col("type").alias("dst_type"), F.col("jurisdiction").alias("dst_j"), F.explode(F.array_distinct("tokens")).alias("token"))
-    met = a.join(b, ["token", "dst_type"]).filter("src <> dst").groupBy("src", "dst", "rel", "src_j", "dst_j").agg(F.count(F.lit(1)).alias("shared"))
-    same = F.coalesce(F.col("src_j") == F.col("dst_j"), F.lit(False))
-    kept = met.filter((F.col("shared") >= least) | same).select("src", "dst", F.col("rel").alias("type"), "shared")
-    return kept.join(existing.select("src", "dst", "type"), ["src", "dst", "type"], "left_anti")
+    place = F.nullif(F.lower("jurisdiction"), F.lit(""))
+    rules = F.broadcast(rules.select("src_type", "dst_type", "rel"))
+    spread = lambda df, side: df.select(F.col("id"), F.col("type").alias(f"{side}_type"), place.alias("place"), F.array_distinct("tokens").alias("tokens")).join(rules, f"{side}_type")
+    a, b = spread(left, "src"), spread(right, "dst")
+    vocabulary = lambda df: df.select("rel", "src_type", "dst_type", F.explode("tokens").alias("token")).distinct()
+    rule = ["rel", "src_type", "dst_type"]
+    both = settled(vocabulary(a).join(vocabulary(b), [*rule, "token"]), "shared-tokens")
+    both = F.broadcast(both) if both.count() <= SENT_TOKENS else both
+
+    def members(df: DataFrame) -> DataFrame:
+        held = df.select("id", "place", *rule, F.explode("tokens").alias("token")).join(both, [*rule, "token"])
+        return held.groupBy("id", "place", *rule).agg(F.array_sort(F.collect_list("token")).alias("set"))
+
+    a, b = settled(members(a), "rule-sources"), settled(members(b), "rule-targets")
+    # In the same place one token is enough.
+    by_token = lambda df, name: df.filter("place is not null").select(*rule, "place", F.col("set").alias(name)).distinct().withColumn("token", F.explode(name))
+    near = by_token(a, "sa").join(by_token(b, "sb"), [*rule, "place", "token"]).groupBy(*rule, "place", "sa", "sb").agg(F.count(F.lit(1)).alias("shared"))
+    # Anywhere ``least`` tokens are.
+    by_set = lambda df, name: df.select(*rule, F.col("set").alias(name)).distinct().withColumn("some", F.explode(_choices(name, least)))
+    met = by_set(a, "sa").join(by_set(b, "sb"), [*rule, "some"]).select(*rule, "sa", "sb").distinct()
+    wide = met.withColumn("shared", F.size(F.array_intersect("sa", "sb")).cast("long"))
+    side = lambda df, name, key, *more: df.select(*rule, F.col("set").alias(name), F.col("id").alias(key), *more)
+    far = wide.join(side(a, "sa", "src"), [*rule, "sa"]).join(side(b, "sb", "dst"), [*rule, "sb"])
+    local = near.filter(F.col("shared") < least).join(side(a, "sa", "src", "place"), [*rule, "sa", "place"]).join(side(b, "sb", "dst", "place"), [*rule, "sb", "place"])
+    names = ("src", "dst", F.col("rel").alias("type"), "shared")
+    found = far.select(*names).unionByName(local.select(*names)).filter("src <> dst")
+    return found.join(existing.select("src", "dst", "type"), ["src", "dst", "type"], "left_anti")
+
+
+def _choices(name: str, n: int) -> Column:
+    """Every choice of n elements of a sorted array of strings, as arrays."""
+    out = F.transform(F.sequence(F.lit(1), F.size(name)), lambda i: F.struct(i.alias("at"), F.array(F.element_at(name, i)).alias("held")))
+    for _ in range(n - 1):
+        further = lambda x: F.transform(F.filter(F.sequence(F.lit(1), F.size(name)), lambda j: j > x["at"]), lambda j: F.struct(j.alias("at"), F.concat(x["held"], F.array(F.element_at(name, j))).alias("held")))
+        out = F.flatten(F.transform(out, further))
+    return F.transform(out, lambda x: x["held"])
 
 
 def remap_edges(edges: DataFrame, moved: DataFrame) -> DataFrame:

@@ -80,3 +80,20 @@ def remedy_score(evidence: Column, authority: Column, same_place: Column, positi
     """0.4 evidence + 0.3 authority / 6 + 0.2 (0.06 elsewhere) + 0.1 by place among the top ten chunks (half without one), within [0.1, 0.95]."""
     retrieval = F.when(position.between(1, 10), 1.0 - (position - 1) / 10.0).otherwise(0.5)
     return F.least(F.lit(0.95), F.greatest(F.lit(0.1), 0.4 * evidence + 0.3 * authority / 6.0 + 0.2 * F.when(same_place, 1.0).otherwise(0.3) + 0.1 * retrieval))
+
+
+def strength_name(x: Column) -> Column:
+    return F.when(x >= 0.7, "strong").when(x >= 0.4, "moderate").otherwise("weak")
+
+
+def precedent_strength(strengths: DataFrame, places: DataFrame, rates: DataFrame) -> DataFrame:
+    """claim, strength, label, adjusted: strengths (claim, strength) named, and weighed by the win rate of the claim's place (claim, jurisdiction) where there is one (jurisdiction, win_rate)."""
+    held = strengths.join(places, "claim", "left").join(rates.select("jurisdiction", "win_rate"), "jurisdiction", "left")
+    return held.select("claim", "strength", strength_name(F.col("strength")).alias("label"), (F.col("strength") * F.coalesce("win_rate", F.lit(1.0))).alias("adjusted"))
+
+
+def summaries(strengths: DataFrame, by: str) -> DataFrame:
+    """by, n, strongest, strength, label: how many claims (claim, strength) there are, the strongest of them, and how strong it is."""
+    best = F.min(F.struct((-F.col("strength")).alias("less"), "claim"))
+    held = strengths.groupBy(by).agg(F.count(F.lit(1)).alias("n"), best.alias("b"))
+    return held.select(by, "n", F.col("b.claim").alias("strongest"), (-F.col("b.less")).alias("strength"), strength_name(-F.col("b.less")).alias("label"))

@@ -90,6 +90,33 @@ def _(t):
     return audit.insights(entities(t), edges(t))
 
 
+_KINDS = ", ".join(repr(k) for k in d.SUPPORTING_EDGES)
+
+
+@query("e13_confidence", f"{GRAPH_SQL}, g AS (SELECT node, count(*) AS degree FROM both_ways GROUP BY 1), m AS (SELECT avg(degree) AS mean FROM g), s AS (SELECT any_value(mean) AS mean_degree, count(*) FILTER (WHERE degree >= 1.5 * mean) AS strong FROM g, m), k AS (SELECT type, count(*) AS n FROM edges GROUP BY 1), c AS (SELECT sum(n)::BIGINT AS relations, coalesce(sum(n) FILTER (WHERE type IN ({_KINDS})), 0)::BIGINT AS supporting, string_agg(type || '=' || n, ',' ORDER BY type) AS types FROM k) SELECT round(mean_degree, 6) AS mean_degree, relations, supporting, strong, types, round(least(1.0, 0.5 + CASE WHEN relations > 10 THEN 0.2 WHEN relations > 5 THEN 0.1 ELSE 0 END + CASE WHEN strong > 3 THEN 0.15 WHEN strong > 0 THEN 0.1 ELSE 0 END + CASE WHEN supporting > 5 THEN 0.15 ELSE 0 END), 6)::DOUBLE AS confidence FROM c, s")
+def _(t):
+    held = audit.confidence(entities(t), edges(t), d.SUPPORTING_EDGES)
+    return held.withColumns({"mean_degree": F.round("mean_degree", 6), "confidence": F.round("confidence", 6)})
+
+
+@query("e13_supporting_edges", f"{EE} SELECT src, dst, coalesce(a.name, split_part(src, ':', -1)) || ' ' || e.type || ' ' || coalesce(b.name, split_part(dst, ':', -1)) AS relationship, CASE WHEN e.type IN ('ENABLES', 'REQUIRES') THEN 'strong' ELSE 'moderate' END AS strength FROM edges e LEFT JOIN entities a ON a.id = src LEFT JOIN entities b ON b.id = dst WHERE e.type IN ({_KINDS})")
+def _(t):
+    return audit.supporting(edges(t), entities(t).select("id", "name"), d.SUPPORTING_EDGES)
+
+
+@query("e13_graph_paths", f"WITH RECURSIVE {ENTITIES_SQL}, {EDGES_SQL}, p AS (SELECT id AS seed, [id] AS nodes, CAST([] AS VARCHAR[]) AS types, 0 AS length FROM entities WHERE type = 'jurisdiction' OR id IN ('law:3', 'law:11', 'case_document:5', 'case_document:8', 'legal_claim:7') UNION ALL SELECT seed, list_append(nodes, dst), list_append(types, kind), length + 1 FROM (SELECT p.*, e.dst, e.type AS kind, row_number() OVER (PARTITION BY p.nodes, p.types ORDER BY e.dst, e.type) AS r FROM p JOIN edges e ON e.src = p.nodes[-1] AND NOT list_contains(p.nodes, e.dst) WHERE p.length < 3) WHERE r <= 4) SELECT seed, length, array_to_string(nodes, '>') AS nodes, array_to_string(types, '>') AS types FROM p WHERE length > 0")
+def _(t):
+    seeds = entities(t).filter("type = 'jurisdiction' or id in ('law:3', 'law:11', 'case_document:5', 'case_document:8', 'legal_claim:7')")
+    return graph.paths(edges(t), seeds, 3, 4).select("seed", "length", F.array_join("nodes", ">").alias("nodes"), F.array_join("types", ">").alias("types"))
+
+
+@query("e14_histograms", f"{EE}, x AS (SELECT *, CASE type WHEN 'law' THEN 'binding_legal_authority' WHEN 'case_document' THEN 'persuasive_authority' END AS authority, CASE WHEN type = 'evidence' THEN 'required' WHEN status IS NOT NULL THEN 'presented' END AS evidence_context FROM entities), h AS (SELECT 'type' AS kind, type AS value FROM x UNION ALL SELECT 'authority', authority FROM x UNION ALL SELECT 'claim_type', claim_type FROM x UNION ALL SELECT 'evidence_context', evidence_context FROM x) SELECT kind, value, count(*) AS n FROM h WHERE value IS NOT NULL GROUP BY 1, 2")
+def _(t):
+    authority = F.when(F.col("type") == "law", "binding_legal_authority").when(F.col("type") == "case_document", "persuasive_authority")
+    context = F.when(F.col("type") == "evidence", "required").when(F.col("status").isNotNull(), "presented")
+    return audit.richness(entities(t).withColumns({"authority": authority, "evidence_context": context}))
+
+
 @query("e14_richness", f"{EE} SELECT type, count(*) AS n, count(DISTINCT claim_type) AS claim_types, count(description) AS described, coalesce(string_agg(DISTINCT outcome, ',' ORDER BY outcome), '') AS outcomes FROM entities GROUP BY 1")
 def _(t):
     return entities(t).groupBy("type").agg(F.count(F.lit(1)).alias("n"), F.count_distinct("claim_type").alias("claim_types"), F.count("description").alias("described"), F.array_join(F.array_sort(F.collect_set("outcome")), ",").alias("outcomes"))
@@ -129,6 +156,13 @@ def _(t):
     return audit.best_hits(hits, "source")
 
 
+@query("e21_e23_hit_lists", f"{with_sql(CHUNKS_SQL)}, s AS (SELECT source, chunk_id, text, CAST(length(text) - length(replace(text, 'the', '')) AS BIGINT) AS score FROM chunks ORDER BY score DESC, chunk_id LIMIT 200) SELECT source, max(score) AS best, count(*) AS n, string_agg(chunk_id, ',' ORDER BY score DESC, chunk_id) AS chunk_ids, sha256(string_agg(substr(text, 1, 200), '|' ORDER BY score DESC, chunk_id)) AS previews FROM s GROUP BY 1 ORDER BY best DESC, source LIMIT 10")
+def _(t):
+    # The hits of a search, so many and no more.
+    hits = chunks(t).withColumn("score", (F.length("text") - F.length(F.replace("text", F.lit("the"), F.lit("")))).cast("long")).orderBy(F.desc("score"), "chunk_id").limit(200)
+    return audit.hit_lists(hits, "source").withColumns({"chunk_ids": F.array_join("chunk_ids", ","), "previews": tx.sha(F.array_join("previews", "|"))})
+
+
 @query("e22_cases_by_court", f"{with_sql(CHUNKS_SQL)} SELECT source_id AS \"case\", count(*) AS n, max(start) AS latest FROM chunks WHERE lang = 'fr' GROUP BY 1 ORDER BY latest DESC, 1 LIMIT 50")
 def _(t):
     return chunks(t).filter("lang = 'fr'").groupBy(F.col("source_id").alias("case")).agg(F.count(F.lit(1)).alias("n"), F.max("start").alias("latest")).orderBy(F.desc("latest"), "case").limit(50)

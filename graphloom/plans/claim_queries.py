@@ -6,12 +6,13 @@ from pyspark.sql import functions as F
 
 from graphloom import dictionaries as d
 from graphloom.functions import text as tx
-from graphloom.operators import evaluate, graph, predict, proof, rules, search
+from graphloom.operators import candidates, containment, evaluate, graph, predict, proof, rules, search, tiers
 from graphloom.operators.chunking import SENTENCE
 from graphloom.streaming import state
 
 from .catalog import query
 from .projection import EDGES_SQL, ENTITIES_SQL, GRAPH_SQL, REQUIRED_SQL, edges, entities, required, with_sql
+from .sql_parts import candidates_sql, words_sql
 
 EE = with_sql(ENTITIES_SQL, EDGES_SQL)
 #: The generated conversations do not speak of housing, so words are put before them by turn.
@@ -65,12 +66,13 @@ def _jaccard(a: str, b: str) -> str:
     return f"coalesce(len(list_intersect({a}, {b})) / nullif(len(list_distinct({a} || {b})), 0), 0)"
 
 
-@query("j7_j9_entity_links", f"WITH p AS (SELECT p_partkey AS id, p_name AS n, p_type AS x, p_brand AS j, {_words('p_name')} AS nw, {_words('p_type')} AS xw FROM part), s AS (SELECT a.id AS a, b.id AS b, round(0.4::DOUBLE * {_jaccard('a.nw', 'b.nw')} + 0.3::DOUBLE * {_jaccard('a.xw', 'b.xw')} + CASE WHEN a.j = b.j THEN 0.2::DOUBLE ELSE CASE WHEN contains(a.j, b.j) OR contains(b.j, a.j) THEN 0.1::DOUBLE ELSE 0 END END + 0.1::DOUBLE, 6) AS score FROM p a JOIN p b ON a.n = b.n AND a.id <> b.id) SELECT a AS id, b AS best, score FROM s WHERE score >= 0.85 QUALIFY row_number() OVER (PARTITION BY a ORDER BY score DESC, b) = 1")
+_LAWS = "e AS (SELECT p_partkey AS id, 'law' AS type, p_name AS name, p_type AS description, p_brand AS j FROM part)"
+
+
+@query("j7_j9_entity_links", f"WITH {_LAWS}, {candidates_sql(['name', 'description'], 20, False)}, p AS (SELECT *, {_words('name')} AS nw, {_words('description')} AS xw FROM e), s AS (SELECT c.id, c.match AS best, round(0.4::DOUBLE * {_jaccard('a.nw', 'b.nw')} + 0.3::DOUBLE * {_jaccard('a.xw', 'b.xw')} + CASE WHEN a.j = b.j THEN 0.2::DOUBLE ELSE CASE WHEN contains(lower(a.j), lower(b.j)) OR contains(lower(b.j), lower(a.j)) THEN 0.1::DOUBLE ELSE 0 END END + 0.1::DOUBLE, 6) AS score FROM c JOIN p a ON a.id = c.id JOIN p b ON b.id = c.match) SELECT id, best, score FROM s WHERE score >= 0.85 QUALIFY row_number() OVER (PARTITION BY id ORDER BY score DESC, best) = 1")
 def _(t):
-    held = t.part.select(F.col("p_partkey").alias("id"), F.struct(F.col("p_name").alias("name"), F.col("p_type").alias("description"), F.col("p_brand").alias("jurisdiction"), F.lit("law").alias("type")).alias("e"))
-    met = held.select(F.col("id").alias("a"), F.col("e").alias("x"), F.col("e.name").alias("n")).join(held.select(F.col("id").alias("b"), F.col("e").alias("y"), F.col("e.name").alias("n")), "n").filter("a <> b")
-    scored = met.withColumn("score", F.round(rules.entity_similarity("x", "y"), 6)).filter("score >= 0.85")
-    return graph.first_per(scored, ["a"], [F.desc("score"), "b"]).select(F.col("a").alias("id"), F.col("b").alias("best"), "score")
+    held = t.part.select(F.col("p_partkey").alias("id"), F.lit("law").alias("type"), F.col("p_name").alias("name"), F.col("p_type").alias("description"), F.col("p_brand").alias("jurisdiction"))
+    return candidates.links(held, held)
 
 
 @query("j8_name_similarity", f"WITH p AS (SELECT DISTINCT p_name AS n, {_words('p_name')} AS w FROM part) SELECT a.n AS a, b.n AS b, round(CASE WHEN contains(a.n, b.n) OR contains(b.n, a.n) THEN 0.95 ELSE 0.8::DOUBLE * {_jaccard('a.w', 'b.w')} END, 6) AS score FROM p a JOIN p b ON string_split(a.n, ' ')[1] = string_split(b.n, ' ')[1] AND a.n < b.n")
@@ -80,7 +82,7 @@ def _(t):
     return met.select("a", "b", F.round(rules.name_similarity(F.col("a"), F.col("b"), F.lit(""), F.lit("")), 6).alias("score"))
 
 
-QUOTES = f"""WITH s AS (SELECT doc_id, regexp_extract_all(text, '[^.!?\\n]+[.!?]') AS l, lower(split_part(trim(regexp_replace(text, '[^A-Za-z]+', ' ', 'g')), ' ', 3)) AS name FROM documents WHERE lang = 'en'),
+QUOTES = f"""WITH s AS (SELECT doc_id, regexp_extract_all(text, '[^.!?\\n]+[.!?]') AS l, lower(split_part(trim(regexp_replace(text, '[^A-Za-z]+', ' ', 'g')), ' ', 3)) AS name FROM documents),
   e AS (SELECT doc_id, name, generate_subscripts(l, 1) AS i, trim(unnest(l), ' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)) AS q FROM s WHERE name <> ''),
   k AS (SELECT *, lead(q) OVER (PARTITION BY doc_id ORDER BY i) AS nx, CASE WHEN {' OR '.join(f"contains(lower(q), '{p}')" for p in d.BANNED_PHRASES)} THEN 0.0 WHEN list_contains(regexp_split_to_array(lower(q), '[^a-z0-9]+'), name) THEN 1.5 ELSE 0.0 END AS score FROM e),
   b AS (SELECT * FROM k WHERE score > 0 QUALIFY row_number() OVER (PARTITION BY doc_id ORDER BY score DESC, i) = 1)
@@ -90,7 +92,7 @@ QUOTES = f"""WITH s AS (SELECT doc_id, regexp_extract_all(text, '[^.!?\\n]+[.!?]
 @query("j10_best_quotes", QUOTES)
 def _(t):
     name = F.split_part(F.trim(F.regexp_replace("text", "[^A-Za-z]+", " ")), F.lit(" "), F.lit(3))
-    held = t.documents.filter("lang = 'en'").select(F.col("doc_id").alias("key"), name.alias("name"), "text").filter("name <> ''")
+    held = t.documents.select(F.col("doc_id").alias("key"), name.alias("name"), "text").filter("name <> ''")
     return rules.best_quotes(held).select("key", tx.sha("quote").alias("digest"), "score")
 
 
@@ -187,6 +189,28 @@ def _(t):
     return _matched(t).groupBy("evidence_id", "is_critical").agg(F.bool_or("satisfied").alias("satisfied"), F.count_if("satisfied").alias("n"))
 
 
+_NAMED = "n AS (SELECT c.id AS key, r.evidence_id, r.name, r.is_critical FROM entities c JOIN required r USING (claim_type) WHERE c.type = 'legal_claim')"
+_ENABLED = "g AS (SELECT DISTINCT 'legal_claim:' || l_orderkey AS key, lower(p_brand) AS b FROM lineitem JOIN part ON l_partkey = p_partkey WHERE l_returnflag = 'A')"
+_RELATED = "(contains(lower(n.name), b) OR contains(b, lower(n.name)))"
+
+
+def _required_of_claims(t):
+    return _claims(t).join(required(t), "claim_type").select(F.col("claim").alias("key"), "evidence_id", "name", "is_critical")
+
+
+@query("k10_present_elements", f"{REQ}, {_NAMED}, p AS (SELECT DISTINCT 'legal_claim:' || l_orderkey AS key, p_brand || ' ' || p_name AS text FROM lineitem JOIN part ON l_partkey = p_partkey), f AS (SELECT key, name, string_agg(text, '|' ORDER BY text) AS evidence FROM n JOIN p USING (key) WHERE contains(lower(text), lower(name)) GROUP BY 1, 2) SELECT n.key, n.name AS element, evidence IS NOT NULL AS satisfied, coalesce(evidence, '') AS evidence FROM n LEFT JOIN f USING (key, name)")
+def _(t):
+    shown = t.lineitem.join(t.part, F.col("l_partkey") == F.col("p_partkey")).select(F.concat(F.lit("legal_claim:"), "l_orderkey").alias("key"), F.concat_ws(" ", "p_brand", "p_name").alias("text"))
+    return containment.elements(_required_of_claims(t), shown).withColumn("evidence", F.array_join("evidence", "|"))
+
+
+@query("k12_legal_elements", f"{REQ}, {_NAMED}, {_ENABLED}, m AS (SELECT DISTINCT n.key, n.name, b FROM n JOIN g USING (key) WHERE {_RELATED}) SELECT key, name AS element, CASE WHEN (key, evidence_id) IN (SELECT src, dst FROM edges WHERE type = 'HAS_EVIDENCE') THEN 'satisfied' ELSE 'missing' END AS status, is_critical, CASE WHEN key IN (SELECT key FROM g) THEN (key, name) IN (SELECT key, name FROM m) END AS verified_in_graph, false AS from_graph_only FROM n UNION ALL SELECT key, upper(b[1]) || b[2:], 'unknown', false, true, true FROM g WHERE (key, b) NOT IN (SELECT key, b FROM m)")
+def _(t):
+    chains = t.lineitem.filter("l_returnflag = 'A'").join(t.part, F.col("l_partkey") == F.col("p_partkey")).select(F.concat(F.lit("legal_claim:"), "l_orderkey").alias("key"), F.col("p_brand").alias("name"))
+    presented = graph.hop(edges(t), "HAS_EVIDENCE", "key", "evidence_id")
+    return containment.legal_elements(_required_of_claims(t).withColumnRenamed("name", "text"), presented, chains)
+
+
 @query("e18_element_rates", f"{MATCHED} SELECT claim_type, count(*) AS n, count(*) FILTER (WHERE satisfied) AS satisfied, round(avg(CASE WHEN satisfied THEN 1.0 ELSE 0.0 END), 6) AS rate FROM m GROUP BY 1")
 def _(t):
     return _matched(t).groupBy("claim_type").agg(F.count(F.lit(1)).alias("n"), F.count_if("satisfied").alias("satisfied"), F.round(F.avg(F.col("satisfied").cast("int")), 6).alias("rate"))
@@ -222,6 +246,68 @@ def _(t):
     return stats.select("claim_type", "n", "strength", F.round(p, 6).alias("probability"), outcome.alias("outcome"))
 
 
+_ASKED = "q AS (SELECT conv_id || ':' || turn AS query_id, CASE turn % 3 WHEN 0 THEN '1-URGENT' WHEN 1 THEN 'none' END AS claim_type, CASE WHEN turn % 4 < 2 THEN conv_id || ' urgent' END AS text FROM conversations)"
+
+
+@query("k5_chain_cascade", f"""WITH {_ASKED}, d AS (SELECT 'legal_claim:' || o_orderkey AS id, o_orderpriority AS claim_type, {words_sql("o_orderkey || ' ' || o_orderpriority")} AS w FROM orders),
+  t1 AS (SELECT query_id, id, 'type' AS tier, row_number() OVER (PARTITION BY query_id ORDER BY id) AS place FROM q JOIN d USING (claim_type) QUALIFY place <= 5),
+  st AS (SELECT count(*) AS n, avg(len(w)) AS al FROM d), tf AS (SELECT id, len, term, count(*) AS tf FROM (SELECT id, len(w) AS len, unnest(w) AS term FROM d) GROUP BY ALL), df AS (SELECT term, count(*) AS df FROM tf GROUP BY 1),
+  s AS (SELECT query_id, id, round(sum(ln(1 + (n - df + 0.5) / (df + 0.5)) * tf * 2.2 / (tf + 1.2 * (0.25 + 0.75 * len / al))), 9) AS score FROM (SELECT query_id, unnest(list_distinct({words_sql("text")})) AS term FROM q WHERE text IS NOT NULL AND query_id NOT IN (SELECT query_id FROM t1 WHERE place = 5)) JOIN tf USING (term) JOIN df USING (term), st GROUP BY 1, 2),
+  w AS (SELECT query_id, id, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, id) AS r FROM s QUALIFY r <= 10),
+  t2 AS (SELECT query_id, id, 'words' AS tier, row_number() OVER (PARTITION BY query_id ORDER BY r) AS place FROM w WHERE (query_id, id) NOT IN (SELECT query_id, id FROM t1) QUALIFY place <= 5 - (SELECT count(*) FROM t1 WHERE t1.query_id = w.query_id)),
+  t3 AS (SELECT query_id, id, 'any' AS tier, row_number() OVER (PARTITION BY query_id ORDER BY id) AS place FROM q, (SELECT id FROM d ORDER BY id LIMIT 5) WHERE query_id NOT IN (SELECT query_id FROM t1 UNION SELECT query_id FROM t2))
+  SELECT query_id, id, tier, CAST(place AS INTEGER) AS place FROM (SELECT * FROM t1 UNION ALL SELECT * FROM t2 UNION ALL SELECT * FROM t3)""")
+def _(t):
+    turn = F.col("turn")
+    text = F.when(turn % 4 < 2, F.concat_ws(" ", "conv_id", F.lit("urgent")))
+    asked = t.conversations.select(F.concat_ws(":", "conv_id", "turn").alias("query_id"), F.when(turn % 3 == 0, "1-URGENT").when(turn % 3 == 1, "none").alias("claim_type"), text.alias("text"))
+    claims = t.orders.select(F.concat(F.lit("legal_claim:"), "o_orderkey").alias("id"), F.col("o_orderpriority").alias("claim_type"), F.concat_ws(" ", "o_orderkey", "o_orderpriority").alias("name"))
+    return tiers.chains_for(asked, claims, 5)
+
+
+SIMILAR = f"""{REQ}, q AS (SELECT claim_type AS query_id, claim_type, count(*) FILTER (WHERE is_critical) AS matched, count(*) AS total FROM required GROUP BY 1 UNION ALL SELECT DISTINCT jurisdiction, jurisdiction, 0, 0 FROM entities WHERE type = 'case_document'),
+  c AS (SELECT dst AS claim, min(src) AS k, (SELECT min(o.dst) FROM edges o WHERE o.type = 'RESULTS_IN' AND o.src = e.dst) AS outcome FROM edges e WHERE type = 'ADDRESSES' AND src LIKE 'case_document:%' GROUP BY dst),
+  t1 AS (SELECT query_id, l.id, 'claims' AS tier, row_number() OVER (PARTITION BY query_id ORDER BY l.id) AS place, k AS case_id, c.outcome AS o FROM q JOIN entities l ON l.type = 'legal_claim' AND l.claim_type = q.claim_type JOIN c ON c.claim = l.id QUALIFY place <= 7),
+  t2 AS (SELECT query_id, l.id, 'listed' AS tier, row_number() OVER (PARTITION BY query_id ORDER BY l.id) AS place, l.id AS case_id, NULL AS o FROM q JOIN entities l ON l.type = 'case_document' AND l.jurisdiction = q.claim_type AND l.outcome IS NOT NULL WHERE query_id NOT IN (SELECT query_id FROM t1 WHERE place = 7) QUALIFY place <= 7),
+  f AS (SELECT u.*, coalesce(e.outcome, o) AS outcome, CASE WHEN total > 0 THEN matched / total ELSE 0.5 END AS score FROM (SELECT * FROM t1 UNION ALL SELECT * FROM t2) u JOIN q USING (query_id) LEFT JOIN entities e ON e.id = case_id)"""
+
+
+def _similar(t):
+    ent = entities(t)
+    asked = required(t).groupBy("claim_type").agg(F.count_if("is_critical").alias("matched"), F.count(F.lit(1)).alias("total")).select(F.col("claim_type").alias("query_id"), "claim_type", "matched", "total")
+    cases = ent.filter("type = 'case_document'").select("id", F.array("jurisdiction").alias("claim_types"), "jurisdiction", "outcome")
+    places = cases.select(F.col("jurisdiction").alias("query_id"), F.col("jurisdiction").alias("claim_type"), F.lit(0).cast("long").alias("matched"), F.lit(0).cast("long").alias("total")).distinct()
+    claims = ent.filter("type = 'legal_claim'").select("id", "claim_type")
+    return tiers.similar_for(asked.unionByName(places), claims, graph.claim_cases(edges(t)), cases.drop("jurisdiction"), 7)
+
+
+@query("k15_similar_cases", f"{SIMILAR} SELECT query_id, id, tier, CAST(place AS INTEGER) AS place, case_id, outcome, round(score, 6) AS score FROM f")
+def _(t):
+    return _similar(t).withColumn("score", F.round("score", 6))
+
+
+@query("k17_case_documents", f"{SIMILAR}, r AS (SELECT query_id, case_id, score, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, place, case_id) AS rank FROM f QUALIFY rank <= 3) SELECT query_id, CAST(rank AS INTEGER) AS rank, case_id, e.name, e.jurisdiction, e.outcome FROM r JOIN entities e ON e.id = case_id")
+def _(t):
+    documents = entities(t).filter("type = 'case_document'").select(F.col("id").alias("case_id"), "name", "jurisdiction", "outcome")
+    return tiers.documents_of(_similar(t), documents, 3)
+
+
+@query("k13_strength_labels", f"{MATCHED}, k AS (SELECT claim, avg(CASE WHEN satisfied THEN 1.0 ELSE 0.0 END) AS s FROM m GROUP BY 1), c AS (SELECT dst AS claim, min(src) AS k FROM edges WHERE type = 'ADDRESSES' AND src LIKE 'case_document:%' GROUP BY 1), w AS (SELECT jurisdiction, count(*) FILTER (WHERE outcome = 'plaintiff_win') / nullif(count(*) FILTER (WHERE outcome IN ('plaintiff_win', 'defendant_win')), 0) AS rate FROM entities WHERE type = 'case_document' GROUP BY 1) SELECT k.claim, round(s, 6) AS strength, CASE WHEN s >= 0.7 THEN 'strong' WHEN s >= 0.4 THEN 'moderate' ELSE 'weak' END AS label, round(s * coalesce(rate, 1.0), 6) AS adjusted FROM k LEFT JOIN c ON c.claim = k.claim LEFT JOIN entities d ON d.id = c.k LEFT JOIN w ON w.jurisdiction = d.jurisdiction")
+def _(t):
+    ent = entities(t)
+    held = _matched(t).groupBy("claim").agg(F.avg(F.col("satisfied").cast("double")).alias("strength"))
+    cases = ent.filter("type = 'case_document'").select(F.col("id").alias("case"), "jurisdiction", "outcome")
+    place = graph.claim_cases(edges(t)).select("claim", "case").join(cases.select("case", "jurisdiction"), "case")
+    found = predict.precedent_strength(held, place.select("claim", "jurisdiction"), predict.win_rate(cases, "jurisdiction"))
+    return found.select("claim", F.round("strength", 6).alias("strength"), "label", F.round("adjusted", 6).alias("adjusted"))
+
+
+@query("k20_summaries", f"{MATCHED}, k AS (SELECT claim_type, claim, avg(CASE WHEN satisfied THEN 1.0 ELSE 0.0 END) AS s FROM m GROUP BY 1, 2), r AS (SELECT *, count(*) OVER (PARTITION BY claim_type) AS n FROM k QUALIFY row_number() OVER (PARTITION BY claim_type ORDER BY s DESC, claim) = 1) SELECT claim_type, n, claim AS strongest, round(s, 6) AS strength, CASE WHEN s >= 0.7 THEN 'strong' WHEN s >= 0.4 THEN 'moderate' ELSE 'weak' END AS label FROM r")
+def _(t):
+    held = _matched(t).groupBy("claim_type", "claim").agg(F.avg(F.col("satisfied").cast("double")).alias("strength"))
+    return predict.summaries(held, "claim_type").withColumn("strength", F.round("strength", 6))
+
+
 @query("k17_k20_case_summaries", f"{EE}, c AS (SELECT src AS id, count(*) AS n, min(dst) AS first FROM edges WHERE type = 'ADDRESSES' AND src LIKE 'case_document:%' GROUP BY 1) SELECT id, n, first, 'claims: ' || n || '; first: ' || first AS summary FROM c")
 def _(t):
     held = graph.hop(edges(t), "ADDRESSES", "id", "claim").filter(F.col("id").startswith("case_document:")).groupBy("id").agg(F.count(F.lit(1)).alias("n"), F.min("claim").alias("first"))
@@ -334,6 +420,14 @@ def _(t):
     return state.over_limit(state.request_counts(t.events, width="1 hour"), limits, 2)
 
 
+@query("n4_limited_requests", "SELECT event_id AS request_id, CAST(user_id AS VARCHAR) AS key, row_number() OVER (PARTITION BY user_id, epoch_ms(ts) // 3600000 ORDER BY ts, event_id) AS n, row_number() OVER (PARTITION BY user_id, epoch_ms(ts) // 3600000 ORDER BY ts, event_id) <= CASE event_type WHEN 'purchase' THEN 2 ELSE 1 END AS allowed FROM events")
+def _(t):
+    from graphloom.streaming import limits
+
+    requests = t.events.select(F.col("event_id").alias("request_id"), F.col("user_id").cast("string").alias("key"), F.col("event_type").alias("tier"), "ts")
+    return limits.limited_batch(requests, {"purchase": 2}, 1, 3_600_000)
+
+
 @query("n5_access_log", "SELECT CAST(ts AS DATE) AS day, user_id % 7 AS shard, count(*) AS requests, count(*) FILTER (WHERE event_type = 'error') AS errors, round(avg(value), 6) AS latency, round(quantile_cont(value, 0.95), 6) AS p95 FROM events GROUP BY 1, 2")
 def _(t):
     out = state.access_summary(t.events.withColumn("shard", F.col("user_id") % 7), "shard")

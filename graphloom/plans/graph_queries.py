@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from graphloom import dictionaries as d
 from graphloom.functions import text as tx
 from graphloom.operators import graph as g
 
@@ -95,11 +96,11 @@ def _(t):
     return g.related_laws(edges(t), entities(t))
 
 
-@query("d14_documents_naming_laws", "WITH m AS (SELECT DISTINCT p_name AS law, c.conv_id || ':' || c.turn AS id FROM part JOIN (SELECT o_orderkey AS conv_id, o_orderstatus AS turn, 'a ' || o_orderpriority || ' ' || p_name || ' order' AS text FROM orders JOIN lineitem ON l_orderkey = o_orderkey AND l_linenumber = 1 JOIN part ON p_partkey = l_partkey) c ON contains(' ' || lower(c.text) || ' ', ' ' || lower(p_name) || ' ')) SELECT law, id FROM (SELECT *, row_number() OVER (PARTITION BY law ORDER BY id) AS r FROM m) WHERE r <= 5")
+@query("d14_documents_naming_laws", "WITH m AS (SELECT DISTINCT p_name AS law, c.conv_id || ':' || c.turn AS id FROM (SELECT DISTINCT p_name FROM part) JOIN (SELECT o_orderkey AS conv_id, o_orderstatus AS turn, 'a ' || o_orderpriority || ' ' || p_name || ' order' AS text FROM orders JOIN lineitem ON l_orderkey = o_orderkey JOIN part ON p_partkey = l_partkey) c ON contains(' ' || lower(c.text) || ' ', ' ' || lower(p_name) || ' ')) SELECT law, id FROM (SELECT *, row_number() OVER (PARTITION BY law ORDER BY id) AS r FROM m) WHERE r <= 5")
 def _(t):
     from graphloom.operators.search import texts_naming
 
-    line = t.lineitem.filter("l_linenumber = 1").join(t.orders, F.col("l_orderkey") == F.col("o_orderkey")).join(t.part, F.col("l_partkey") == F.col("p_partkey"))
+    line = t.lineitem.join(t.orders, F.col("l_orderkey") == F.col("o_orderkey")).join(t.part, F.col("l_partkey") == F.col("p_partkey"))
     texts = line.select(F.concat_ws(":", "o_orderkey", "o_orderstatus").alias("id"), F.concat(F.lit("a "), "o_orderpriority", F.lit(" "), "p_name", F.lit(" order")).alias("text"))
     return texts_naming(t.part.select(F.col("p_name").alias("name")).distinct(), texts, 5).select(F.col("name").alias("law"), "id")
 
@@ -124,15 +125,15 @@ def _(t):
     return document_edges(held.select("document", "entity"), {"evidence": "HAS_EVIDENCE", "legal_outcome": "RESULTS_IN"})
 
 
-@query("d17_inferred_edges", f"{EE}, tok AS (SELECT DISTINCT id, type, jurisdiction, unnest(string_split_regex(lower(coalesce(name, '') || ' ' || coalesce(description, '')), '[^a-z0-9]+')) AS token FROM entities WHERE type IN ('law', 'evidence', 'legal_claim')), k AS (SELECT * FROM tok WHERE length(token) > 2), m AS (SELECT a.id AS src, b.id AS dst, 'ADDRESSES' AS type, count(*) AS shared FROM k a JOIN k b USING (token) WHERE a.type = 'law' AND b.type = 'legal_claim' GROUP BY 1, 2), n AS (SELECT a.id AS src, b.id AS dst, 'REQUIRES' AS type, count(*) AS shared FROM k a JOIN k b USING (token) WHERE a.type IN ('law', 'legal_claim') AND b.type = 'evidence' GROUP BY 1, 2) SELECT src, dst, type, shared FROM (SELECT * FROM m UNION ALL SELECT * FROM n) WHERE shared >= 1 AND (src, dst, type) NOT IN (SELECT src, dst, type FROM edges)")
-def _(t):
-    from graphloom.dictionaries import INFERENCE_RULES
+_RULES_SQL = "rules(a, b, rel) AS (VALUES " + ", ".join(f"('{a}', '{b}', '{c}')" for a, b, c in d.INFERENCE_RULES) + ")"
+
 
-    ent = entities(t).filter("type in ('law', 'evidence', 'legal_claim')")
-    tokens = tx.tokens(F.concat_ws(" ", F.coalesce("name", F.lit("")), F.coalesce("description", F.lit(""))), shortest=3)
-    held = ent.select("id", "type", "jurisdiction", tokens.alias("tokens"))
-    rules = t._spark.createDataFrame(INFERENCE_RULES, "src_type string, dst_type string, rel string")
-    return g.typed_pairs_by_tokens(held, held, rules, edges(t), least=1)
+@query("d17_inferred_edges", f"{EE}, {_RULES_SQL}, tok AS (SELECT DISTINCT id, type, lower(jurisdiction) AS j, unnest(string_split_regex(lower(coalesce(name, '') || ' ' || coalesce(description, '')), '[^a-z0-9]+')) AS token FROM entities), k AS (SELECT * FROM tok WHERE length(token) > 2 AND token NOT IN {d.INFERENCE_STOPWORDS}), m AS (SELECT x.id AS src, y.id AS dst, rel AS type, x.j = y.j AS same, count(*) AS shared FROM k x JOIN rules r ON r.a = x.type JOIN k y ON y.token = x.token AND y.type = r.b GROUP BY 1, 2, 3, 4) SELECT src, dst, type, shared FROM m WHERE (shared >= 2 OR (shared >= 1 AND same)) AND src <> dst AND (src, dst, type) NOT IN (SELECT src, dst, type FROM edges)")
+def _(t):
+    text = F.concat_ws(" ", F.coalesce("name", F.lit("")), F.coalesce("description", F.lit("")))
+    held = entities(t).select("id", "type", "jurisdiction", tx.tokens(text, d.INFERENCE_STOPWORDS, shortest=3).alias("tokens"))
+    rules = t._spark.createDataFrame(d.INFERENCE_RULES, "src_type string, dst_type string, rel string")
+    return g.typed_pairs_by_tokens(held, held, rules, edges(t))
 
 
 @query("d18_resolved_relations", "WITH d AS (SELECT o_custkey AS doc, o_orderkey AS id, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderkey) AS short FROM orders) SELECT a.doc AS doc, a.id AS src, b.id AS dst FROM d a JOIN d b ON a.doc = b.doc AND b.short = a.short + 1")

@@ -9,6 +9,8 @@ from pyspark.sql import functions as F
 
 from .catalog import Tables
 
+#: Courts that claims and laws are dealt to.
+COURTS = 1000
 _NONE = lambda: F.lit(None).cast("string")
 
 
@@ -20,13 +22,14 @@ def entities(t: Tables) -> DataFrame:
         return df.select(F.concat(F.lit(f"{kind}:"), key).alias("id"), F.lit(kind).alias("type"), name.alias("name"), *(v.alias(k) for k, v in cols.items()))
 
     text = lambda c: F.col(c).cast("string")
+    court = lambda c, word: F.concat(F.lit(f"{word} "), (F.col(c) % COURTS).cast("string"))
     outcome = F.when(F.col("c_acctbal") < 0, "defendant_win").when(F.col("c_acctbal") >= 5000, "plaintiff_win").otherwise("settlement")
     parts = [
-        rows(t.orders, "legal_claim", text("o_orderkey"), F.concat(F.lit("claim "), text("o_orderkey")), description=F.concat_ws(" ", "o_orderpriority", "o_orderstatus"), claim_type=F.col("o_orderpriority"), status=F.col("o_orderstatus")),
-        rows(t.part, "law", text("p_partkey"), F.col("p_name"), description=F.col("p_type")),
+        rows(t.orders, "legal_claim", text("o_orderkey"), F.concat(F.lit("claim "), text("o_orderkey")), description=F.concat_ws(" ", "o_orderpriority", "o_orderstatus"), jurisdiction=court("o_orderkey", "Court"), claim_type=F.col("o_orderpriority"), status=F.col("o_orderstatus")),
+        rows(t.part, "law", text("p_partkey"), F.col("p_name"), description=F.col("p_type"), jurisdiction=court("p_partkey", "court")),
         rows(t.supplier, "legal_outcome", text("s_suppkey"), F.col("s_name")),
         rows(t.customer, "case_document", text("c_custkey"), F.col("c_name"), jurisdiction=F.col("c_mktsegment"), outcome=outcome),
-        rows(t.part.select("p_brand").distinct(), "evidence", F.col("p_brand"), F.col("p_brand")),
+        rows(t.part.groupBy("p_brand").agg(F.concat_ws(" ", F.min("p_type"), F.min("p_name")).alias("about")), "evidence", F.col("p_brand"), F.col("p_brand"), description=F.col("about")),
         rows(t.nation, "jurisdiction", text("n_nationkey"), F.col("n_name")),
         rows(t.region, "legal_concept", text("r_regionkey"), F.col("r_name")),
     ]
@@ -71,12 +74,12 @@ def chunks(t: Tables, size: int = 1000) -> DataFrame:
     return cut.select(F.concat_ws(":", "source_id", "chunk_index").alias("chunk_id"), "source_id", F.col("chunk_index").cast("long").alias("chunk_index"), "lang", "source", F.col("start").cast("long").alias("start"), F.expr(f"substring(text, start + 1, {size})").alias("text"))
 
 
-ENTITIES_SQL = """entities AS (
-  SELECT 'legal_claim:' || o_orderkey AS id, 'legal_claim' AS type, 'claim ' || o_orderkey AS name, o_orderpriority || ' ' || o_orderstatus AS description, NULL::VARCHAR AS jurisdiction, o_orderpriority AS claim_type, o_orderstatus AS status, NULL::VARCHAR AS outcome FROM orders
-  UNION ALL SELECT 'law:' || p_partkey, 'law', p_name, p_type, NULL, NULL, NULL, NULL FROM part
+ENTITIES_SQL = f"""entities AS (
+  SELECT 'legal_claim:' || o_orderkey AS id, 'legal_claim' AS type, 'claim ' || o_orderkey AS name, o_orderpriority || ' ' || o_orderstatus AS description, 'Court ' || o_orderkey % {COURTS} AS jurisdiction, o_orderpriority AS claim_type, o_orderstatus AS status, NULL::VARCHAR AS outcome FROM orders
+  UNION ALL SELECT 'law:' || p_partkey, 'law', p_name, p_type, 'court ' || p_partkey % {COURTS}, NULL, NULL, NULL FROM part
   UNION ALL SELECT 'legal_outcome:' || s_suppkey, 'legal_outcome', s_name, NULL, NULL, NULL, NULL, NULL FROM supplier
   UNION ALL SELECT 'case_document:' || c_custkey, 'case_document', c_name, NULL, c_mktsegment, NULL, NULL, CASE WHEN c_acctbal < 0 THEN 'defendant_win' WHEN c_acctbal >= 5000 THEN 'plaintiff_win' ELSE 'settlement' END FROM customer
-  UNION ALL SELECT DISTINCT 'evidence:' || p_brand, 'evidence', p_brand, NULL, NULL, NULL, NULL, NULL FROM part
+  UNION ALL SELECT 'evidence:' || p_brand, 'evidence', p_brand, min(p_type) || ' ' || min(p_name), NULL, NULL, NULL, NULL FROM part GROUP BY p_brand
   UNION ALL SELECT 'jurisdiction:' || n_nationkey, 'jurisdiction', n_name, NULL, NULL, NULL, NULL, NULL FROM nation
   UNION ALL SELECT 'legal_concept:' || r_regionkey, 'legal_concept', r_name, NULL, NULL, NULL, NULL, NULL FROM region)"""
 EDGES_SQL = """edges AS (

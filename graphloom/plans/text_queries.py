@@ -163,7 +163,7 @@ def _(t):
     return t.orders.select("o_orderkey", tx.docket(line).alias("docket"))
 
 
-@query("h6_procedural_history", "SELECT o_orderkey, strftime(o_orderdate, '%Y-%m-%d') || ' filed,' || strftime(o_orderdate + INTERVAL 40 DAY, '%Y-%m-%d') || ' decided' AS history FROM orders")
+@query("h6_procedural_history", "SELECT o_orderkey, strftime(o_orderdate, '%Y-%m-%d') || ' filed,' || strftime(o_orderdate + INTERVAL 40 DAY, '%Y-%m-%d') || ' decision' AS history FROM orders")
 def _(t):
     day = lambda n: F.date_format(F.date_add("o_orderdate", n), "MMMM d, yyyy")
     events = tx.procedural_history(F.concat(F.lit("Decided on "), day(40), F.lit("; it was filed "), day(0), F.lit(".")))
@@ -178,6 +178,51 @@ def _(t):
     return t.orders.select("o_orderkey", tx.parse_date(text).alias("day"), tx.normal_date(text).alias("iso"))
 
 
+def _by_remainder(column: str, forms) -> object:
+    """A text for each remainder of a key; none for the others."""
+    out = F.lit(None).cast("string")
+    for k, form in enumerate(forms):
+        out = F.when(F.col(column) % len(forms) == k, form).otherwise(out)
+    return out
+
+
+@query("h5_docket_forms", "SELECT o_orderkey, CASE o_orderkey % 8 WHEN 0 THEN 'AB-' || o_orderkey || '/20' WHEN 1 THEN o_orderkey || '-20/NY' WHEN 2 THEN CAST(o_orderkey AS VARCHAR) WHEN 3 THEN 'x/' || o_orderkey WHEN 4 THEN (o_orderkey + 10000) || '/2021' WHEN 6 THEN 'No' END AS docket FROM orders")
+def _(t):
+    n = F.col("o_orderkey").cast("string")
+    around = lambda before, x, after: F.concat(F.lit(before), x, F.lit(after))
+    line = _by_remainder("o_orderkey", (around("Docket Number: AB-", n, "/20, sealed"), around("see LT-", n, "-20/NY 5"), around("index no.", n, " of it"), around("CASE NUMBER x/", n, ""), around("ref ", F.col("o_orderkey") + 10000, "/2021 here"), around("ref ", F.col("o_orderkey") % 10000, "/2021 here"), around("Case No. No ", n, ""), F.lit(None).cast("string")))
+    return t.orders.select("o_orderkey", tx.docket(line).alias("docket"))
+
+
+_TOLD = (("commenced in", "filed"), ("Response on", "answered"), ("motion filed", "motion"), ("ruling rendered", "decision"), ("service", "served"), ("heard on", None))
+
+
+@query("h6_events", """WITH x AS (SELECT o_orderkey, o_orderdate AS a, o_orderdate - INTERVAL 9 DAY AS b, o_orderkey % 6 AS k FROM orders), v AS (SELECT o_orderkey, b AS day, 0 AS seq, 'filed' AS event, 'filed ' || strftime(b, '%B %-d %Y') AS said FROM x
+  UNION ALL SELECT o_orderkey, a, k, (['filed', 'answered', 'motion', 'decision', 'served'])[k + 1], (['commenced in', 'Response on', 'motion filed', 'ruling rendered', 'service'])[k + 1] || ' ' || strftime(a, '%B %-d, %Y') FROM x WHERE k < 5
+  UNION ALL SELECT o_orderkey, a, 0, 'filed', 'filed ' || strftime(a, '%B %-d, %Y') FROM x WHERE k = 2)
+  SELECT o_orderkey, string_agg(strftime(day, '%Y-%m-%d') || ' ' || event || ' ' || said, ',' ORDER BY day, seq) AS history FROM v GROUP BY 1""")
+def _(t):
+    day, told = lambda n, f: F.date_format(F.date_add("o_orderdate", n), f), _by_remainder("o_orderkey", [F.lit(w) for w, _ in _TOLD])
+    events = tx.procedural_history(F.concat(F.lit("It says: "), told, F.lit(" "), day(0, "MMMM d, yyyy"), F.lit("; it was filed "), day(-9, "MMMM d yyyy"), F.lit(".")))
+    return t.orders.select("o_orderkey", F.array_join(F.transform(events, lambda e: F.concat_ws(" ", e["date"].cast("string"), e["event"], e["description"])), ",").alias("history"))
+
+
+@query("h7_date_forms", "SELECT o_orderkey, CASE WHEN o_orderkey % 17 IN (2, 10, 13) AND day(o_orderdate) <= 12 THEN make_date(year(o_orderdate), day(o_orderdate), month(o_orderdate)) WHEN o_orderkey % 17 = 15 THEN make_date(year(o_orderdate), 1, 1) WHEN o_orderkey % 17 = 16 THEN NULL ELSE CAST(o_orderdate AS DATE) END AS day FROM orders")
+def _(t):
+    form = lambda f: F.date_format("o_orderdate", f)
+    forms = ("yyyy-MM-dd", "M/d/yyyy", "d/M/yyyy", "MMMM d, yyyy", "d MMMM yyyy", "MMM d, yyyy", "d MMM yyyy", "yyyy-MM-dd'T'HH:mm:ss", "yyyy-MM-dd'T'HH:mm:ss'Z'", "M-d-yyyy", "d-M-yyyy", "yyyy/M/d", "M.d.yyyy", "d.M.yyyy", "'entered on 'yyyy-M-d' at noon'", "'in or about 'yyyy")
+    text = _by_remainder("o_orderkey", [F.upper(form(f)) if f == "MMMM d, yyyy" else form(f) for f in forms] + [F.lit("undated")])
+    return t.orders.select("o_orderkey", tx.parse_date(text).alias("day"))
+
+
+_COURTS = ("Supreme Court of Kings", "Court of Appeals", "District Court of Nassau", "HOUSING COURT", "Civil Court of the City", "Family Court", "Criminal Court of Queens", "Bronx County Court", "Ohio State Court", "bench")
+
+
+@query("h9_courts", f"SELECT c_custkey, CASE WHEN c_custkey % 10 < 9 THEN ({list(_COURTS)})[c_custkey % 10 + 1] END AS court FROM customer")
+def _(t):
+    return t.customer.select("c_custkey", tx.court(F.concat(F.lit("before the "), _by_remainder("c_custkey", [F.lit(c) for c in _COURTS]), F.lit(", Part 4\nand others"))).alias("court"))
+
+
 @query("h10_amounts", "SELECT o_orderkey, round(CAST(CAST(round(o_totalprice, 2) AS DECIMAL(18, 2)) AS DOUBLE), 2) AS amount FROM orders")
 def _(t):
     return t.orders.select("o_orderkey", F.round(tx.amount(F.concat(F.lit("an award of $"), F.format_number(F.round("o_totalprice", 2), 2), F.lit(" plus interest"))), 2).alias("amount"))
