@@ -14,7 +14,8 @@ All of it is DataFrame code: the features are column expressions, and the trees
 are grown and applied by the JVM.
 
 Defined results: a null text is empty. Positions count code points, ends are
-exclusive. A document without a candidate has no row. Repeated rows give
+exclusive. A document without a candidate has no row. Very long texts and
+candidates are taken whole, in time that grows with their length. Repeated rows give
 repeated results; empty tables give none. Other columns are ignored.
 """
 
@@ -69,9 +70,11 @@ def features() -> list[Column]:
     shape = F.translate(m, string.ascii_lowercase + string.ascii_uppercase + string.digits + "_/+=-.", "a" * 26 + "B" * 26 + "9" * 10 + "~" * 6)
     moves = F.greatest(n - 1, F.lit(1.0))
     low, logs = F.lower(m), F.array(*map(F.lit, pair_logs()))
-    letter = lambda i: F.ascii(F.substring(low, i, F.lit(1))) - ord("a")
-    both = lambda i: letter(i).between(0, 25) & letter(i + 1).between(0, 25)
-    sums = F.aggregate(F.sequence(F.lit(1), F.greatest(F.length(m) - 1, F.lit(1))), F.struct(F.lit(0.0).alias("s"), F.lit(0).alias("n")), lambda acc, i: F.when(both(i), F.struct((acc["s"] + F.get(logs, letter(i) * 26 + letter(i + 1))).alias("s"), (acc["n"] + 1).alias("n"))).otherwise(acc))
+    # Letters as an array, once: neighbours are it and its shift, so a long token costs what its length does.
+    codes = F.transform(F.split(low, ""), lambda c: F.ascii(c) - ord("a"))
+    letter = lambda c: c.between(0, 25)
+    places = F.filter(F.zip_with(codes, F.slice(codes, F.lit(2), F.greatest(F.length(m), F.lit(1))), lambda a, b: F.when(letter(a) & letter(b), a * 26 + b)), lambda p: p.isNotNull())
+    sums = F.aggregate(places, F.struct(F.lit(0.0).alias("s"), F.lit(0).alias("n")), lambda acc, p: F.struct((acc["s"] + F.get(logs, p)).alias("s"), (acc["n"] + 1).alias("n")))
     share = lambda p: F.length(F.regexp_replace(m, p, "")) / n
     word = lambda side, words: side.rlike(r"(?<![a-z])(?:" + "|".join(words) + r")(?![a-z])").cast("double")
     covered = 1 - F.length(F.regexp_replace(low, "|".join(sorted(DICTIONARY, key=lambda w: (-len(w), w))), "")) / n

@@ -17,7 +17,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .base import settle, text_of
+from .base import named, settle, text_of
 
 BLANK = r"\x20\x09-\x0D"
 _ITEM = "struct<kind:string,i:int,gap:int,match:string,first:string,tail:string>"
@@ -50,7 +50,7 @@ def matches(docs: DataFrame, id_col: str, text_col: str, patterns: dict[str, tup
     ``patterns``: kind to (pattern, a cheap condition on the text without which nothing matches, or None).
     """
     text, none, ends = F.col("the text"), F.array().cast(f"array<{_ITEM}>"), _LETTERS if letters else _WORDS
-    source = docs.select(F.monotonically_increasing_id().alias("uid"), F.col(id_col).alias("doc_id"), text_of(text_col).alias("the text"))
+    source = docs.select(F.monotonically_increasing_id().alias("uid"), named(id_col).alias("doc_id"), text_of(text_col).alias("the text"))
     arrays = []
     for kind, (pattern, hint) in patterns.items():
         test = text.rlike(pattern) if hint is None else hint(text) & text.rlike(pattern)
