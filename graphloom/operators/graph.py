@@ -14,6 +14,8 @@ from graphloom.storage import settled
 
 #: Shared tokens up to which they are sent to all tasks; beyond it they are joined by shuffle.
 SENT_TOKENS = 100_000
+#: Seeds up to which a scan of edges is told them.
+SENT_SEEDS = 1000
 
 
 def undirected(edges: DataFrame) -> DataFrame:
@@ -50,7 +52,11 @@ def missing_nodes(edges: DataFrame, ids: DataFrame) -> DataFrame:
 
 def neighbours(edges: DataFrame, seeds: DataFrame, per_node: int = 10) -> DataFrame:
     """seed, other, type, direction: at most ``per_node`` neighbours of each seed and direction, in order of other and type."""
-    held = seeds.select(F.col("id").alias("seed")).distinct()
+    held = settled(seeds.select(F.col("id").alias("seed")).distinct(), "seeds")
+    ids = held.limit(SENT_SEEDS + 1).collect()
+    if len(ids) <= SENT_SEEDS:  # few seeds go to the scans as a filter
+        ids = [r.seed for r in ids]
+        edges = edges.filter(F.col("src").isin(ids) | F.col("dst").isin(ids)) if ids else edges.filter("false")
     way = lambda a, b, direction: F.struct(F.col(a).alias("seed"), F.col(b).alias("other"), F.lit(direction).alias("direction"))
     ways = edges.select("type", F.explode(F.array(way("src", "dst", "out"), way("dst", "src", "in"))).alias("way"))
     near = ways.select("way.seed", "way.other", "type", "way.direction").join(held, "seed", "left_semi")
@@ -132,6 +138,14 @@ def claim_cases(edges: DataFrame, case_edge: str = "ADDRESSES", case_prefix: str
     return cases.join(outcomes, "claim", "left")
 
 
+def stored_claims(entities: DataFrame, edges: DataFrame, document_id: str, evidence_edge: str = "HAS_EVIDENCE") -> DataFrame:
+    """claim, name, evidence: the claims stored for a document, whose id begins theirs, with the names of their linked evidence in order of its id."""
+    claims = entities.filter((F.col("type") == "legal_claim") & F.col("id").startswith(document_id)).select(F.col("id").alias("claim"), "name")
+    linked = hop(edges, evidence_edge, "claim", "evidence").filter(F.col("claim").startswith(document_id)).join(entities.select(F.col("id").alias("evidence"), F.col("name").alias("said")), "evidence")
+    lists = linked.groupBy("claim").agg(F.transform(F.array_sort(F.collect_list(F.struct("evidence", "said"))), lambda x: x["said"]).alias("evidence"))
+    return claims.join(lists, "claim", "left").withColumn("evidence", F.coalesce("evidence", F.array().cast("array<string>")))
+
+
 def case_profiles(entities: DataFrame, edges: DataFrame) -> DataFrame:
     """case, n_claims, n_outcomes: distinct claims next to each case document and their outcomes."""
     cases = entities.filter("type = 'case_document'").select(F.col("id").alias("case"))

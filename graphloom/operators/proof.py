@@ -9,6 +9,8 @@ from pyspark.sql import functions as F
 from graphloom import dictionaries as d
 from graphloom.functions import text as tx
 
+from .graph import first_per
+
 
 def satisfied_by_name(claims: DataFrame, required: DataFrame, presented: DataFrame) -> DataFrame:
     """claim, evidence_id, is_critical, satisfied: the requirements of each claim's type, and whether the claim has that evidence.
@@ -128,3 +130,24 @@ def verified(laws: DataFrame, remedies: DataFrame, entities: DataFrame, edges: D
 def rendered(nodes: Column) -> Column:
     """`type: name -> ...` of array<struct<type, name>>."""
     return F.array_join(F.transform(nodes, lambda n: F.concat_ws(": ", n["type"], n["name"])), " -> ")
+
+
+def processed_matches(matches: DataFrame, known: DataFrame, required: DataFrame, cap: int = 3) -> DataFrame:
+    """query_id, rank, claim_type, completeness, strength, evidence_ids: what a model matched, made to fit the graph.
+
+    Tables: matches (query_id, raw, evidence array<struct<name, score>>), known (raw in upper case, claim_type: what the raw names
+    are nearest to), required (claim_type, evidence_id, name, is_critical). A match of unknown type is dropped. A type without requirements has
+    those that the match names, none critical. Assessed evidence has the id of the requirement of its name, else one made of its name.
+    """
+    made = lambda head, name: F.concat(head, F.replace(F.lower(name), F.lit(" "), F.lit("_")))
+    held = matches.withColumn("raw", F.upper("raw")).join(known.select("raw", "claim_type"), "raw").groupBy("query_id", "claim_type").agg(F.first("evidence").alias("evidence"))
+    said = held.select("query_id", "claim_type", F.explode("evidence").alias("e")).select("query_id", "claim_type", F.col("e.name").alias("name"), F.col("e.score").alias("score")).groupBy("query_id", "claim_type", "name").agg(F.max("score").alias("score"))
+    asked = required.select("claim_type", "evidence_id", "name", "is_critical")
+    stated = held.select("query_id", "claim_type").join(asked, "claim_type")
+    bare = said.join(asked.select("claim_type").distinct(), "claim_type", "left_anti")
+    own = bare.select("query_id", "claim_type", made(F.concat(F.lit("fallback_"), "claim_type", F.lit("_")), F.col("name")).alias("evidence_id"), "name", F.lit(False).alias("is_critical"))
+    wanted = stated.select(*own.columns).unionByName(own)
+    scored = wanted.join(said, ["query_id", "claim_type", "name"], "left").groupBy("query_id", "claim_type").agg(completeness(F.col("is_critical"), F.coalesce("score", F.lit(0.0))).alias("completeness"))
+    ids = said.join(wanted.select("query_id", "claim_type", "name", "evidence_id"), ["query_id", "claim_type", "name"], "left").groupBy("query_id", "claim_type").agg(F.array_sort(F.collect_set(F.coalesce("evidence_id", made(F.lit("synthetic_"), F.col("name"))))).alias("evidence_ids"))
+    met = scored.join(ids, ["query_id", "claim_type"], "left").withColumn("strength", strength(F.col("completeness")))
+    return first_per(met, ["query_id"], [F.desc(F.round("completeness", 9)), "claim_type"], cap).select("query_id", "rank", "claim_type", "completeness", "strength", "evidence_ids")

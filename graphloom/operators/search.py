@@ -79,6 +79,12 @@ def snippets(chunks: DataFrame, word: str, size: int = 600, top: int = 20) -> Da
     return chunks.filter(F.lower("text").contains(word.lower())).select("chunk_id", F.substring("text", 1, size).alias("snippet")).orderBy("chunk_id").limit(top)
 
 
+def quotes(rows: DataFrame, chunks: DataFrame, word: str, top: int = 10, size: int = 600) -> DataFrame:
+    """id, quote, snippet: the first quotes (id, chunk_id, text) that contain the word, whatever its case, with the beginning of their chunks (chunk_id, text)."""
+    found = rows.filter(F.lower("text").contains(word.lower())).orderBy("id").limit(top).select("id", "chunk_id", F.col("text").alias("quote"))
+    return found.join(chunks.select("chunk_id", F.substring("text", 1, size).alias("snippet")), "chunk_id", "left").select("id", "quote", "snippet")
+
+
 def texts_naming(names: DataFrame, texts: DataFrame, per_name: int = 5) -> DataFrame:
     """name, id: texts that contain a name as a run of whole words, up to ``per_name`` of each.
 

@@ -162,6 +162,22 @@ def _(t):
     return graph.first_per(held, ["claim_type"], [F.desc("score"), "claim"], 3).drop("rank")
 
 
+@query("k6_processed_matches", f"""{with_sql(REQUIRED_SQL)}, raw AS (SELECT conv_id || ':' || turn AS query_id, unnest([CASE turn % 4 WHEN 0 THEN '1-urgent' WHEN 1 THEN '2_high' WHEN 2 THEN 'nothing' ELSE '9-none' END, '4-not specified', '3-medium', '5-low']) AS raw FROM conversations),
+  n AS (SELECT DISTINCT query_id, CASE WHEN raw = '2_high' THEN '2-HIGH' ELSE upper(raw) END AS claim_type FROM raw WHERE raw <> 'nothing'), a(name, score) AS (VALUES ('Brand#1', 0.8::DOUBLE), ('Lease copy', 0.5::DOUBLE), ('Brand#15', 1.0::DOUBLE)),
+  r AS (SELECT query_id, claim_type, evidence_id, name, is_critical FROM n JOIN required USING (claim_type) UNION ALL SELECT query_id, claim_type, 'fallback_' || claim_type || '_' || replace(lower(name), ' ', '_'), name, false FROM n, a WHERE claim_type NOT IN (SELECT claim_type FROM required)),
+  k AS (SELECT query_id, claim_type, sum(w * coalesce(score, 0)) / sum(w) AS c FROM (SELECT r.*, CASE WHEN is_critical THEN 2.0::DOUBLE ELSE 1.0::DOUBLE END AS w, score FROM r LEFT JOIN a USING (name)) GROUP BY 1, 2),
+  i AS (SELECT n.query_id, n.claim_type, string_agg(coalesce(r.evidence_id, 'synthetic_' || replace(lower(a.name), ' ', '_')), ',' ORDER BY coalesce(r.evidence_id, 'synthetic_' || replace(lower(a.name), ' ', '_'))) AS evidence_ids FROM n CROSS JOIN a LEFT JOIN r ON r.query_id = n.query_id AND r.claim_type = n.claim_type AND r.name = a.name GROUP BY 1, 2)
+  SELECT query_id, CAST(row_number() OVER (PARTITION BY query_id ORDER BY round(c, 9) DESC, claim_type) AS INTEGER) AS rank, claim_type, round(c, 6) AS completeness, CASE WHEN c >= 0.8 THEN 'strong' WHEN c >= 0.5 THEN 'moderate' ELSE 'weak' END AS strength, evidence_ids FROM k JOIN i USING (query_id, claim_type) QUALIFY rank <= 3""")
+def _(t):
+    turn, text = F.col("turn") % 4, F.lit
+    evidence = F.array(*(F.struct(text(n).alias("name"), text(x).alias("score")) for n, x in (("Brand#1", 0.8), ("Lease copy", 0.5), ("Brand#15", 1.0))))
+    first = F.when(turn == 0, "1-urgent").when(turn == 1, "2_high").when(turn == 2, "nothing").otherwise("9-none")
+    matches = t.conversations.select(F.concat_ws(":", "conv_id", "turn").alias("query_id"), F.explode(F.array(first, text("4-not specified"), text("3-medium"), text("5-low"))).alias("raw"), evidence.alias("evidence"))
+    types = required(t).select(F.col("claim_type").alias("raw"), "claim_type").distinct()
+    known = types.unionByName(t._spark.createDataFrame([("2_HIGH", "2-HIGH"), ("9-NONE", "9-NONE")], "raw string, claim_type string"))
+    return proof.processed_matches(matches, known, required(t)).withColumns({"completeness": F.round("completeness", 6), "evidence_ids": F.array_join("evidence_ids", ",")})
+
+
 @query("k7_next_steps", f"{MATCHED}, k AS (SELECT claim, sum(CASE WHEN satisfied THEN w ELSE 0 END) / sum(w) AS c FROM (SELECT *, CASE WHEN is_critical THEN 2.0::DOUBLE ELSE 1.0::DOUBLE END AS w FROM m) GROUP BY 1), g AS (SELECT claim, evidence_id, row_number() OVER (PARTITION BY claim ORDER BY evidence_id) AS r FROM m WHERE is_critical AND NOT satisfied), s AS (SELECT claim, 1 AS rule, r AS k, 'critical' AS priority, 'Obtain ' || evidence_id AS action FROM g WHERE r <= 3 UNION ALL SELECT claim, 2, 0, 'high', 'Rely on the chain' FROM k WHERE c > 0.6 UNION ALL SELECT claim, 4, 0, 'medium', 'Contact legal aid' FROM k WHERE c > 0.5 UNION ALL SELECT claim, 5, 0, 'low', 'Document everything' FROM k) SELECT claim, CAST(row_number() OVER (PARTITION BY claim ORDER BY rule, k) AS INT) AS rank, priority, action FROM s")
 def _(t):
     matched = _matched(t)

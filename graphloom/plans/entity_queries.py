@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from graphloom import dictionaries as d
 from graphloom.functions import text as tx
 from graphloom.operators import candidates, dedup, graph, retrieval, search, vectors
+from graphloom.operators.chunking import SENTENCE
 from graphloom.sources import manifest, pages
 
 from .catalog import query
@@ -219,6 +220,13 @@ def _(t):
     return search.snippets(chunks(t), "Therinor")
 
 
+@query("c12_quote_search", f"{CH}, q AS (SELECT doc_id AS id, doc_id || ':0' AS chunk_id, regexp_extract(text, '[^.!?\\n]+[.!?]') AS text FROM documents), f AS (SELECT * FROM q WHERE contains(lower(text), 'ing') ORDER BY id LIMIT 25) SELECT f.id, f.text AS quote, substr(c.text, 1, 600) AS snippet FROM f LEFT JOIN chunks c USING (chunk_id)")
+def _(t):
+    first = F.regexp_extract("text", SENTENCE, 0)
+    held = t.documents.select(F.col("doc_id").alias("id"), F.concat(F.col("doc_id").cast("string"), F.lit(":0")).alias("chunk_id"), first.alias("text"))
+    return search.quotes(held, chunks(t), "ING", 25)
+
+
 @query("c13_c14_chunk_lookups", f"{CH} SELECT chunk_id, chunk_index FROM chunks WHERE source_id IN ('3', '8', '21') AND lang = 'fr' ORDER BY source_id, chunk_index")
 def _(t):
     return chunks(t).filter(F.col("source_id").isin("3", "8", "21") & (F.col("lang") == "fr")).orderBy("source_id", "chunk_index").select("chunk_id", "chunk_index")
@@ -234,6 +242,11 @@ def _(t):
     return entities(t).filter("claim_type = '2-HIGH' and startswith(id, 'legal_claim:1')").orderBy("id").limit(40).select("id", "status")
 
 
+@query("c17_stored_claims", f"{EE} SELECT c.id AS claim, c.name, coalesce(string_agg(n.name, ',' ORDER BY n.id), '') AS evidence FROM entities c LEFT JOIN edges e ON e.src = c.id AND e.type = 'HAS_EVIDENCE' LEFT JOIN entities n ON n.id = e.dst WHERE c.type = 'legal_claim' AND starts_with(c.id, 'legal_claim:12') GROUP BY 1, 2")
+def _(t):
+    return graph.stored_claims(entities(t), edges(t), "legal_claim:12").withColumn("evidence", F.array_join("evidence", ","))
+
+
 @query("c18_retrieval_types", f"{EE} SELECT type, count(*) AS n FROM entities WHERE type IN ({', '.join(repr(x) for x in d.RETRIEVAL_TYPES)}) GROUP BY 1")
 def _(t):
     return entities(t).filter(F.col("type").isin(*d.RETRIEVAL_TYPES)).groupBy("type").agg(F.count(F.lit(1)).alias("n"))

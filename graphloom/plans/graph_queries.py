@@ -39,7 +39,7 @@ def _(t):
 
 @query("d4_legal_chains", f"{EE} SELECT a.src AS law, a.dst AS claim, b.dst AS outcome, c.src AS case_id FROM edges a JOIN edges b ON a.dst = b.src AND b.type = 'RESULTS_IN' JOIN edges c ON c.dst = a.dst AND c.type = 'ADDRESSES' AND c.src LIKE 'case_document:%' JOIN entities e ON e.id = c.src AND e.jurisdiction = 'BUILDING' WHERE a.type = 'ENABLES'")
 def _(t):
-    e = edges(t)
+    e = edges(t, ("law", "legal_claim", "legal_outcome", "case_document"))
     held = entities(t).filter("jurisdiction = 'BUILDING'").select(F.col("id").alias("case_id"))
     paths = g.chains(e, [("law", "ENABLES", "claim"), ("claim", "RESULTS_IN", "outcome"), ("case_id", "ADDRESSES", "claim")])
     return paths.filter(F.col("case_id").startswith("case_document:")).join(held, "case_id", "left_semi").select("law", "claim", "outcome", "case_id")
@@ -62,12 +62,12 @@ LAWS = f"{ALL} SELECT claim_type, law, name, citations FROM (SELECT c.claim_type
 
 @query("d7_laws_for_claim_type", LAWS)
 def laws_for_claim_type(t):
-    return g.laws_for_claims(entities(t), edges(t))
+    return g.laws_for_claims(entities(t), edges(t, ("law", "legal_claim")))
 
 
 @query("d8_remedies_for_claim_type", f"{EE}, d AS (SELECT c.claim_type, e.dst AS outcome, count(*) AS n FROM edges e JOIN entities c ON c.id = e.src AND c.type = 'legal_claim' WHERE e.type IN ('RESULTS_IN', 'ENABLES') GROUP BY 1, 2), v AS (SELECT c.claim_type, a.dst AS outcome, count(*) AS n FROM edges e JOIN entities c ON c.id = e.dst AND c.type = 'legal_claim' JOIN edges a ON a.src = e.src AND a.type = 'AUTHORIZES' WHERE e.type IN ('ADDRESSES', 'ENABLES', 'CITES') GROUP BY 1, 2), b AS (SELECT x.claim_type, trim(regexp_replace(o.name, '[$][0-9,.]+|#', '', 'g')) AS remedy, CAST(sum(n) AS BIGINT) AS citations FROM (SELECT * FROM d UNION ALL SELECT * FROM v) x JOIN entities o ON o.id = x.outcome AND o.type = 'legal_outcome' GROUP BY 1, 2) SELECT claim_type, remedy, citations FROM (SELECT *, row_number() OVER (PARTITION BY claim_type ORDER BY citations DESC, remedy) AS r FROM b) WHERE r <= 6")
 def _(t):
-    return g.remedies_for_claims(entities(t), edges(t), F.trim(F.regexp_replace("name", "[$][0-9,.]+|#", "")))
+    return g.remedies_for_claims(entities(t), edges(t, ("law", "legal_claim", "legal_outcome")), F.trim(F.regexp_replace("name", "[$][0-9,.]+|#", "")))
 
 
 @query("d9_d10_claim_cases", f"{EE} SELECT dst AS claim, min(src) AS \"case\", (SELECT min(o.dst) FROM edges o WHERE o.type = 'RESULTS_IN' AND o.src = e.dst) AS outcome FROM edges e WHERE type = 'ADDRESSES' AND src LIKE 'case_document:%' GROUP BY dst")
