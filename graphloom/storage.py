@@ -23,12 +23,18 @@ def shared_root(spark: SparkSession) -> str:
     return root.rstrip("/")
 
 
+def _folder(spark: SparkSession, path: str):
+    place = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return place, place.getFileSystem(spark._jsc.hadoopConfiguration())
+
+
 def scratch_path(spark: SparkSession, label: str) -> str:
     """A new place in the shared folder; what is written there goes when the session ends."""
     path = f"{shared_root(spark)}/{label}-{uuid.uuid4().hex}"
-    target = spark._jvm.org.apache.hadoop.fs.Path(path)
-    target.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(target)
-    return path
+    place, fs = _folder(spark, path)
+    fs.mkdirs(place)
+    fs.deleteOnExit(place)  # only of what exists, so the place itself is a folder within it
+    return f"{path}/data"
 
 
 def settled(df: DataFrame, label: str = "table") -> DataFrame:
@@ -38,8 +44,10 @@ def settled(df: DataFrame, label: str = "table") -> DataFrame:
     ``release`` deletes the files; the rest go when the session ends.
     """
     spark = df.sparkSession
-    path = scratch_path(spark, label)
+    path = f"{shared_root(spark)}/{label}-{uuid.uuid4().hex}"
     df.write.option("compression", "zstd").parquet(path)
+    place, fs = _folder(spark, path)
+    fs.deleteOnExit(place)
     out = spark.read.schema(df.schema).parquet(path)
     setattr(out, _PLACE, path)
     return out
