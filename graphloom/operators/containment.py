@@ -56,7 +56,8 @@ def elements(chains: DataFrame, present: DataFrame) -> DataFrame:
     named = chains.select("key", "name", F.lower("name").alias("part")).filter("part <> ''").distinct()
     shown = present.select("key", "text", F.lower("text").alias("whole")).filter("whole <> ''").distinct()
     pairs = contained(named.select(F.col("part").alias("text")), shown.select(F.col("whole").alias("text")))
-    found = named.join(pairs, "part").join(shown, ["key", "whole"]).groupBy("key", "name").agg(F.array_sort(F.collect_set("text")).alias("evidence"))
+    # A case's own texts bring the parts that they contain; by part alone every case would meet every text with it.
+    found = shown.join(pairs, "whole").join(named, ["key", "part"]).groupBy("key", "name").agg(F.array_sort(F.collect_set("text")).alias("evidence"))
     held = named.select("key", "name").join(found, ["key", "name"], "left")
     return held.select("key", F.col("name").alias("element"), F.col("evidence").isNotNull().alias("satisfied"), F.coalesce("evidence", F.array().cast("array<string>")).alias("evidence"))
 
