@@ -311,9 +311,9 @@ def html_text(x: Column | str, least: int = 100) -> Column:
     return F.when(F.length(out) > least, out)
 
 
-def headings(x: Column | str) -> Column:
-    """array<struct<title, body>>: sections between lines that are headings (capitals, or numbered), empty ones dropped."""
-    pattern = r"^\s*(?:[A-Z][A-Z\s\-]{3,}|[0-9]+\.[0-9.]*\s+.+)$"
+def sections(x: Column | str) -> Column:
+    """array<struct<title, body>>: what lies between lines that are headings (capitals, or numbered), empty ones dropped; none of a text of headings alone."""
+    pattern = r"(?s)\A\s*(?:[A-Z][A-Z\s\-]{3,}|[0-9]+\.[0-9.]*\s+.+)\z"
     lines = F.split(_c(x), "\n")
     start = F.struct(F.array().cast("array<struct<title:string,body:string>>").alias("done"), F.lit(None).cast("string").alias("title"), F.lit("").alias("body"))
 
@@ -324,8 +324,13 @@ def headings(x: Column | str) -> Column:
     def step(s: Column, line: Column) -> Column:
         return F.when(line.rlike(pattern), F.struct(close(s).alias("done"), F.trim(line).alias("title"), F.lit("").alias("body"))).otherwise(F.struct(s["done"].alias("done"), s["title"].alias("title"), F.concat(s["body"], line, F.lit("\n")).alias("body")))
 
-    sections = F.aggregate(lines, start, step, close)
-    return F.when(F.size(sections) > 0, sections).otherwise(F.array(F.struct(F.lit(None).cast("string").alias("title"), _c(x).alias("body"))))
+    return F.aggregate(lines, start, step, close)
+
+
+def headings(x: Column | str) -> Column:
+    """array<struct<title, body>>: the sections of a text, or the whole text as one if it has none."""
+    found = sections(x)
+    return F.when(F.size(found) > 0, found).otherwise(F.array(F.struct(F.lit(None).cast("string").alias("title"), _c(x).alias("body"))))
 
 
 def first_key(x: Column | str, dictionary: Sequence[tuple[str, Sequence[str]]], other: str | None = None) -> Column:
