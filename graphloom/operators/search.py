@@ -13,6 +13,8 @@ from pyspark.sql import functions as F
 from graphloom.functions import text as tx
 from graphloom.storage import settled
 
+from .graph import first_per
+
 K1, B = 1.2, 0.75
 #: Distinct terms of a batch of queries up to which they are sent to all tasks; beyond it they are joined by shuffle.
 SENT_TERMS = 100_000
@@ -34,9 +36,16 @@ def field_stats(held: DataFrame) -> DataFrame:
     return held.filter(F.col("term") == NO_TERM).groupBy("field").agg(F.count(F.lit(1)).alias("n"), F.avg("length").alias("avg_length"))
 
 
+def idf(df: Column, n: Column) -> Column:
+    return F.log(1.0 + (n - df + 0.5) / (df + 0.5))
+
+
+def tf_part(tf: Column, length: Column, avg_length: Column) -> Column:
+    return tf * (K1 + 1) / (tf + K1 * (1 - B + B * length / avg_length))
+
+
 def bm25(tf: Column, length: Column, avg_length: Column, df: Column, n: Column) -> Column:
-    idf = F.log(1.0 + (n - df + 0.5) / (df + 0.5))
-    return idf * tf * (K1 + 1) / (tf + K1 * (1 - B + B * length / avg_length))
+    return idf(df, n) * tf_part(tf, length, avg_length)
 
 
 def search(queries: DataFrame, docs: DataFrame, fields: list[str], top: int = 10, all_terms: bool = False) -> DataFrame:
@@ -44,20 +53,37 @@ def search(queries: DataFrame, docs: DataFrame, fields: list[str], top: int = 10
 
     With ``all_terms`` every term has to occur. Filters of documents belong before the call: statistics are those of the table given.
     """
-    terms = queries.select("query_id", tx.tokens("text", distinct=True).alias("terms")).select("query_id", F.size("terms").alias("wanted"), F.explode("terms").alias("term"))
+    terms = settled(query_terms(queries), "query-terms")
     asked = terms.select("term").unionByName(queries.sparkSession.range(1).select(F.lit(NO_TERM).alias("term"))).distinct()
-    if asked.count() <= SENT_TERMS:
-        asked = F.broadcast(asked)
-    held = settled(postings(docs, fields, asked), "postings")  # counted and scored, tokenised once
+    few = asked.count() <= SENT_TERMS
+    held = settled(postings(docs, fields, F.broadcast(asked) if few else asked), "postings")  # counted and scored, tokenised once
     df = held.groupBy("field", "term").agg(F.count(F.lit(1)).alias("df"))
     stats = F.broadcast(field_stats(held))  # one row for each field
-    held = held.filter(F.col("term") != NO_TERM).join(df, ["field", "term"]).join(stats, "field")
+    held = held.filter(F.col("term") != NO_TERM).join(F.broadcast(df) if few else df, ["field", "term"]).join(stats, "field")
     scored = held.select("term", "id", bm25(F.col("tf"), F.col("length"), F.col("avg_length"), F.col("df"), F.col("n")).alias("s"))
-    found = terms.join(scored, "term").groupBy("query_id", "id", "wanted").agg(F.sum("s").alias("score"), F.count_distinct("term").alias("hit"))
+    return best(terms, scored, top, all_terms, len(fields) == 1)
+
+
+def query_terms(queries: DataFrame) -> DataFrame:
+    """query_id, wanted, term: the distinct terms of each query (query_id, text) and how many it has."""
+    return queries.select("query_id", tx.tokens("text", distinct=True).alias("terms")).select("query_id", F.size("terms").alias("wanted"), F.explode("terms").alias("term"))
+
+
+def best(terms: DataFrame, scored: DataFrame, top: int, all_terms: bool = False, once: bool = False) -> DataFrame:
+    """query_id, id, score, rank: the best documents of each query (``query_terms``, settled) by weights (term, id, s), which are added up. ``once``: a term has one weight of a document at most.
+
+    Weights are dealt out by document and the queries' terms sent to them, so the sums of a document are
+    made where it lies and only the best of every part are shuffled: a frequent term brings its weights once, not once for each query with it.
+    """
+    if terms.count() <= SENT_TERMS:
+        parts = int(scored.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+        scored, terms = scored.repartition(parts, "id"), F.broadcast(terms)
+    if not once:
+        scored = scored.groupBy("id", "term").agg(F.sum("s").alias("s"))
+    found = scored.join(terms, "term").groupBy("query_id", "id", "wanted").agg(F.sum("s").alias("score"), F.count(F.lit(1)).alias("hit"))
     if all_terms:
         found = found.filter("hit = wanted")
-    rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc(F.round("score", 9)), "id"))
-    return found.withColumn("rank", rank).filter(F.col("rank") <= top).select("query_id", "id", "score", "rank")
+    return first_per(found, ["query_id"], [F.desc(F.round("score", 9)), "id"], top).select("query_id", "id", "score", "rank")
 
 
 def phrase(docs: DataFrame, field: str, text: str, top: int = 50) -> DataFrame:
