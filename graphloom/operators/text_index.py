@@ -2,27 +2,29 @@
 
 A search reads the buckets of its terms and no others. The first block of each
 term gives a threshold for each query: the k-th best of what these blocks add
-up to, which no true k-th score is below. A further block of a term is read only for queries
-that it can matter to: its largest weight and the largest weights of the query's other
+up to, which no true k-th score is below. A further block of a term is read only if
+it can matter to a query: its largest weight and the largest weights of the query's other
 terms reach the threshold together. A document of a block that is left out
 is below the threshold, so it is not missed; those that count have all their blocks.
+Blocks meet the queries document by document, as in ``search.best``.
 """
 
 from __future__ import annotations
 
 from dataclasses import dataclass
+from functools import reduce
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from graphloom.functions import text as tx
 from graphloom.storage import settled
 
-from .graph import first_per
-from .search import NO_TERM, bm25, field_stats, postings
+from .search import NO_TERM, best, field_stats, idf, postings, query_terms, tf_part
 
 #: Folders of terms, postings of a block, and distinct terms up to which the scan itself is told them.
 BUCKETS, BLOCK, TOLD_TERMS = 64, 512, 1000
+#: Postings of a term in one part, and those that a task writes.
+LONG, TASK_ROWS = 32_768, 1_000_000
 
 
 def _bucket(term: str = "term"):
@@ -31,7 +33,7 @@ def _bucket(term: str = "term"):
 
 @dataclass
 class TextIndex:
-    """Postings at a path: bucket (folder), term, block, most (the largest weight of the block), best (that of the term), ids and weights."""
+    """Postings at a path: bucket (folder), term, block, first, most (the largest weight of the block), ids and weights."""
 
     spark: SparkSession
     path: str
@@ -39,22 +41,33 @@ class TextIndex:
     @staticmethod
     def write(docs: DataFrame, fields: list[str], path: str) -> TextIndex:
         """Of documents (id and the fields). Weights of the fields are added up; the index holds for the table as it is."""
-        held = settled(postings(docs, fields), "postings")
-        df = held.groupBy("field", "term").agg(F.count(F.lit(1)).alias("df"))
-        stats = F.broadcast(field_stats(held))  # one row for each field
-        weighed = held.filter(F.col("term") != NO_TERM).join(df, ["field", "term"]).join(stats, "field")
-        weight = bm25(F.col("tf"), F.col("length"), F.col("avg_length"), F.col("df"), F.col("n"))
-        each = settled(weighed.groupBy("term", "id").agg(F.sum(weight).alias("weight")), "weights")
-        # A term may be in a third of all texts: its blocks are cut by ranges of the weight in parts that are
-        # sorted by themselves, each part having blocks of its own.
-        parts = each.groupBy("term").agg(F.ceil(F.count(F.lit(1)) / F.lit(BLOCK * 64)).alias("parts"), F.max("weight").alias("best"))
-        dealt = each.join(parts, "term").withColumn("part", F.pmod(F.xxhash64("id"), F.col("parts")))
-        line = F.row_number().over(Window.partitionBy("term", "part").orderBy(F.desc("weight"), "id")) - 1
-        blocks = dealt.withColumn("turn", F.floor(line / F.lit(BLOCK))).groupBy("term", "part", "turn").agg(
-            F.max("weight").alias("most"), F.first("best").alias("best"), F.array_sort(F.collect_list(F.struct((-F.col("weight")).alias("less"), "id"))).alias("held"),
-        )
-        rows = blocks.select(_bucket().alias("bucket"), "term", F.concat_ws("-", "turn", "part").alias("block"), (F.col("turn") == 0).alias("first"), "most", "best", F.col("held.id").alias("ids"), F.transform("held", lambda x: -x["less"]).alias("weights"))
-        rows.repartition(BUCKETS, "bucket").sortWithinPartitions("bucket", "term", F.desc("most")).write.mode("overwrite").partitionBy("bucket").option("compression", "zstd").parquet(path)
+        # Documents are dealt out whole, so the terms of each are counted where it lies.
+        deal = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+        held = settled(postings(docs.repartition(deal, "id"), fields), "postings")
+        df = settled(held.filter(F.col("term") != NO_TERM).groupBy("term").agg(F.count(F.lit(1)).alias("held"), *(F.count_if(F.col("field") == f).alias(f"df_{i}") for i, f in enumerate(fields))), "frequencies")
+        stats = {r.field: r for r in field_stats(held).collect()}  # one row for each field
+        of = lambda f: (F.lit(stats[f].n), F.lit(stats[f].avg_length)) if f in stats else (F.lit(0), F.lit(1.0))
+        # A term in many texts is dealt to parts, and its frequency told; one part in LONG of all postings is such a term at most. A rarer term's list tells its own.
+        often = F.broadcast(df.filter(F.col("held") > LONG).select("term", F.ceil(F.col("held") / F.lit(LONG)).alias("parts"), *(f"df_{i}" for i in range(len(fields)))))
+        share = F.coalesce(*(F.when(F.col("field") == f, tf_part(F.col("tf"), F.col("length"), of(f)[1])) for f in fields))
+        each = held.filter(F.col("term") != NO_TERM).select("term", "id", *(F.when(F.col("field") == f, share).alias(f"x_{i}") for i, f in enumerate(fields)))
+        if len(fields) > 1:
+            each = each.groupBy("term", "id").agg(*(F.max(f"x_{i}").alias(f"x_{i}") for i in range(len(fields))))
+        part = F.coalesce(F.pmod(F.xxhash64("id"), F.col("parts")), F.lit(0))
+        dealt = each.join(often, "term", "left").withColumn("part", part).withColumn("bucket", _bucket())
+        total = df.agg(F.sum("held")).first()[0] or 0
+        spread = max(1, -(-total // (BUCKETS * TASK_ROWS)))
+        dealt = dealt.withColumn("share", F.pmod(F.xxhash64("term", "part"), F.lit(spread))).repartition(BUCKETS * spread, "bucket", "share")
+        lists = dealt.groupBy("bucket", "share", "term", "part").agg(*(F.first(f"df_{i}").alias(f"df_{i}") for i in range(len(fields))), F.collect_list(F.struct("id", *(f"x_{i}" for i in range(len(fields))))).alias("held"))
+        has = lambda name: lambda x: x[name].isNotNull()
+        known = lists.select("bucket", "term", "part", "held", *(F.coalesce(f"df_{i}", F.size(F.filter("held", has(f"x_{i}")))).alias(f"df_{i}") for i in range(len(fields))))
+        factors = known.select("bucket", "term", "part", "held", F.array(*(idf(F.col(f"df_{i}"), of(f)[0]) for i, f in enumerate(fields))).alias("idf"))
+        weight = lambda x: reduce(Column.__add__, (F.coalesce(F.col("idf")[i] * x[f"x_{i}"], F.lit(0.0)) for i in range(len(fields))))
+        sorted_ = factors.select("bucket", "term", "part", F.array_sort(F.transform("held", lambda x: F.struct((-weight(x)).alias("less"), x["id"].alias("id")))).alias("held"))
+        turns = F.sequence(F.lit(0), F.floor((F.size("held") - 1) / F.lit(BLOCK)).cast("int"))
+        blocks = sorted_.select("bucket", "term", "part", F.posexplode(F.transform(turns, lambda i: F.slice("held", i * BLOCK + 1, BLOCK))).alias("turn", "held"))
+        rows = blocks.select("bucket", "term", F.concat_ws("-", "turn", "part").alias("block"), (F.col("turn") == 0).alias("first"), (-F.col("held")[0]["less"]).alias("most"), F.col("held.id").alias("ids"), F.transform("held", lambda x: -x["less"]).alias("weights"))
+        rows.sortWithinPartitions("bucket", "term", F.desc("most")).write.mode("overwrite").partitionBy("bucket").option("compression", "zstd").parquet(path)
         return TextIndex(docs.sparkSession, path)
 
     def read(self, terms: DataFrame) -> DataFrame:
@@ -70,22 +83,15 @@ class TextIndex:
 
     def search(self, queries: DataFrame, top: int = 10, all_terms: bool = False) -> DataFrame:
         """query_id, id, score, rank: the best documents of each query (query_id, text), as ``search.search`` over the same table gives them."""
-        terms = queries.select("query_id", tx.tokens("text", distinct=True).alias("terms")).select("query_id", F.size("terms").alias("wanted"), F.explode("terms").alias("term"))
-        terms = settled(terms, "query-terms")
+        terms = settled(query_terms(queries), "query-terms")
         blocks = self.read(terms)
-        kept = None
+        weights = lambda held: held.select("term", F.explode(F.arrays_zip("ids", "weights")).alias("p")).select("term", F.col("p.ids").alias("id"), F.col("p.weights").alias("s"))
         if not all_terms:  # partial sums are no bound where every term has to occur
-            start = terms.join(blocks.filter("first"), "term").select("query_id", F.explode(F.arrays_zip("ids", "weights")).alias("p"))
-            sums = start.groupBy("query_id", F.col("p.ids").alias("id")).agg(F.sum("p.weights").alias("score"))
-            bound = first_per(sums, ["query_id"], [F.desc("score"), "id"], top).groupBy("query_id").agg(F.when(F.count(F.lit(1)) == top, F.min("score")).otherwise(0.0).alias("least"))
-            each = terms.join(blocks.select("term", "best").distinct(), "term")
-            others = each.withColumn("rest", F.sum("best").over(Window.partitionBy("query_id")) - F.col("best")).select("query_id", "term", "wanted", "rest")
-            need = others.join(settled(bound, "thresholds"), "query_id").select("query_id", "term", "wanted", (F.col("least") - F.col("rest") - 1e-9).alias("enough"))
-            kept = need.join(blocks, "term").filter("most >= enough")
-        else:
-            kept = terms.join(blocks, "term")
-        met = kept.select("query_id", "wanted", "term", F.explode(F.arrays_zip("ids", "weights")).alias("p"))
-        found = met.groupBy("query_id", "wanted", F.col("p.ids").alias("id")).agg(F.sum("p.weights").alias("score"), F.count(F.lit(1)).alias("hit"))
-        if all_terms:
-            found = found.filter("hit = wanted")
-        return first_per(found, ["query_id"], [F.desc(F.round("score", 9)), "id"], top).select("query_id", "id", "score", "rank")
+            start = best(terms, weights(blocks.filter("first")), top, once=True)
+            bound = start.groupBy("query_id").agg(F.when(F.count(F.lit(1)) == top, F.min("score")).otherwise(0.0).alias("least"))
+            each = terms.join(blocks.groupBy("term").agg(F.max("most").alias("best")), "term")
+            others = each.withColumn("rest", F.sum("best").over(Window.partitionBy("query_id")) - F.col("best")).select("query_id", "term", "rest")
+            # A block comes once, if any query needs it.
+            need = others.join(settled(bound, "thresholds"), "query_id").groupBy("term").agg(F.min(F.col("least") - F.col("rest") - 1e-9).alias("enough"))
+            blocks = blocks.join(need, "term").filter("most >= enough")
+        return best(terms, weights(blocks), top, all_terms, once=True)
