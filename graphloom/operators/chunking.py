@@ -1,7 +1,7 @@
 """Chunking: sections packed to a size, then cut at sentences with overlap.
 
 The cutting of a text depends on where the last piece ended, so it is a fold over
-one text: a pandas UDF, a batch of texts at a time. Everything else is columns.
+one text: an Arrow UDF, a part of a batch of texts at a time. Everything else is columns.
 """
 
 from __future__ import annotations
@@ -9,13 +9,18 @@ from __future__ import annotations
 import re
 from bisect import bisect_right
 
-import pandas as pd
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from graphloom.functions import text as tx
 
 
+#: Bytes of texts of an Arrow batch that are cut at a time.
+PART_BYTES = 4 << 20
+
 _MARKS, _LINES = re.compile(r"[.!?](?= )"), re.compile("\n")
 
 
@@ -44,16 +49,19 @@ def cut(texts: Column | str, target: int = 3000, overlap: int = 200) -> Column:
     if target < 1 or not 0 <= overlap < 0.8 * target:
         raise ValueError("the overlap has to be under 0.8 of the target, or the cut would not move on")
 
-    @F.pandas_udf("array<string>")
-    def run(batch: pd.Series) -> pd.Series:
-        def one(text: str | None) -> list[str]:
-            if not text:
-                return []
-            if len(text) <= target:
-                return [text.strip()] if text.strip() else []
-            return [text[a:b].strip() for a, b in cut_points(text, target, overlap)]
-
-        return batch.map(one)
+    def one(text: str | None) -> list[str]:
+        if not text:
+            return []
+        if len(text) <= target:
+            return [text.strip()] if text.strip() else []
+        return [text[a:b].strip() for a, b in cut_points(text, target, overlap)]
+
+    @F.arrow_udf("array<string>")
+    def run(batch: pa.Array) -> pa.Array:
+        # Only a part of the batch is made into Python's strings at a time.
+        sizes = np.cumsum(pc.fill_null(pc.binary_length(batch), 0).to_numpy(zero_copy_only=False)) // PART_BYTES
+        edges = [0, *(np.flatnonzero(sizes[1:] != sizes[:-1]) + 1).tolist(), len(batch)]
+        return pa.concat_arrays([pa.array((one(x.as_py()) for x in batch.slice(a, b - a)), pa.list_(pa.string()), size=b - a) for a, b in zip(edges[:-1], edges[1:], strict=True)])
 
     return run(texts)
 
