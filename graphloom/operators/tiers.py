@@ -56,7 +56,7 @@ def chains_for(asked: DataFrame, claims: DataFrame, limit: int = 10) -> DataFram
     def by_words(open_: DataFrame) -> DataFrame:
         held = claims.select("id", F.lit("claim").alias("type"), F.coalesce("name", F.lit("")).alias("name"))
         said = open_.filter("text is not null").select(F.concat(F.lit("query "), "query_id").alias("id"), F.lit("claim").alias("type"), "text")
-        found = Lexicon(held, ["name"], 2 * limit).candidates(said)
+        found = Lexicon(held, ["name"], 2 * limit, said).candidates(said)
         return found.select(F.substring_index("id", "query ", -1).alias("query_id"), F.col("match").alias("id"), F.col("rank").alias("place"))
 
     def any_(open_: DataFrame) -> DataFrame:
