@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from graphloom.functions import text as tx
-from graphloom.storage import settled
+from graphloom.storage import release, settled
 
 from .retrieval import authority_rank
 
@@ -51,20 +51,22 @@ def token_pairs(entities: DataFrame, least: float = 0.95) -> DataFrame:
 def greedy_merges(pairs: DataFrame) -> DataFrame:
     """kept, dropped, score: pairs (a, b, score) merged from the best down, b into a, skipping pairs one of whose sides is gone.
 
-    Decided in rounds: a pair that is the best left at both of its sides is what
-    the sequential pass would merge next among all that concern them.
+    Decided in rounds. A side is gone only by a pair that drops it, so the best pair that could drop b does, if the best one that
+    could drop its a comes later or there is none. Pairs that a dropped side keeps stay while they come before it is gone. All
+    copies of one row so go in one round.
     """
-    left, done = settled(pairs.select("a", "b", "score"), "pairs"), None
+    left, done = settled(pairs.select("a", "b", F.struct((-F.col("score")).alias("s"), "a", "b").alias("r")), "pairs"), None
     while not left.isEmpty():
-        rank = F.struct(-F.col("score"), "a", "b")
-        ends = left.select(F.explode(F.array("a", "b")).alias("node"), rank.alias("r")).groupBy("node").agg(F.min("r").alias("best"))
-        ranked = left.withColumn("r", rank)
-        chosen = ranked.join(ends.select(F.col("node").alias("a"), F.col("best").alias("ba")), "a").join(ends.select(F.col("node").alias("b"), F.col("best").alias("bb")), "b").filter("r = ba and r = bb")
-        chosen = settled(chosen.select(F.col("a").alias("kept"), F.col("b").alias("dropped"), "score"), "merges")
+        first = settled(left.groupBy("b").agg(F.min("r").alias("r")), "first-pairs")
+        later = first.select(F.col("b").alias("a"), F.col("r").alias("gone"))
+        chosen = settled(first.select(F.col("r.a").alias("a"), "b", "r").join(later, "a", "left").filter("gone is null or r < gone").select("a", "b", "r"), "merges")
         done = chosen if done is None else done.unionByName(chosen)
-        gone = chosen.select("dropped")
-        left = settled(left.join(gone.withColumnRenamed("dropped", "a"), "a", "left_anti").join(gone.withColumnRenamed("dropped", "b"), "b", "left_anti"), "pairs")
-    return done if done is not None else left.select(F.col("a").alias("kept"), F.col("b").alias("dropped"), "score")
+        gone = chosen.select(F.col("b").alias("a"), F.col("r").alias("gone"))
+        rest = left.join(chosen.select("b"), "b", "left_anti").join(gone, "a", "left").filter("gone is null or r < gone").select("a", "b", "r")
+        over, left = left, settled(rest, "pairs")
+        release(over, first)
+    out = left if done is None else done
+    return out.select(F.col("a").alias("kept"), F.col("b").alias("dropped"), (-F.col("r.s")).alias("score"))
 
 
 def resolved(merges: DataFrame) -> DataFrame:
